@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes that a Python worker gets at once; documents may be long.
 BATCH_ROWS, BATCH_BYTES = "512", str(16 << 20)
@@ -45,7 +48,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back: computed once, no lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,3 +66,29 @@ def byte_column(values: list) -> pa.Array:
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def computed(docs: DataFrame, carry: list[str], fields: list[T.StructField], compute: Callable[[list[str]], list[pa.Array]], text: str = "text") -> DataFrame:
+    """Columns ``carry`` of ``docs`` and the ``fields`` that ``compute`` makes of a batch of texts. Texts move once."""
+    prepare(docs.sparkSession)
+    schema = T.StructType([docs.schema[c] for c in carry] + fields)
+    at = carry.index(text) if text in carry else len(carry)
+    read = docs.select(*carry, *([] if text in carry else [F.col(text).cast("string").alias("__text")]))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *compute(texts_of(batch.column(at)))], schema.names)
+
+    return read.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with columns named by place, so that no other name can clash, and the name of its text."""
+    cast = {"text": "string"}
+    renamed = docs.select(*(F.col(c).cast(cast[c]).alias(f"__in{i}") if c in cast else F.col(c).alias(f"__in{i}") for i, c in enumerate(docs.columns)))
+    return renamed, f"__in{docs.columns.index('text')}"
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, by their own names, out of what ``numbered`` made."""
+    return rows.select(*(F.col(f"__in{i}").alias(c) for i, c in enumerate(docs.columns)))

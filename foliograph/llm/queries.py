@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, sstable
+from . import exactdedup, packing, quality, sharding, simhash, sstable
 from .common import written
 
 
@@ -31,10 +31,52 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.slots(digest).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = written(quality.measure(_table(spark, sf_dir, "documents"), ["doc_id", "source"]), "quality")
+    return quality.judge(measured, "source").select("doc_id", *quality.MEASURES, "base_failed", "kept")
+
+
+def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_table(spark, sf_dir, "documents"))
+
+
+def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op7_harmonic_packing)}
-ORACLE_SQL: dict[str, str] = {}
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+v AS (SELECT r, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, w, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS again FROM v),
+f AS (SELECT r, w, again OR coalesce(lag(again) OVER p, false) OR coalesce(lag(again, 2) OVER p, false) AS covered FROM c WINDOW p AS (PARTITION BY r ORDER BY i)),
+m AS (SELECT r, count(*) AS n, sum(length(w)) AS ch, count(*) FILTER (covered) AS rep FROM f GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+b AS (SELECT doc_id, source, coalesce(n, 0)::BIGINT AS n_words, coalesce(ch, 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN m USING (r) LEFT JOIN l USING (r)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM j GROUP BY source),
+s AS (SELECT sum(f)::DOUBLE / sum(n) AS mean, coalesce(var_samp(f::DOUBLE / n), 0) AS v, avg(1.0::DOUBLE / n) AS i FROM h),
+p AS (SELECT mean, CASE WHEN mean * (1 - mean) <= 0 THEN 1.0 WHEN v - mean * (1 - mean) * i <= 0 THEN 1000.0
+  ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / (v - mean * (1 - mean) * i) - 1)) END AS weight FROM s),
+bad AS (SELECT source FROM h, p WHERE (f + mean * weight) / (n + weight) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM j.source) AS kept
+FROM j
+"""
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS p FROM documents),
+g AS (SELECT doc_id, sha256(t) AS s, count(*) OVER (PARTITION BY t) AS n,
+  first_value(doc_id) OVER (PARTITION BY t ORDER BY p DESC, doc_id NULLS LAST) AS k, row_number() OVER (PARTITION BY t ORDER BY p DESC, doc_id NULLS LAST) AS o FROM d)
+SELECT doc_id, k AS keep_id, n AS group_size, o = 1 AS kept, s AS text_sha256 FROM g
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op7_harmonic_packing)}
+ORACLE_SQL: dict[str, str] = {"op3_host_quality": OP3_SQL, "op5_chunk_recipes": OP5_SQL}
