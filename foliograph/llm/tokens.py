@@ -16,7 +16,10 @@ from array import array
 _cut = re.compile(r" (?=\S)").split
 
 #: Stretches that a worker keeps, and the longest kept, in characters. Only memory depends on them.
-KEPT, LONGEST = 400_000, 40
+KEPT, LONGEST = 600_000, 40
+
+#: Letters below this code point are letters for Python and for the tokenizer alike, whatever Unicode version they follow.
+OTHER = 0x250
 
 
 class Encoder:
@@ -25,34 +28,61 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._known: dict[str, bytes] = {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the library's model spells the bytes of the letters below OTHER.
+        self._spelled = {b: x for c in range(OTHER) for b, x in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0])}
+        self._space = self._spelled[32]
+        self._model = self._tokenizer.model
+        if hasattr(self._model, "_resize_cache"):  # what it would keep is kept here
+            self._model._resize_cache(0)
+        self._marks = {x: self._raw([x])[0] for x in ".,"}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, letters: str) -> bytes:
+        """Ids of a space and letters: one piece, which goes straight to the library's model."""
+        spelled = self._space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self._spelled))
+        return array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
+
+    def _new(self, found: set[str]) -> dict[str, bytes]:
+        """Ids of stretches, each after a space."""
+        out, rest, known, marks = {}, [], self._known, self._marks
+        for x in found:
+            if x.isalpha() and (x.isascii() or ord(max(x)) < OTHER):
+                out[x] = self._word(x)
+            elif x[-1] in marks and (y := x[:-1]).isalpha() and (y.isascii() or ord(max(y)) < OTHER):
+                out[x] = (known.get(y) or self._word(y)) + marks[x[-1]]
+            else:
+                rest.append(x)
+        if rest:
+            out |= zip(rest, self._raw([" " + x for x in rest]))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self._known
         if len(known) > KEPT:
             known.clear()
         parts = [_cut(t) for t in texts]
-        new = set()
-        for p in parts:
-            new.update(p[1:])
-        new = [x for x in new if x not in known]
-        raw = self._raw([" " + x for x in new] + [p[0] for p in parts])
-        ids = dict(zip(new, raw))
-        for x, i in ids.items():
-            if len(x) <= LONGEST:
-                known[x] = i
-        out = []
-        for p, head in zip(parts, raw[len(new) :]):
-            p[0] = head
-            p[1:] = [known.get(x) or ids[x] for x in p[1:]]
-            out.append(b"".join(p))
-        return out
+        found = [list(map(known.get, p)) for p in parts]
+        gaps, new = [], set()
+        for p, f in zip(parts, found):
+            f[0] = b""
+            gap = [k for k, i in enumerate(f) if i is None]
+            new.update([p[k] for k in gap])
+            gaps.append(gap)
+        ids = self._new(new)
+        for p, f, gap, head in zip(parts, found, gaps, self._raw([p[0] for p in parts])):
+            f[0] = head
+            for k in gap:
+                f[k] = ids[p[k]]
+        known.update(ids if max(map(len, ids), default=0) <= LONGEST else {x: i for x, i in ids.items() if len(x) <= LONGEST})
+        return [b"".join(f) for f in found]
 
 
 _encoders: dict[str, Encoder] = {}
