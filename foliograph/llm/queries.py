@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, packing, quality, sharding, simhash, sstable
+from . import bpe, exactdedup, packing, quality, sharding, simhash, sstable
 from .common import written
 
 
@@ -44,6 +44,13 @@ def op5_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -78,5 +85,5 @@ g AS (SELECT doc_id, sha256(t) AS s, count(*) OVER (PARTITION BY t) AS n,
 SELECT doc_id, k AS keep_id, n AS group_size, o = 1 AS kept, s AS text_sha256 FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op7_harmonic_packing)}
+QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op6_bpe_transducer, op7_harmonic_packing)}
 ORACLE_SQL: dict[str, str] = {"op3_host_quality": OP3_SQL, "op5_chunk_recipes": OP5_SQL}
