@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, packing, quality, sharding, simhash, sstable
+from . import bpe, exactdedup, html, packing, quality, sharding, simhash, sstable, warc
 from .common import written
 
 
@@ -56,6 +56,15 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
@@ -85,5 +94,16 @@ g AS (SELECT doc_id, sha256(t) AS s, count(*) OVER (PARTITION BY t) AS n,
 SELECT doc_id, k AS keep_id, n AS group_size, o = 1 AS kept, s AS text_sha256 FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op6_bpe_transducer, op7_harmonic_packing)}
-ORACLE_SQL: dict[str, str] = {"op3_host_quality": OP3_SQL, "op5_chunk_recipes": OP5_SQL}
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, html, sha1(html) AS h, row_number() OVER w AS o, first_value(page_id) OVER w AS best
+  FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::INT >> ((3 - i % 4) * 5)::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN o = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN o > 1 THEN best END AS refers_to
+FROM q
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op6_bpe_transducer, op7_harmonic_packing, op9_tree_scoring, op10_warc_revisits)}
+ORACLE_SQL: dict[str, str] = {"op3_host_quality": OP3_SQL, "op5_chunk_recipes": OP5_SQL, "op10_warc_revisits": OP10_SQL}
