@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, html, packing, quality, sharding, simhash, sstable, warc
+from . import bpe, exactdedup, html, lm, packing, quality, sharding, simhash, sstable, warc
 from .common import written
 
 
@@ -56,6 +56,11 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs.where(~lm.held_out(F.col("doc_id")))))
+
+
 def op9_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -105,5 +110,5 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM q
 """
 
-QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op6_bpe_transducer, op7_harmonic_packing, op9_tree_scoring, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_sstable_shards, op2_histogram_sort, op3_host_quality, op4_simhash_ball, op5_chunk_recipes, op6_bpe_transducer, op7_harmonic_packing, op8_maxent_lm, op9_tree_scoring, op10_warc_revisits)}
 ORACLE_SQL: dict[str, str] = {"op3_host_quality": OP3_SQL, "op5_chunk_recipes": OP5_SQL, "op10_warc_revisits": OP10_SQL}
