@@ -6,9 +6,10 @@ may guess tokens as it reads: its states are places in the trie of tokens along
 the end of one token to the start of another if they may be neighbours. Every prefix has one encoding, so just one guess
 ends at each byte.
 
-The transducer is made deterministic as it goes: a state is the set of all guesses still alive, each with the tokens not
-yet emitted; what all guesses agree on is emitted, which takes a lookahead bounded by the longest token. Transitions are
-worked out when first taken and kept.
+The transducer is made deterministic as it goes: a state is the set of all guesses still alive, each a place in the trie
+and the token before it. A transition gives the next state and the token that ends there; tokens that all guesses alive
+have in common are final and are emitted, at the end of a piece or after a bounded lookahead. Transitions are worked out
+when first taken and kept.
 
 Decoding is a stream: an incremental UTF-8 state machine, lifted from bytes to tokens, passes on whole characters only,
 however tokens and chunks cut them, and tells ids that are no text.
@@ -33,7 +34,10 @@ from .common import computed
 from .tokens import Encoder
 
 #: States and pairs that a worker keeps; only memory depends on them.
-STATES, PAIRS = 150_000, 1_000_000
+STATES, PAIRS = 150_000, 500_000
+
+#: Bytes of a piece that are read before what is final of it is emitted.
+LOOKAHEAD = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,8 +51,9 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self._sizes = {rank: len(token) for token, rank in ranks.items()}
         self._trie: dict[int, int] = {}
-        self._token_at, self._goes_on = [-1], [False]
+        self._token_at, self._goes_on, self._depth = [-1], [False], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -57,6 +62,7 @@ class Transducer:
                     self._trie[key] = len(self._token_at)
                     self._token_at.append(-1)
                     self._goes_on.append(False)
+                    self._depth.append(self._depth[node] + 1)
                     self._goes_on[node] = True
                 node = self._trie[key]
             self._token_at[node] = rank
@@ -65,17 +71,15 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self._number, self._states, self._next, self._last = {}, [], [], []
-        self._state(None, ((0, ()),), ())
-
-    def _state(self, before: int | None, guesses: tuple, pending: tuple) -> int:
-        key = before, guesses
-        if key not in self._number:
-            self._number[key] = len(self._states)
-            self._states.append(key)
+        self._number, self._states, self._next = {}, [], []
+        self._state((0,))
+
+    def _state(self, guesses: tuple) -> int:
+        if guesses not in self._number:
+            self._number[guesses] = len(self._states)
+            self._states.append(guesses)
             self._next.append({})
-            self._last.append(pending)
-        return self._number[key]
+        return self._number[guesses]
 
     def merged(self, data: bytes, below: int | None = None) -> list[int]:
         """The encoding by the merges themselves: again and again the pair of the least rank, the first of equals.
@@ -105,15 +109,11 @@ class Transducer:
         """Whether a token is the encoding of its own bytes."""
         return len(self.tokens[token]) == 1 or self._halves(token) is not None
 
-    def _may_follow(self, before: int | None, token: int) -> bool:
-        if before is None:
-            return self._stands(token)
-        key = before << 20 | token
-        found = self._pairs.get(key)
-        if found is None:
-            if len(self._pairs) > PAIRS:
-                self._pairs.clear()
-            found = self._pairs[key] = self._stands(token) and self._no_merge_crosses(before, token)
+    def _may_follow(self, before: int, token: int) -> bool:
+        """``before`` is -1 at the start of a piece."""
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
+        found = self._pairs[before << 20 | token] = self._stands(token) and (before < 0 or self._no_merge_crosses(before, token))
         return found
 
     def _no_merge_crosses(self, a: int, b: int) -> bool:
@@ -135,49 +135,69 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        before, guesses = self._states[state]
-        trie, token_at, goes_on, pairs = self._trie, self._token_at, self._goes_on, self._pairs
-        alive, ended = [], None
-        for node, pending in guesses:
-            child = trie.get(node << 8 | byte)
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after a byte, and the token that ends with it; kept for the next time.
+
+        A guess is packed in one number: its place in the trie, and the token before it plus one, zero for none.
+        """
+        trie, token_at, goes_on, pairs = self._trie.get, self._token_at, self._goes_on, self._pairs.get
+        alive, ended = [], -1
+        for guess in self._states[state]:
+            child = trie((guess >> 20) << 8 | byte)
             if child is None:
                 continue
-            if ended is None and (token := token_at[child]) >= 0:
-                last = pending[-1] if pending else before
-                may = pairs.get(last << 20 | token) if last is not None else None
-                if may or may is None and self._may_follow(last, token):
-                    ended = (*pending, token)
+            if ended < 0 and (token := token_at[child]) >= 0:
+                before = (guess & 0xFFFFF) - 1
+                may = pairs(before << 20 | token)
+                if may or may is None and self._may_follow(before, token):
+                    ended = token
             if goes_on[child]:
-                alive.append((child, pending))
-        if ended is None:
+                alive.append(child << 20 | guess & 0xFFFFF)
+        if ended < 0:
             raise ValueError(f"no token for byte {byte}")
-        agreed = len(ended)
-        for _, pending in alive:
-            same = 0
-            while same < agreed and same < len(pending) and pending[same] == ended[same]:
-                same += 1
-            agreed = same
-        alive.append((0, ended))
-        if agreed:
-            before = ended[agreed - 1]
-            alive = [(n, p[agreed:]) for n, p in alive]
-        if all([p for _, p in alive]):
-            before = None  # no guess looks back beyond what it has pending
-        to = self._next[state][byte] = self._state(before, tuple(alive), ended[agreed:]), ended[:agreed]
+        alive.append(ended + 1)
+        to = self._next[state][byte] = self._state(tuple(alive)), ended
         return to
 
+    def _chain(self, ended: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, from the last back to the first."""
+        out, sizes = [], self._sizes
+        while at > 0:
+            token = ended[at - 1]
+            out.append(token)
+            at -= sizes[token]
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
         if len(self._states) > STATES:
             self._forget()
-        out, state, following = [], 0, self._next
+        out, ended, state, following = [], [], 0, self._next
         for byte in piece:
-            state, emitted = following[state].get(byte) or self._step(state, byte)
-            if emitted:
-                out += emitted
-        return out + list(self._last[state])
+            state, token = following[state].get(byte) or self._step(state, byte)
+            ended.append(token)
+            if len(ended) == LOOKAHEAD:
+                out += self._agreed(ended, state)
+        tail = self._chain(ended, len(ended))
+        tail.reverse()
+        return out + tail
+
+    def _agreed(self, ended: list[int], state: int) -> list[int]:
+        """The tokens that all guesses alive have in common; they are final, and taken off ``ended``."""
+        common = None
+        for guess in self._states[state]:
+            at = begin = len(ended) - self._depth[guess >> 20]
+            ends = {begin}
+            for token in self._chain(ended, begin):
+                at -= self._sizes[token]
+                ends.add(at)
+            common = ends if common is None else common & ends
+        cut = max(common)
+        final = self._chain(ended, cut)
+        final.reverse()
+        del ended[:cut]
+        return final
 
 
 class Codec(Encoder):
@@ -186,6 +206,7 @@ class Codec(Encoder):
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self._split = regex.compile(pattern).findall
+        self.decimals = {i: str(i) for i in self.transducer.tokens}
         self._known = {}
         self._marks = {x: self._raw([x])[0] for x in ".,"}
 
@@ -286,22 +307,24 @@ def _stream(tokens: dict, lifted: list, ids: bytes, chunk: int) -> Iterable[byte
     decoder.finish()
 
 
-def digests(encoded: DataFrame, ranks: str, pattern: str, chunk: int = 4096) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids), the last over the ids decoded as a stream."""
-
-    def run(batches):
-        tokens = codec(ranks, pattern).transducer.tokens
-        written, lifted = {i: str(i) for i in tokens}, [{} for _ in range(8)]
-        for batch in batches:
-            sizes, sums, decoded = [], [], []
-            for ids in batch.column(1).to_pylist():
-                numbers = memoryview(ids or b"").cast("I")
-                sizes.append(len(numbers))
-                sums.append(hashlib.sha256(",".join([written[i] for i in numbers]).encode()).hexdigest())
-                total = hashlib.sha256()
-                for part in _stream(tokens, lifted, ids or b"", chunk):
-                    total.update(part)
-                decoded.append(total.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, ranks: str, pattern: str, chunk: int = 4096) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text): encoded, and the ids decoded as a stream."""
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    lifted: list[dict[int, int]] = [{} for _ in range(8)]
+
+    def compute(texts):
+        own = codec(ranks, pattern)
+        tokens, written = own.transducer.tokens, own.decimals
+        sizes, sums, decoded = [], [], []
+        for ids in own.encode(texts):
+            numbers = memoryview(ids).cast("I")
+            sizes.append(len(numbers))
+            sums.append(hashlib.sha256(",".join([written[i] for i in numbers]).encode()).hexdigest())
+            total = hashlib.sha256()
+            for part in _stream(tokens, lifted, ids, chunk):
+                total.update(part)
+            decoded.append(total.hexdigest())
+        return [pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return computed(rows, ["doc_id"], fields, compute)

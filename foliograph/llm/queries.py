@@ -48,7 +48,7 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return bpe.digests(_table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,14 @@ def test_long_pieces(codec, library):
     assert ids_of(codec, text) == library.encode_ordinary(text)
 
 
+def test_long_pieces_are_emitted_after_a_lookahead(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 60)
+    rng = random.Random(6)
+    for letters in ("ab", "etaoinshr", "thequickbrown"):
+        text = "".join(rng.choice(letters) for _ in range(3000))
+        assert ids_of(bpe.Codec(PATH, PATTERN), text) == library.encode_ordinary(text)
+
+
 def test_a_small_vocabulary_with_overlaps():
     ranks = {bytes([b]): b for b in range(256)}
     for k, t in enumerate([b"aa", b"ab", b"aaa", b"ba", b"aab", b"abab", b"bab", b"aaaa"]):
@@ -117,7 +125,7 @@ def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "no id", "x"), (5, "long " * 20000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     encoded = bpe.encode(df, PATH, PATTERN)
-    got = bpe.digests(encoded, PATH, PATTERN).collect()
+    got = bpe.digests(df, PATH, PATTERN).collect()
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == sorted((str(i), sha(t or "")) for i, t, _ in rows)
     assert {r.text for r in bpe.decode(encoded, PATH, PATTERN).collect()} == {"", "no id", "long " * 20000}
-    assert bpe.digests(bpe.encode(df.limit(0), PATH, PATTERN), PATH, PATTERN).count() == 0
+    assert bpe.digests(df.limit(0), PATH, PATTERN).count() == 0 and bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
