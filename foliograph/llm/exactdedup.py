@@ -113,8 +113,16 @@ def grouped(table: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def groups(docs: DataFrame, size: int = 16) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
     table = recipes(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], size)
-    joined = table.join(grouped(table), F.col("recipe") == F.col("__recipe"))
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha256").alias("text_sha256"))
+    several = written(grouped(table).where("group_size > 1"), "copied")  # a table, so that the join may split a large group
+    joined = table.join(several, F.col("recipe") == F.col("__recipe"), "left")
+    alone = F.col("keep_row").isNull()
+    return joined.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.col("sha256").alias("text_sha256"),
+    )
 
 
 def deduplicate(docs: DataFrame, size: int = 16) -> DataFrame:
@@ -122,6 +130,6 @@ def deduplicate(docs: DataFrame, size: int = 16) -> DataFrame:
     rows, text = numbered(docs)
     table = recipes(rows, rows.columns, size, text)
     narrow = table.select(F.col(f"__in{docs.columns.index('doc_id')}").cast("long").alias("doc_id"), "points", "recipe", "row")
-    several = grouped(narrow).where("group_size > 1")
+    several = written(grouped(narrow).where("group_size > 1"), "copied")
     lost = narrow.join(several, F.col("recipe") == F.col("__recipe")).where("row <> keep_row").select(F.col("row").alias("__lost"))
     return named(table.join(lost, F.col("row") == F.col("__lost"), "left_anti"), docs)
