@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import api
 from .operators import assembly, classify, evaluation, features, filtering, merging, metadata, numbering, outline, quality, rules
 from .plans import Relation
 from .sources import blocks
@@ -57,7 +58,7 @@ def b_text_flags_lines(t) -> Relation:
 
 def b_line_spacing(t) -> Relation:
     r = assembly.spacing(blocks.star(t)).add(line_position=f"coalesce(y0 / nullif(CAST(800 AS DOUBLE), 0), 0)")
-    return rounded(r.pick(*KEY, "line_spacing_above", "line_position"), "line_spacing_above", "line_position")
+    return rounded(r.pick(*KEY, "line_spacing_above", "line_position"), "line_spacing_above")
 
 
 def b_size_level(t) -> Relation:
@@ -341,8 +342,39 @@ PLANS: dict[str, Callable] = {k: f for k, f in globals().items() if k[1:2] == "_
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, folder, f=f: f(SparkTables(spark, folder)).df) for k, f in PLANS.items()}
+    return {k: (lambda spark, folder, f=f: f(SparkTables(spark, folder)).df) for k, f in PLANS.items()} | SPARK_ONLY
 
 
 def sql_queries() -> dict[str, str]:
     return {k: f(SqlTables()).sql() for k, f in PLANS.items()}
+
+
+def d_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    return api.check_sequences(blocks.star(SparkTables(spark, folder)).df)
+
+
+def h_broken_merge(spark: SparkSession, folder: str) -> DataFrame:
+    df = blocks.star(SparkTables(spark, folder)).pick("doc_id", "block_id", "page", "line_position_on_page", "text", "is_heading_pred").df
+    return api.merge_broken(df)
+
+
+def h_outline_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return api.merge_outline(outline.outline_rows(classify.rule_headings(blocks.star(SparkTables(spark, folder)))).df)
+
+
+def k_outline_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return api.outlines(blocks.page(SparkTables(spark, folder)).df)
+
+
+def n_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of a forest on the held-out part. No SQL: trees are random, if seeded."""
+    from .operators import models
+
+    columns = ["text_length", "word_count", "text_upper_ratio", "text_digit_ratio", "starts_with_capital", "font_size_normalized", "font_ge_90p", "bold", "is_early_page"]
+    rows = features.passed_features(features.page_features(features.font_features(features.text_features(evaluation.split(blocks.star(SparkTables(spark, folder))))))).df
+    model = models.train_forest(rows.where("NOT held_out"), columns, settings=models.ForestSettings(trees=10, depth=5, positive_weight=1.0))
+    return models.predict(model, rows.where("held_out")).select("doc_id", "block_id", "is_heading", "is_heading_pred", "heading_confidence")
+
+
+#: Queries that SQL cannot express: greedy merges, sequence checks, nested results, random forests.
+SPARK_ONLY = {f.__name__: f for f in (d_sequence, h_broken_merge, h_outline_merge, k_outline_nested, n_forest)}
