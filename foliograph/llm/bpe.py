@@ -34,7 +34,7 @@ from .common import computed
 from .tokens import Encoder
 
 #: States and pairs that a worker keeps; only memory depends on them.
-STATES, PAIRS = 150_000, 500_000
+STATES, PAIRS = 250_000, 800_000
 
 #: Bytes of a piece that are read before what is final of it is emitted.
 LOOKAHEAD = 1024
@@ -203,6 +203,8 @@ class Transducer:
 class Codec(Encoder):
     """Encodes whole texts to ids: split by the pattern, each piece through the transducer."""
 
+    kept = 1_500_000
+
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self._split = regex.compile(pattern).findall

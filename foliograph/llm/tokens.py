@@ -16,7 +16,7 @@ from array import array
 _cut = re.compile(r" (?=\S)").split
 
 #: Stretches that a worker keeps, and the longest kept, in characters. Only memory depends on them.
-KEPT, LONGEST = 600_000, 40
+KEPT, LONGEST = 900_000, 40
 
 #: Letters below this code point are letters for Python and for the tokenizer alike, whatever Unicode version they follow.
 OTHER = 0x250
@@ -25,6 +25,8 @@ OTHER = 0x250
 class Encoder:
     """Encodes texts to ids, packed as little-endian unsigned 32-bit integers."""
 
+    kept = KEPT
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -66,7 +68,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self._known
-        if len(known) > KEPT:
+        if len(known) > self.kept:
             known.clear()
         parts = [_cut(t) for t in texts]
         found = [list(map(known.get, p)) for p in parts]
