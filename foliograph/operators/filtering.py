@@ -56,7 +56,7 @@ def score(r: Relation) -> Relation:
     high = [("line_position_on_page <= 2", 0.2, "page_top"), ("line_position_on_page <= 5", 0.1, "near_top")]
     alone = [[("rule_reject", -0.2, "rule_reject")], confident, [("excluded", -0.2, "excluded")], [("positive IS NOT NULL", 0.5, "positive")], length, font, around, place, density]
     alone += [[(f"{d.upper('__t')} AND length(__t) > 50", -0.3, "long_all_caps")], [("__t LIKE '%.' AND __n > 10", -0.4, "long_sentence")]]
-    alone += [[("coalesce(bold, FALSE)", 0.15, "bold_text")], [("coalesce(italic, FALSE)", 0.1, "italic_text")], high]
+    alone += [[(f"coalesce({c}, FALSE)", p, f"{c}_text")] for c, p in (("bold", 0.15), ("italic", 0.1)) if r.has(c)] + [high]
     if r.has("num_nouns") and r.has("num_verbs"):
         alone.append([(f"__n > 0 AND {d.ratio('num_nouns', '__n')} > {d.num(0.4)} AND {d.ratio('num_verbs', '__n')} < {d.num(0.2)}", 0.1, "good_pos_ratio")])
     if r.has("num_propn"):
