@@ -85,3 +85,28 @@ def garbage_ratio(r: Relation) -> Relation:
     d = r.d
     r = r.group("doc_id", "page", blocks="count(*)", garbage="sum(CASE WHEN NOT valid_text AND length(text) > 5 THEN 1 ELSE 0 END)")
     return r.pick("doc_id", "page", "blocks", garbage_ratio=d.ratio("garbage", "blocks"), switch_extraction=f"{d.ratio('garbage', 'blocks')} > {d.num(0.4)}")
+
+
+def ocr_lines(r: Relation, scale: float = 2.0, least: int = 30) -> Relation:
+    """Recognised words (text, confidence, x, y, width, height in scaled pixels) as blocks: sure ones, with size and level by height."""
+    d = r.d
+    r = r.where(f"confidence > {least}").add(__t=d.strip("coalesce(text, '')")).where("__t <> ''")
+    r = r.add(**{c: f"CAST({c} AS DOUBLE) / {d.num(scale)}" for c in ("x", "y", "width", "height")})
+    r = r.add(font_size=f"greatest({d.num(8.0)}, height * {d.num(0.75)})")
+    level = d.cases(*((f"font_size >= {size}", str(n)) for n, size in enumerate((20, 16, 14, 12), 1)), otherwise="0")
+    return r.add(text="__t", x0="x", y0="y", x1="x + width", y1="y + height", heading_level=level, extraction_method="'ocr'", ocr_confidence="confidence").drop("__t", "x", "y", "width", "height", "confidence")
+
+
+def pages_without_text(pages: Relation, lines: Relation) -> Relation:
+    """The pages that no line of text comes from, for recognition."""
+    return pages.join(lines.where("text <> ''").pick("doc_id", "page"), ["doc_id", "page"], "left_anti")
+
+
+def legacy_stats(r: Relation) -> Relation:
+    """Length, words, digits, punctuation and language of a text, as the older extraction has them."""
+    d = r.d
+    x = "coalesce(text, '')"
+    return r.add(
+        text_length=f"CAST(length({x}) AS INT)", num_words=d.words(x), contains_digits=d.rx(x, r"\p{Nd}"), contains_punctuation=d.rx(x, r"[!-/:-@\[-`{-~]"),
+        language=f"CASE WHEN {d.rx(x, r'[^\x{0}-\x{7F}]')} THEN 'non-english' ELSE 'english' END",
+    )

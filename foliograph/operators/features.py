@@ -129,3 +129,23 @@ def tfidf(r: Relation, stop_words: list[str], terms: int = 50, least: int = 2, m
     known = known.top(terms, "total DESC, term").pick("term", idf="ln((1 + CAST(all_rows AS DOUBLE)) / (1 + df)) + 1")
     weighted = counts.join(known, ["term"]).add(raw="(1 + ln(CAST(tf AS DOUBLE))) * idf")
     return weighted.add(norm="sqrt(sum(raw * raw) OVER (PARTITION BY doc_id, block_id))").pick("doc_id", "block_id", "term", weight="raw / norm")
+
+
+def local_features(r: Relation) -> Relation:
+    """The set of the multi-class model: size strictly above the document's percentiles, length, keyword, numbers for flags."""
+    from .quality import keyword
+
+    d = r.d
+    r = keyword(r).add(**{f"__p{p}": d.quantile("font_size", p / 100, DOC) for p in (90, 75, 50)}, text_length="CAST(length(coalesce(text, '')) AS INT)")
+    flags = [c for c in ("bold", "italic", "underline", "bullet", "math", "hyperlink") if r.has(c)]
+    return r.add(**{f"font_size_p{p}": f"CASE WHEN font_size > __p{p} THEN 1 ELSE 0 END" for p in (90, 75, 50)}, **{c: f"CASE WHEN coalesce({c}, FALSE) THEN 1 ELSE 0 END" for c in flags}).drop("__p90", "__p75", "__p50")
+
+
+def complete(r: Relation, required=("text", "font_size", "page", "x0", "y0", "x1", "y1", "heading_level")) -> Relation:
+    """The rows that lack none of the required columns."""
+    return r.where(" AND ".join(f"{c} IS NOT NULL" for c in required))
+
+
+def missing_columns(columns: list[str], model_columns: list[str]) -> tuple[list[str], list[str]]:
+    """What a model asks for and a table lacks, and what the table has besides."""
+    return [c for c in model_columns if c not in columns], [c for c in columns if c not in model_columns]

@@ -61,3 +61,25 @@ def valid_outline(r: SparkRelation, strict: bool = True) -> SparkRelation:
     levels, least = (["H1", "H2", "H3"], 1) if strict else (["H1", "H2", "H3", "H4"], 0)
     good = F.forall("outline", lambda x: x["level"].isin(levels) & (x["page"] >= least) & (F.length(F.trim(x["text"])) > 0))
     return SparkRelation(r.df.withColumn("valid", F.coalesce(F.col("title").isNotNull() & good, F.lit(False))))
+
+
+def first_heading_title(rows: Relation, d, name: str = "CAST(doc_id AS STRING)") -> Relation:
+    """One row a document of outline entries: the text of its first H1, else its name."""
+    r = rows.group("doc_id", __h1="min_by(CASE WHEN level = 'H1' THEN text END, CASE WHEN level = 'H1' THEN place END)")
+    return r.pick("doc_id", title=f"coalesce(nullif(__h1, ''), {name})")
+
+
+def predicted_outline(r: Relation, level: str = "predicted_level") -> Relation:
+    """Entries of a multi-class prediction: levels over 0 of what is no likely false positive, by page and place."""
+    from .quality import false_positive
+
+    y = "y0, block_id" if r.has("y0") else "block_id"
+    r = false_positive(r).where(f"{level} > 0 AND NOT false_positive", derived=True)
+    return r.pick("doc_id", "block_id", "page", "text", place=f"CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, {y}) AS INT)", level=f"concat('H', CAST({level} AS STRING))")
+
+
+def listing(r: Relation, personal: list[str] = (), n: int = 50) -> Relation:
+    """For browsing: each document's first numbered entries and those with personal data, as the caller names it."""
+    d = r.d
+    kind = d.cases((d.any_rx("text", personal, "i") if personal else "FALSE", "'personal'"), (d.rx("substr(text, 1, 10)", "[0-9]"), "'numbered'"), (d.rx("text", r"^[IVX]+\.?$"), "'roman'"))
+    return r.add(kind=kind).where("kind IS NOT NULL", derived=True).top(n, "page, block_id", "doc_id, kind")

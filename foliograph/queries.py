@@ -338,6 +338,47 @@ def q_numbered(t) -> Relation:
     return r.where(r.d.rx(r.d.first_char("text"), "[0-9]") + " AND is_heading = 1").top(50, "page, block_id", "doc_id").pick(*KEY, "page", "text")
 
 
+def a_ocr_lines(t) -> Relation:
+    words = blocks.star(t).pick(*KEY, "page", "text", x="x0", y="y0", width="CAST(60 AS DOUBLE)", height="2 * font_size", confidence="CAST(block_id % 100 AS INT)")
+    return rounded(assembly.ocr_lines(words), "x0", "y0", "x1", "y1", "font_size")
+
+
+def a_pages_without_text(t) -> Relation:
+    r = assembly.text_flags(blocks.star(t))
+    pages = r.group("doc_id", "page", blocks="count(*)")
+    return assembly.pages_without_text(pages, r.add(page="page * 2"))
+
+
+def b_legacy_stats(t) -> Relation:
+    return assembly.legacy_stats(blocks.star(t)).pick(*KEY, "text_length", "num_words", "contains_digits", "contains_punctuation", "language")
+
+
+def b_legacy_stats_lines(t) -> Relation:
+    return assembly.legacy_stats(blocks.lines(t)).pick(*KEY, "text_length", "num_words", "contains_digits", "contains_punctuation", "language")
+
+
+def g_tune_thresholds(t) -> Relation:
+    r = filtering.score(blocks.star(t)).where("is_heading_pred = 1").add(filter_score="round(filter_score, 6)")
+    return rounded(evaluation.sweep(r, [round(0.20 + 0.05 * i, 2) for i in range(14)], "filter_score"), "precision", "recall", "f1")
+
+
+def j_predicted_outline(t) -> Relation:
+    return outline.predicted_outline(assembly.size_rank(blocks.star(t)), "size_level")
+
+
+def k_first_title(t) -> Relation:
+    rows = outline.outline_rows(classify.rule_headings(blocks.star(t)))
+    return outline.first_heading_title(rows, rows.d)
+
+
+def l_local(t) -> Relation:
+    return features.local_features(features.complete(blocks.star(t))).pick(*KEY, "font_size_p90", "font_size_p75", "font_size_p50", "bold", "text_length", "contains_keyword")
+
+
+def q_listing(t) -> Relation:
+    return outline.listing(blocks.star(t).where("is_heading = 1"), ["^blue "], 20).pick(*KEY, "kind", "page", "text")
+
+
 PLANS: dict[str, Callable] = {k: f for k, f in globals().items() if k[1:2] == "_" and callable(f) and k[0] in "abcdefghijklmnopq"}
 
 
