@@ -46,7 +46,7 @@ CLASSES = END + 2  # 32, one unused
 CONTEXTS = WORDS + CLASSES
 ROWS = 1 << 14  # of the hashed weights
 FEATURES, STEPS, RATE = 5, 12, 1.5
-TASKS = 16  # of a gradient step
+TASKS = 8  # of a gradient step, each of which sends an array of the weights' size to the driver
 FLUSH = 500_000  # words that a task counts before it passes them on
 
 
@@ -94,8 +94,8 @@ def head_of(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
         total, least = total + words, n
     if least is None:
         return [], []
-    rows = sorted(((-r.n, bytes(r.word)) for r in counts.where((F.col("n") >= least) & F.col("word").isNotNull()).collect()))
-    return [w for _, w in rows], [-n for n, _ in rows]
+    rows = counts.where((F.col("n") >= least) & F.col("word").isNotNull()).select("n", "word").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return rows["word"].to_pylist(), rows["n"].to_pylist()
 
 
 @dataclass
@@ -298,41 +298,50 @@ def _pairs(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1].astype(np.int64))], ["key", "n"])
 
 
-def expected(weights: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Observed and expected counts of features and classes, and the log likelihood, for counted histories."""
+def observed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each feature and class occur together, for counted histories."""
+    rows, k = features(keys // CLASSES), keys % CLASSES
+    seen = np.zeros(ROWS * CLASSES)
+    for f in range(FEATURES):
+        seen += np.bincount(rows[:, f] * CLASSES + k, n, ROWS * CLASSES)
+    return seen.reshape(ROWS, CLASSES)
+
+
+def expected(weights: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """How often the model would have each feature and class together, and the log likelihood of the histories."""
     signature, where = np.unique(keys // CLASSES, return_inverse=True)
-    rows, k = features(signature), keys % CLASSES
+    rows = features(signature)
     logs = log_softmax(weights, rows)
-    times = np.bincount(where, n, len(signature))
-    seen, want = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
-    each = np.exp(logs) * times[:, None]
+    each, want = np.exp(logs) * np.bincount(where, n, len(signature))[:, None], np.zeros((ROWS, CLASSES))
     for f in range(FEATURES):
-        np.add.at(seen, (rows[where, f], k), n)
         order = np.argsort(rows[:, f], kind="stable")
         at = np.flatnonzero(np.diff(rows[order, f], prepend=-1))
         want[rows[order[at], f]] += np.add.reduceat(each[order], at, axis=0)
-    return seen, want, float((logs[where, k] * n).sum())
+    return want, float((logs[where, keys % CLASSES] * n).sum())
+
+
+def _summed(table: DataFrame, compute) -> tuple[np.ndarray, float]:
+    """Sums over at most TASKS tasks of an array of the weights' size and a number."""
+
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            values, log = compute(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array([values.astype("<f4").tobytes()], pa.binary()), pa.array([log])], ["v", "log"])
+
+    total, log = np.zeros((ROWS, CLASSES)), 0.0
+    for r in table.select("key", "n").coalesce(TASKS).mapInArrow(run, "v binary, log double").collect():
+        total += np.frombuffer(r.v, "<f4").reshape(ROWS, CLASSES)
+        log += r.log
+    return total, log
 
 
 def train_weights(table: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, list[float]]:
     """Weights by full-batch gradient steps, each a job over the table; and the log likelihood before each step."""
     weights, likelihood = np.zeros((ROWS, CLASSES), np.float32), []
-    few = table.select("key", "n").coalesce(TASKS)
+    seen, _ = _summed(table, lambda keys, n: (observed(keys, n), 0.0))
     for _ in range(steps):
-        now = weights
-
-        def run(batches, now=now):
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if parts:
-                keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
-                seen, want, log = expected(now, keys, n)
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (seen, want)] + [pa.array([log])], ["seen", "want", "log"])
-
-        seen, want, log = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES)), 0.0
-        for r in few.mapInArrow(run, "seen binary, want binary, log double").toLocalIterator():
-            seen += np.frombuffer(r.seen, "<f4").reshape(ROWS, CLASSES)
-            want += np.frombuffer(r.want, "<f4").reshape(ROWS, CLASSES)
-            log += r.log
+        want, log = _summed(table, lambda keys, n, now=weights: expected(now, keys, n))
         likelihood.append(log)
         weights = (weights + RATE * (seen - want) / (FEATURES * (0.5 * (seen + want) + 1.0))).astype(np.float32)
     return weights, likelihood
@@ -380,15 +389,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             logs = log_softmax(weights, features(each)).astype(np.float64) / math.log(10)
             per_token = logs[where, k] - classes.log_total[k]
             sums = np.add.reduceat(per_token, np.concatenate([[0], ends[:-1]])) if len(ends) else ends
-            total, known, rest = [], [], []
+            total, known, stops, rest, times = [], [], [0], [], []
             for words, found in read:
-                unknown = Counter(w for w, f in zip(words, found) if f[1] is None)
                 inside = [f[1] for f in found if f[1] is not None]
+                if len(inside) < len(found):
+                    unknown = Counter([w for w, f in zip(words, found) if f[1] is None])
+                    rest += unknown
+                    times += unknown.values()
                 total.append(math.fsum(inside) + end_log)
                 known.append(len(inside) + (end_count > 0))
-                rest.append([{"word": w, "m": m} for w, m in unknown.items()])
+                stops.append(len(rest))
             sizes = np.diff(ends, prepend=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))], ["doc_id", "n_tokens", "logs", "known", "classes", "rest"])
+            beyond = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], ["word", "m"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), beyond], ["doc_id", "n_tokens", "logs", "known", "classes", "rest"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = read.mapInArrow(run, "doc_id long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
