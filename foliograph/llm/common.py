@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,8 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    A local master may do without the setting and gets a temporary folder; a cluster may not.
+    A local master may do without the setting and gets a temporary folder; a cluster may not. A path without a scheme is
+    one of the cluster's default file system.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
@@ -37,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foliograph-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if urlparse(found).scheme else f"file://{found}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -148,7 +148,7 @@ def cluster(profile: np.ndarray, weights: np.ndarray, k: int = CLUSTERS, rounds:
     centres = [rows[0]]
     for _ in range(1, k):
         gap = np.min([((rows - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(rows[np.argmax(gap * np.sqrt(weights))])
+        centres.append(rows[np.argmax(gap * weights**2)])
     centres = np.array(centres)
     for _ in range(rounds):
         at = np.argmin(((rows[:, None, :] - centres) ** 2).sum(axis=2), axis=1)
