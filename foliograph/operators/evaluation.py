@@ -48,14 +48,20 @@ def precision_threshold(r: Relation, target: float = 0.9, value: str = CONF) ->
 
 
 def auc(r: Relation, value: str = CONF) -> Relation:
-    """Area under the ROC curve, ties counted half, and the threshold of the greatest Youden index."""
+    """Area under the ROC curve, ties counted half, and the threshold of the greatest Youden index.
+
+    Sums up to a score are those of the thousandths below it, of which there are few, and those within its own.
+    """
     d = r.d
-    by = r.group(value, pos=f"sum(CASE WHEN {TRUE} = 1 THEN 1 ELSE 0 END)", neg=f"sum(CASE WHEN {TRUE} = 0 THEN 1 ELSE 0 END)")
-    up = f"OVER (ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    by = by.add(__neg=f"sum(neg) {up}", __pos=f"sum(pos) {up}", __n="sum(neg) OVER ()", __p="sum(pos) OVER ()")
+    by = r.group(value, pos=f"sum(CASE WHEN {TRUE} = 1 THEN 1 ELSE 0 END)", neg=f"sum(CASE WHEN {TRUE} = 0 THEN 1 ELSE 0 END)").add(b=f"CAST(floor({value} * 1000) AS BIGINT)")
+    before = "OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    parts = by.group("b", bp="sum(pos)", bn="sum(neg)")
+    parts = parts.pick("b", cp=f"coalesce(sum(bp) {before}, 0)", cn=f"coalesce(sum(bn) {before}, 0)", __p="sum(bp) OVER ()", __n="sum(bn) OVER ()")
+    within = f"OVER (PARTITION BY b ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    by = by.join(parts, ["b"]).add(__neg=f"cn + sum(neg) {within}", __pos=f"cp + sum(pos) {within}")
     by = by.add(__below="__neg - neg", youden="CAST(__p - __pos + pos AS DOUBLE) / nullif(__p, 0) - CAST(__n - __neg + neg AS DOUBLE) / nullif(__n, 0)")
     area = f"sum(CAST(pos AS DOUBLE) * (__below + {d.num(0.5)} * neg)) / nullif(max(CAST(__p AS DOUBLE) * __n), 0)"
-    return by.group(auc=area, youden_index="max(youden)", youden_threshold=f"min_by({value}, -youden)")
+    return by.group(auc=area, youden_index="max(youden)", youden_threshold=f"min_by({value}, -round(youden, 9))")
 
 
 def dataset_stats(r: Relation) -> Relation:

@@ -94,6 +94,12 @@ class SparkRelation(Relation):
     def union(self, other: SparkRelation) -> SparkRelation:
         return SparkRelation(self.df.unionByName(other.df, allowMissingColumns=True))
 
+    def top(self, n: int, order: str, by: str = "") -> SparkRelation:
+        if by:
+            return super().top(n, order, by)
+        keys = [F.expr(k.removesuffix(" DESC")).desc() if k.endswith(" DESC") else F.expr(k).asc() for k in order.split(", ")]
+        return SparkRelation(self.df.orderBy(*keys).limit(n))  # every task keeps n rows; no window over all
+
     def explode(self, name: str, array: str) -> SparkRelation:
         return SparkRelation(self.df.withColumn(name, F.expr(f"explode({array})")))
 

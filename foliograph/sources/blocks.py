@@ -58,7 +58,7 @@ def star(tables) -> Relation:
         "CASE WHEN l_linenumber < 4 THEN 'and' ELSE 'these' END", "'2024-01-02'", roman, letter,
     ]
     text = f"CASE l_partkey % {len(kinds)} " + " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds)) + " END"
-    r = r.add(block_id=f"CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {ORDER}) - 1 AS BIGINT)", doc_id="CAST(l_suppkey AS BIGINT)", text=text)
+    r = r.add(doc_id="CAST(l_suppkey AS BIGINT)", text=text).add(block_id=f"CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {ORDER}) - 1 AS BIGINT)")
     r = r.pick(
         "doc_id", "block_id", "text",
         page="CAST(floor(block_id / 40) + 1 AS INT)",
