@@ -159,7 +159,8 @@ class Spark(Dialect):
         return f"filter({array}, x -> {condition})"
 
     def pairs(self, array: str) -> str:
-        return f"CASE WHEN size({array}) < 2 THEN CAST(array() AS array<string>) ELSE transform(sequence(1, size({array}) - 1), i -> concat({array}[i - 1], ' ', {array}[i])) END"
+        n = f"greatest(size({array}) - 1, 0)"  # the array stays outside of the lambda, where it would be made again for each element
+        return f"zip_with(slice({array}, 1, {n}), slice({array}, 2, {n}), (x, y) -> concat(x, ' ', y))"
 
     def array(self, values) -> str:
         return f"array({', '.join(map(str, values))})"
