@@ -28,11 +28,9 @@ def apply(df: DataFrame, *steps: Callable[[Relation], Relation]) -> DataFrame:
 
 def outlines(blocks: DataFrame, personal: Personal = ()) -> DataFrame:
     """(doc_id, title, outline, valid): the rule path from blocks to nested outlines."""
-    rows = classify.rule_headings(SparkRelation(conform(blocks)), personal)
-    patterns = [p for _, p in personal]
-    titles = outline.titles(rows) if not patterns else outline.titles(rows.where("NOT excluded", derived=True))
-    merged = merge_outline(outline.outline_rows(rows).df)
-    return outline.valid_outline(outline.nested(SparkRelation(merged), titles)).df
+    r = SparkRelation(conform(blocks))
+    entries = outline.with_first_h1(outline.outline_rows(classify.rule_headings(r, personal)))
+    return outline.valid_outline(outline.nested(SparkRelation(merge_outline(entries.df)), r, [p for _, p in personal])).df
 
 
 def filter_predictions(blocks: DataFrame) -> DataFrame:

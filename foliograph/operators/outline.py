@@ -42,16 +42,26 @@ def filename_title(d, name: str) -> str:
     return f"initcap(translate({d.replace(name, r'\.[A-Za-z]+$')}, '_-', '  '))"
 
 
-def nested(rows: Relation, titles_: Relation) -> SparkRelation:
-    """One row a document: title and outline, an array of level, text and page in order."""
+def with_first_h1(rows: Relation) -> Relation:
+    """Outline entries with h1, the text of the document's first H1 among 100 entries."""
+    h1 = "level = 'H1' AND place <= 100"
+    return rows.add(h1=f"min_by(CASE WHEN {h1} THEN text END, CASE WHEN {h1} THEN place END) OVER (PARTITION BY doc_id)")
+
+
+def nested(rows: SparkRelation, blocks: SparkRelation, personal: list[str] = ()) -> SparkRelation:
+    """One row a document of ``blocks``: title and outline, an array of level, text and page in order.
+
+    ``rows``: the entries with h1. The title is the structure's if over five characters long, else h1, else the doc_id.
+    """
     from pyspark.sql import functions as F
 
     entry = F.struct("place", "level", "text", "page")
-    outline = rows.df.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("o"))
-    both = titles_.df.join(outline, "doc_id", "left")
+    outline = rows.df.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("o"), F.max("h1").alias("h1"))
+    both = blocks.group("doc_id", __n="count(*)").join(structure_title(blocks, personal), ["doc_id"], "left").df.join(outline, "doc_id", "left")
     empty = F.array().cast("array<struct<level:string,text:string,page:int>>")
     shaped = F.transform("o", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"), x["page"].alias("page")))
-    return SparkRelation(both.select("doc_id", "title", F.coalesce(shaped, empty).alias("outline")))
+    title = F.when(F.length("structure_title") > 5, F.col("structure_title")).otherwise(F.coalesce("h1", F.col("doc_id").cast("string")))
+    return SparkRelation(both.select("doc_id", title.alias("title"), F.coalesce(shaped, empty).alias("outline")))
 
 
 def valid_outline(r: SparkRelation, strict: bool = True) -> SparkRelation:

@@ -62,4 +62,5 @@ def keyword(r: Relation) -> Relation:
 def unwanted_title(r: Relation, personal: list[str] = ()) -> Relation:
     """Add unwanted_title: texts that are no document title. Personal data is the caller's to name."""
     d = r.d
-    return r.add(unwanted_title=d.any_rx("lower(coalesce(text, ''))", map(portable, [*P.UNWANTED_TITLES, *personal])))
+    own = f" OR {d.any_rx('coalesce(text, %s)' % d.string(''), map(portable, personal), 'i')}" if personal else ""
+    return r.add(unwanted_title=f"({d.any_rx('lower(coalesce(text, %s))' % d.string(''), map(portable, P.UNWANTED_TITLES))}{own})")
