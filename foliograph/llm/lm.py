@@ -196,15 +196,27 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
 
 
 class Reader:
-    """Turns documents into arrays: what each token is, its class, and the signature of its history."""
-
-    def __init__(self, classes: Classes, head: dict[bytes, int] | None = None):
-        self.classes, self.head = classes, head
-        self._known: dict[bytes, tuple] = {}
-
-    def _token(self, word: bytes) -> tuple:
-        """(class, context, cluster) packed as one number, and log10(count + 1) or None beyond the head."""
-        c = self.classes
+    """Turns documents into arrays: what each token is, its class, and the signature of its history.
+
+    A worker numbers the words it meets; number 0 is the end. What is known of a word stands at its number.
+    """
+
+    def __init__(self, classes: Classes, head: dict[bytes, int] | None = None, end_log: float = 0.0):
+        self.classes, self.head, self.end_log = classes, head, end_log
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.words: list[bytes | None] = [None]
+        self.packed, self.logs = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+        self.packed[0], self.logs[0] = END << 16 | (WORDS + END) << 3 | 7, self.end_log
+
+    def _add(self, word: bytes) -> int:
+        """The number of a word; its class, context and cluster as one number, log10(count + 1), or NaN beyond the head."""
+        at = self.place.get(word)
+        if at is not None:
+            return at
+        c, at = self.classes, len(self.words)
         i = c.named.get(word)
         if i is not None:
             k = int(c.of_named[i])
@@ -213,25 +225,30 @@ class Reader:
             group = c.cluster_of(word)
             k = CLUSTERS * BANDS + group
             context = WORDS + k
-        n = self.head.get(word) if self.head is not None else 0
-        found = (k << 16 | context << 3 | group, None if n is None else math.log10(n + 1))
-        if len(self._known) > FLUSH:
-            self._known.clear()
-        self._known[word] = found
-        return found
-
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
-        """Packed tokens of all texts in a row, each with an end, the place after each text, and the texts' words."""
-        known, token, packed, sizes, read = self._known, self._token, [], [], []
-        end = END << 16 | (WORDS + END) << 3 | 7
+        if at == len(self.packed):
+            self.packed, self.logs = np.concatenate([self.packed, np.zeros_like(self.packed)]), np.concatenate([self.logs, np.zeros_like(self.logs)])
+        self.packed[at] = k << 16 | context << 3 | group
+        if self.head is not None:
+            n = self.head.get(word)
+            self.logs[at] = math.nan if n is None else math.log10(n + 1)
+        self.place[word] = at
+        self.words.append(word)
+        return at
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' tokens in a row, each text with an end, and the place after each text."""
+        if len(self.words) > FLUSH:
+            self._forget()
+        get, numbers, sizes = self.place.get, [], []
         for text in texts:
             words = words_of(text)
-            found = [known.get(w) or token(w) for w in words]
-            packed += [f[0] for f in found]
-            packed.append(end)
-            sizes.append(len(words) + 1)
-            read.append((words, found))
-        return np.array(packed, np.int64), np.cumsum(sizes), read
+            row = [get(w) for w in words]
+            if None in row:
+                row = [self._add(w) if i is None else i for w, i in zip(words, row)]
+            numbers += row
+            numbers.append(0)
+            sizes.append(len(row) + 1)
+        return np.array(numbers, np.int64), np.cumsum(sizes)
 
 
 def signatures(packed: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +291,8 @@ def histories(train: DataFrame, classes: Classes) -> DataFrame:
     def run(batches):
         reader, kept, held = Reader(classes), [], 0
         for batch in batches:
-            packed, ends, _ = reader.tokens(texts_of(batch.column(0)))
-            signature, k = signatures(packed, ends)
+            numbers, ends = reader.tokens(texts_of(batch.column(0)))
+            signature, k = signatures(reader.packed[numbers], ends)
             kept.append(np.unique(signature * CLASSES + k, return_counts=True))
             held += len(kept[-1][0])
             if held > 4 * FLUSH:
@@ -381,27 +398,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     end_log = math.log10(end_count + 1)
 
     def run(batches):
-        reader = Reader(classes, head)
+        reader = Reader(classes, head, end_log)
         for batch in batches:
-            packed, ends, read = reader.tokens(texts_of(batch.column(1)))
-            signature, k = signatures(packed, ends)
+            if not batch.num_rows:
+                continue
+            numbers, ends = reader.tokens(texts_of(batch.column(1)))
+            starts = np.concatenate([[0], ends[:-1]])
+            signature, k = signatures(reader.packed[numbers], ends)
             each, where = np.unique(signature, return_inverse=True)
             logs = log_softmax(weights, features(each)).astype(np.float64) / math.log(10)
-            per_token = logs[where, k] - classes.log_total[k]
-            sums = np.add.reduceat(per_token, np.concatenate([[0], ends[:-1]])) if len(ends) else ends
-            total, known, stops, rest, times = [], [], [0], [], []
-            for words, found in read:
-                inside = [f[1] for f in found if f[1] is not None]
-                if len(inside) < len(found):
-                    unknown = Counter([w for w, f in zip(words, found) if f[1] is None])
-                    rest += unknown
-                    times += unknown.values()
-                total.append(math.fsum(inside) + end_log)
-                known.append(len(inside) + (end_count > 0))
-                stops.append(len(rest))
-            sizes = np.diff(ends, prepend=0)
-            beyond = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], ["word", "m"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), beyond], ["doc_id", "n_tokens", "logs", "known", "classes", "rest"])
+            sums = np.add.reduceat(logs[where, k] - classes.log_total[k], starts)
+            own = reader.logs[numbers]
+            beyond = np.isnan(own)
+            total = np.add.reduceat(np.where(beyond, 0.0, own), starts)
+            known = np.add.reduceat((~beyond).astype(np.int64), starts) - (end_count == 0)
+            at = np.flatnonzero(beyond)  # words beyond the head, counted by document
+            pairs, times = np.unique(np.searchsorted(ends, at, "right") << 32 | numbers[at], return_counts=True)
+            words = [reader.words[i] for i in (pairs & 0xFFFFFFFF).tolist()]
+            stops = np.searchsorted(pairs >> 32, np.arange(len(ends) + 1)).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(stops), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times.astype(np.int64))], ["word", "m"]))
+            sizes = np.diff(ends, prepend=0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), pa.array(known), pa.array(sums), rest], ["doc_id", "n_tokens", "logs", "known", "classes", "rest"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = read.mapInArrow(run, "doc_id long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")

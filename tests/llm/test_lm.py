@@ -54,8 +54,8 @@ def test_likelihood_rises(docs):
 def test_the_model_is_a_distribution(docs):
     model = lm.fit(docs)
     reader, c = lm.Reader(model.classes, model.head), model.classes
-    packed, ends, _ = reader.tokens(["the of and to unheardof", ""])
-    logs = lm.log_softmax(model.weights, lm.features(lm.signatures(packed, ends)[0]))
+    numbers, ends = reader.tokens(["the of and to unheardof", ""])
+    logs = lm.log_softmax(model.weights, lm.features(lm.signatures(reader.packed[numbers], ends)[0]))
     assert np.allclose(np.exp(logs).sum(axis=1), 1)
     share = np.zeros(lm.CLASSES)
     for r in model.counts.collect():
@@ -88,6 +88,11 @@ def test_gradient_is_observed_less_expected():
         assert (lm.expected(moved, keys, n)[1] - lm.expected(weights.astype(np.float64), keys, n)[1]) / 1e-4 == pytest.approx(seen[f, k] - want[f, k], abs=1e-2)
 
 
+def test_numbers_may_be_forgotten(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "FLUSH", 100)
+    check(queries.op8_maxent_lm(spark, SF).collect(), brute([tuple(d) for d in docs.collect()]))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "The the THE"), (3, "word " * 30000), (10**12, "\x1c the\x85"), (4, "É é")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long")
