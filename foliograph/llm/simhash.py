@@ -68,12 +68,12 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def roots(table: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(fp, component_id) of every fingerprint of ``table``."""
+    """(fp, root, component_id) of every fingerprint of ``table``; the root, a fingerprint, tells components apart."""
     nodes = written(table.groupBy("fp").agg(F.min(doc_id).alias("least")), "fingerprint-nodes")
     found = components(links(nodes))
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    return rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("__fp"), "component_id")
+    return rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("__fp"), "root", "component_id")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -89,6 +89,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     narrow = table.select(F.col(f"__in{docs.columns.index('doc_id')}").cast("long").alias("doc_id"), "fp", "row")
     placed = narrow.join(roots(narrow), F.col("fp") == F.col("__fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
-    heads = placed.groupBy(F.col("component_id").alias("__c")).agg(first, F.count("*").alias("rows")).where("rows > 1")
-    lost = placed.join(heads, F.col("component_id").eqNullSafe(F.col("__c"))).where("row <> first.row").select(F.col("row").alias("__lost"))
+    heads = placed.groupBy(F.col("root").alias("__root")).agg(first, F.count("*").alias("rows")).where("rows > 1")
+    lost = placed.join(heads, F.col("root") == F.col("__root")).where("row <> first.row").select(F.col("row").alias("__lost"))
     return named(table.join(lost, F.col("row") == F.col("__lost"), "left_anti"), docs)

@@ -162,3 +162,11 @@ def test_op4_deduplicate(spark):
     left = simhash.deduplicate(df)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 9]
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_op4_deduplicate_null_and_shared_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(200)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + "\n"), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (8, texts[4])]
+    left = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("8", texts[4])]
+    assert sorted((str(r.doc_id), r.text.strip()) for r in left) == sorted(want)
