@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .common import computed, named, numbered, written
 from .components import components
 
@@ -30,28 +31,28 @@ _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # o
 _LANES = (np.arange(8) * 256).astype(np.int16)
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str, width: int = WORDS) -> int:
     """Bit i is set if over half the shingles' hashes have it. bytes.lower() and split() know ASCII alone."""
     words = text.encode().lower().split()
     if not words:
         return 0
     joined, hash_ = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
+    if len(words) <= width:
         return hash_(joined, SEED)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: 1 - WORDS].tolist()
-    hashes = np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, ends[WORDS - 1 :].tolist())], "<u8")
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    hashes = np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], "<u8")
     lanes = hashes.view(np.uint8).reshape(-1, 8).astype(np.int16) + _LANES
     counts = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS_OF
     return int.from_bytes(np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", words: int = WORDS) -> DataFrame:
     """A written table: ``carry``, a unique number of the row, and fp, the fingerprint as a signed integer."""
 
     def compute(texts):
-        return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
+        return [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
 
     return written(computed(docs, carry, [T.StructField("fp", T.LongType())], compute, text).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
 
@@ -82,12 +83,23 @@ def classes(docs: DataFrame) -> DataFrame:
     return table.join(roots(table), F.col("fp") == F.col("__fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of the smallest doc_id, with the columns of ``docs``."""
+def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """One row of each class, that of the smallest doc_id, with the columns of ``docs``.
+
+    Without ``similarity`` the classes are those of the fingerprints; with it, those of the links of all pairs whose shingles
+    of ``words`` words have at least that Jaccard similarity.
+    """
     rows, text = numbered(docs)
-    table = fingerprints(rows, rows.columns, text)
-    narrow = table.select(F.col(f"__in{docs.columns.index('doc_id')}").cast("long").alias("doc_id"), "fp", "row")
-    placed = narrow.join(roots(narrow), F.col("fp") == F.col("__fp"))
+    doc_id = F.col(f"__in{docs.columns.index('doc_id')}").cast("long").alias("doc_id")
+    if similarity is None:
+        table = fingerprints(rows, rows.columns, text, words)
+        narrow = table.select(doc_id, "fp", "row")
+        rooted = roots(narrow)
+    else:
+        table = jaccard.signatures(rows, rows.columns, words, text)
+        narrow = table.select(doc_id, "fp", "row")
+        rooted = jaccard.roots(table, text, words, similarity)
+    placed = narrow.join(rooted, F.col("fp") == F.col("__fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     heads = placed.groupBy(F.col("root").alias("__root")).agg(first, F.count("*").alias("rows")).where("rows > 1")
     lost = placed.join(heads, F.col("root") == F.col("__root")).where("row <> first.row").select(F.col("row").alias("__lost"))

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliograph.llm import exactdedup, quality, queries, simhash
+from foliograph.llm import exactdedup, jaccard, quality, queries, simhash
 from foliograph.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +170,53 @@ def test_op4_deduplicate_null_and_shared_ids(spark):
     left = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("8", texts[4])]
     assert sorted((str(r.doc_id), r.text.strip()) for r in left) == sorted(want)
+
+
+def brute_near(rows, words, similarity):
+    """The rows that stay: of each component of similar shingle sets, the first by (null last, doc_id, place)."""
+    sets = [jaccard.shingles(t or "", words) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or common and common / (len(sets[a]) + len(sets[b]) - common) >= similarity:
+                root[find(a)] = find(b)
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[find(k)] = min(best.get(find(k), (True, 0, k)), (i is None, i or 0, k))
+    return [rows[k] for _, _, k in best.values()]
+
+
+def test_near_copies_by_similarity(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 8)  # several tiles a cluster
+    rng = random.Random(11)
+    rows = [(None, None), (3, " "), (None, "one two"), (2, "ONE\ttwo"), (4, "one two three")]
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for k in range(rng.choice([1, 2, 3, 40])):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.choice([0, 1, 3, 4, 5, 8, 12])):
+                copy[at] = f"x{rng.random()}"
+            rows.append((g * 100 + k if k % 5 else None, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = simhash.deduplicate(df, words=5, similarity=0.8)
+    want = brute_near(rows, 5, 0.8)
+    assert left.columns == df.columns and left.count() == len(want) < len(rows)
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in want)
+    assert simhash.deduplicate(df.limit(0), words=5, similarity=0.8).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    copy, other = base[:100] + ["x", "y"] + base[102:], base[:100] + [f"z{i}" for i in range(100)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(other))], "doc_id long, text string")
+    assert simhash.fingerprint(df.first().text) != simhash.fingerprint(" ".join(copy))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [1, 3]

@@ -1,0 +1,31 @@
+"""The pipeline against the brute-force version with near copies by similarity: five words, 0.8 or more."""
+
+import corpus_pipeline
+import test_pipeline as base
+from test_dedup_quality import WORD
+from test_tokens_ops import check_packed
+
+
+def brute_shingles(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def brute_similar(ids, sets):
+    root = list(range(len(ids)))
+    for a in range(len(ids)):
+        for b in range(a):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    return [min(i for i, r in zip(ids, root) if r == mine) for mine in root]
+
+
+def test_pipeline_by_similarity(spark, monkeypatch):
+    docs = spark.read.parquet(f"{base.SF}/documents.parquet").collect()
+    by_bits = base.brute(docs)
+    monkeypatch.setattr(base, "brute_fingerprint", brute_shingles)
+    monkeypatch.setattr(base, "brute_components", brute_similar)
+    want = base.brute(docs)
+    assert {d.doc_id for d in want} != {d.doc_id for d in by_bits}
+    rows = corpus_pipeline.run(spark, base.SF).collect()
+    assert check_packed(rows, [(d.doc_id, d.text) for d in want]) < 0.02
