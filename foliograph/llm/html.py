@@ -3,8 +3,9 @@
 A page is read into a tree, with the implied ends of HTML. Its text falls into blocks: stretches between block-level tags.
 Each block passes points to the elements around it, one and one for each comma and one for each hundred characters up to
 three, all of them to the nearest and half as many to each next one. An element's points are discounted by its link
-density. The best element is the container; its siblings stay too if they score well or are headings or prose with few
-links. Before that, parts that are never the article go: by tag, by role, or by the words of class and id.
+density. The best element is the container. Inside article or main it is lifted to that, and its siblings stay too if they
+score well or are headings or prose with few links. Elsewhere it is lifted to the outermost ancestor beside which there are
+headings or prose with few links, and all siblings with few links stay, whatever their length or tag. Before that, parts that are never the article go: by tag, by role, or by the words of class and id.
 
 Defined results: null or empty html, and pages without an article, give the empty text; what cannot be parsed is text; no
 block is dropped for its length; repeated rows are treated alike; an empty table gives no rows; other columns are ignored.
@@ -48,6 +49,9 @@ WEAK = frozenset(
     "tags toc outbrain taboola trending popular sitemap policy toolbox shoutbox rail".split()
 )
 
+#: Share of the text in links from which an element is not of the article.
+LINKED = 0.25
+
 
 class Node:
     __slots__ = ("tag", "attrs", "parent", "children", "points", "size", "linked", "gone")
@@ -238,6 +242,13 @@ def _score(node: Node) -> float:
     return node.points * (1 - _density(node))
 
 
+def _beside(node: Node) -> list[Node]:
+    """The elements beside ``node`` that have text; none beside the page as a whole."""
+    if node.parent is None or node.tag in ("body", "html"):
+        return []
+    return [other for other in node.parent.children if isinstance(other, Node) and other is not node and not other.gone and other.size]
+
+
 def _choose(blocks: list[tuple[Node, str, int]]) -> set[int]:
     """The identities of the container and the siblings that stay with it."""
     scored: dict[int, Node] = {}
@@ -264,12 +275,17 @@ def _choose(blocks: list[tuple[Node, str, int]]) -> set[int]:
     lifted = [n for n in _path(best) if n.tag in ("article", "main")]
     if lifted:
         best = lifted[-1] if lifted[-1].tag == "article" or len(lifted) == 1 else next(n for n in reversed(lifted) if n.tag == "article")
-    kept, least = {id(best)}, max(3.0, 0.2 * _score(best))
-    if best.parent is not None and best.tag not in ("body", "html"):
-        for other in best.parent.children:
-            if isinstance(other, Node) and other is not best and not other.gone and other.size:
-                if other.tag in HEADINGS or id(other) in scored and _score(other) >= least or other.tag == "p" and _density(other) < 0.25 or other.tag in ("article", "section") and other.tag == best.tag and _density(other) < 0.25:
-                    kept.add(id(other))
+    if lifted:
+        kept, least = {id(best)}, max(3.0, 0.2 * _score(best))
+        for other in _beside(best):
+            if other.tag in HEADINGS or id(other) in scored and _score(other) >= least or other.tag == "p" and _density(other) < LINKED or other.tag in ("article", "section") and other.tag == best.tag and _density(other) < LINKED:
+                kept.add(id(other))
+        return kept
+    for node in _path(best):  # the container may be one of the article's parts, alone in wrappers of its own
+        if any(_density(other) < LINKED and (other.points >= 3 or other.tag in ("p", *HEADINGS) or _has(other, HEADINGS)) for other in _beside(node)):
+            best = node
+    kept = {id(best)}
+    kept.update(id(other) for other in _beside(best) if other.tag in HEADINGS or _density(other) < LINKED)
     return kept
 
 

@@ -62,6 +62,23 @@ def test_op9_siblings_stay():
     assert html.main_text(page(body)) == "\n\n".join([P1, P2T, P2T, P1])
 
 
+LEAD = "The lead says in a hundred and twenty characters, more or less, what the matter is about and does not go into details."
+BODY = f"<div class=body>{f'<p>{P1}</p>' * 20}</div>"
+LINKS = "<div><a href=a>One page</a> <a href=b>Another page</a></div>"
+
+
+def test_op9_short_siblings_stay():
+    body = f"<div id=content><div class=title><h1>Title</h1></div><div class=lead><p>{LEAD}</p></div>{BODY}<ul><li>An item</li></ul><blockquote>Quoted</blockquote><pre>a b</pre><table><tr><td>cell</td></tr></table><section>Short</section>{LINKS}</div>"
+    assert html.main_text(page(body)) == "\n\n".join(["Title", LEAD, *[P1] * 20, "An item", "Quoted", "a b", "cell", "Short"])
+    assert html.main_text(page(f"<div id=content><div class=title><h1>Title</h1></div><div class=wrap>{BODY}</div>{LINKS}</div>")) == "\n\n".join(["Title", *[P1] * 20])
+
+
+@pytest.mark.parametrize("rows", [2, 3])
+def test_op9_rows_of_wrappers_stay(rows):
+    body = f"<div id=content>{f'<div class=row><div class=col><p>{P1}</p><p>{P2}</p></div></div>' * rows}{LINKS}</div>{LINKS}"
+    assert html.main_text(page(body)) == "\n\n".join([P1, P2T] * rows)
+
+
 def test_op9_deep_nesting_ends():
     assert html.main_text("<div>" * 5000 + P1 + "</div>" * 5000) == P1
     assert html.main_text("<b>" * 5000 + P1) == P1
