@@ -311,7 +311,7 @@ def n_auc(t) -> Relation:
 
 
 def n_dataset(t) -> Relation:
-    r = evaluation.split(evaluation.usable_documents(blocks.star(t), 50.0))
+    r = evaluation.split(evaluation.usable_documents(blocks.star(t)))
     return rounded(evaluation.dataset_stats(r.where("NOT held_out")), "heading_percent")
 
 

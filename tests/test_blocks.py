@@ -197,3 +197,12 @@ def test_every_query_against_duckdb(spark):
             if sorted(other) != names or rows(names, df.collect()) != rows(names, theirs):
                 wrong.append(name)
     assert not wrong
+
+
+def test_dataset_leaves_out_documents_of_hardly_any_headings(spark, monkeypatch):
+    rows = [block(i, "t", head=int(i < heads), doc=doc) for doc, (n, heads) in enumerate([(10, 1), (200, 1), (400, 1), (10, 0)]) for i in range(n)]
+    star = frame(spark, rows)
+    assert sorted(r.doc_id for r in evaluation.usable_documents(star).df.select("doc_id").distinct().collect()) == [0, 1]
+    monkeypatch.setattr(queries.blocks, "star", lambda t: star)
+    kept = evaluation.split(evaluation.usable_documents(star)).where("NOT held_out")
+    assert queries.n_dataset(None).df.collect() == queries.rounded(evaluation.dataset_stats(kept), "heading_percent").df.collect()
