@@ -413,7 +413,7 @@ def n_forest(spark: SparkSession, folder: str) -> DataFrame:
 
     columns = ["text_length", "word_count", "text_upper_ratio", "text_digit_ratio", "starts_with_capital", "font_size_normalized", "font_ge_90p", "bold", "is_early_page"]
     rows = features.passed_features(features.page_features(features.font_features(features.text_features(evaluation.split(blocks.star(SparkTables(spark, folder))))))).df
-    model = models.train_forest(rows.where("NOT held_out"), columns, settings=models.ForestSettings(trees=10, depth=5, positive_weight=1.0))
+    model = models.train_forest(rows.where("NOT held_out"), columns, settings=models.ForestSettings())
     return models.predict(model, rows.where("held_out")).select("doc_id", "block_id", "is_heading", "is_heading_pred", "heading_confidence")
 
 

@@ -206,3 +206,18 @@ def test_dataset_leaves_out_documents_of_hardly_any_headings(spark, monkeypatch)
     monkeypatch.setattr(queries.blocks, "star", lambda t: star)
     kept = evaluation.split(evaluation.usable_documents(star)).where("NOT held_out")
     assert queries.n_dataset(None).df.collect() == queries.rounded(evaluation.dataset_stats(kept), "heading_percent").df.collect()
+
+
+def test_forest_query_has_the_operators_settings(spark, monkeypatch):
+    from foliograph.operators import models
+
+    class Seen(Exception):
+        pass
+
+    def train(rows, columns, settings):
+        raise Seen(settings)
+
+    monkeypatch.setattr(models, "train_forest", train)
+    with pytest.raises(Seen) as seen:
+        queries.n_forest(spark, "/root/testdata/sf0.001")
+    assert seen.value.args[0] == models.ForestSettings()
