@@ -121,6 +121,42 @@ def test_op2_one_key_holds_a_third(spark):
     check_shards(sharded(df), ["abc"] * 3000, 80)
 
 
+@pytest.mark.parametrize("ids", [[2**63 - 1], [2**63 - 1, 5, -(2**63)], [None, -(2**63), 2**63 - 1, 2**63 - 1], [None, None]])
+def test_op2_ends_of_the_identifiers(spark, ids):
+    for texts in (["ab"] * len(ids), ["x" * 9000 if k == len(ids) - 1 else "y" for k in range(len(ids))]):
+        rows = sharded(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+        check_shards(rows, texts, 10**6)
+        assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, ids))
+
+
+@pytest.mark.parametrize("hot", [0, 900])
+def test_op2_ranges_finer_than_the_rounds_find(spark, monkeypatch, hot):
+    from foliograph.llm.common import written
+
+    monkeypatch.setattr(sharding, "COARSE", 16)
+    df = spark.range(3000).select(F.when(F.col("id") < hot, 7).otherwise(F.col("id") * 7919 % 10007).alias("doc_id"), F.lit("abc").alias("text")).repartition(5)
+    moved = written(sharding.shard(df, parts=20, part_bytes=75).select("doc_id", "size", "shard", "range", "here"), "t")
+    rows = sharding.slots(moved).collect()
+    check_shards(rows, ["abc"] * 3000, 80)
+    ranges = defaultdict(list)
+    for r in rows:
+        ranges[r["range"]].append(r)
+    assert len(ranges) > 140 and max(map(len, ranges.values())) < 60
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
+def test_op2_many_splitters_are_found_in_seconds(spark):
+    import time
+
+    start = time.time()
+    bounds, _ = sharding.splitters(spark.range(200_000).select(F.xxhash64("id").alias("doc_id"), F.xxhash64("id").alias("tie"), F.lit(10).cast("long").alias("size")), sharding.COARSE)
+    assert len(bounds) == sharding.COARSE - 1 and bounds == sorted(bounds) and time.time() - start < 60
+    halves = sharding._halves(bounds)
+    keys = np.random.default_rng(1).integers(0, 2**63, 300_000).astype(np.uint64)
+    assert len(sharding._below(keys, keys, halves)) == len(keys) and time.time() - start < 60
+
+
 def test_op2_odd_and_empty(spark, odd):
     check_shards(sharded(odd), [t for _, t in ROWS], 10**6)
     assert sharded(odd.limit(0)) == []
