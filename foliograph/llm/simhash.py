@@ -27,6 +27,8 @@ from .common import computed, named, numbered, written
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 64
+#: Variants that a task of the emission sends, about.
+SENT = 2_000_000
 _BITS_OF = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # of a byte's values
 _LANES = (np.arange(8) * 256).astype(np.int16)
 
@@ -60,6 +62,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", words: i
 def links(nodes: DataFrame) -> DataFrame:
     """Verified links (a, b), enough to join all of ``nodes`` (fp, distinct) within two bits."""
     one = F.lit(1).cast("long")
+    nodes = nodes.select("fp").repartition(1 + nodes.count() * (BITS + 1) // SENT)  # a small table, but 65 rows come of each of its rows
     variants = F.transform(F.sequence(F.lit(0), F.lit(BITS)), lambda i: F.struct(F.when(i == BITS, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))).alias("v"), i.alias("bit")))
     emitted = nodes.select(F.explode(variants).alias("x")).select("x.v", F.when(F.col("x.bit") == BITS, 0).otherwise(F.call_function("shiftleft", one, F.col("x.bit"))).cast("long").alias("mask"), (F.col("x.bit") == BITS).cast("int").alias("own"))
     met = emitted.groupBy("v").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).where(F.bit_count("mask") + F.col("own") > 1)
@@ -73,8 +76,10 @@ def roots(table: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     nodes = written(table.groupBy("fp").agg(F.min(doc_id).alias("least")), "fingerprint-nodes")
     found = components(links(nodes))
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    return rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("__fp"), "root", "component_id")
+    rooted = written(rooted, "fingerprint-roots")
+    # aggregates are written before they are joined back: only then may the join split a large component
+    least = written(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "component-ids")
+    return written(rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("__fp"), "root", "component_id"), "fingerprint-components")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -99,8 +104,8 @@ def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float | None =
         table = jaccard.signatures(rows, rows.columns, words, text)
         narrow = table.select(doc_id, "fp", "row")
         rooted = jaccard.roots(table, text, words, similarity)
-    placed = narrow.join(rooted, F.col("fp") == F.col("__fp"))
+    placed = written(narrow.join(rooted, F.col("fp") == F.col("__fp")).select("doc_id", "row", "root"), "components")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
-    heads = placed.groupBy(F.col("root").alias("__root")).agg(first, F.count("*").alias("rows")).where("rows > 1")
+    heads = written(placed.groupBy(F.col("root").alias("__root")).agg(first, F.count("*").alias("rows")).where("rows > 1"), "component-heads")
     lost = placed.join(heads, F.col("root") == F.col("__root")).where("row <> first.row").select(F.col("row").alias("__lost"))
     return named(table.join(lost, F.col("row") == F.col("__lost"), "left_anti"), docs)
