@@ -9,8 +9,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliograph.llm import exactdedup, jaccard, quality, queries, simhash
+from foliograph.llm import components as components_module
 from foliograph.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -212,6 +214,38 @@ def test_near_copies_by_similarity(spark, monkeypatch):
     assert simhash.deduplicate(df.limit(0), words=5, similarity=0.8).count() == 0
 
 
+def test_tiles_of_a_large_cluster_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    placed = spark.range(4000).select(F.col("id").alias("node"), F.lit(0).alias("root"), F.lit(4000).alias("n"), jaccard._chunk_of(F.col("id"), F.lit(4000)).alias("chunk"))
+    tiles = jaccard.first_tiles(placed).groupBy("group", "tile").count().collect()
+    assert len(tiles) == 500 and max(t["count"] for t in tiles) < 80
+    members = spark.range(4000).select(F.col("id").alias("node"), F.when(F.col("id") < 3990, 0).otherwise(F.col("id")).alias("label"), F.lit(5).alias("s"))
+    later = jaccard.later_tiles(members).groupBy("group", "tile").agg(F.collect_list(F.when(~F.col("second"), F.col("node"))).alias("a"), F.collect_list(F.when(F.col("second"), F.col("node"))).alias("b")).collect()
+    pairs = {(x, y) for t in later for x in t.a for y in [*t.a, *t.b]}
+    assert len(later) < 1200 and all((x, y) in pairs or (y, x) in pairs for x in range(3990, 4000) for y in range(4000))
+    assert jaccard.later_tiles(members.withColumn("label", F.lit(1))).count() == 0
+
+
+def test_joins_split_a_hub(spark):
+    """With broadcasts off and low limits, adaptive execution splits the partition of a node that has half of all links."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        from foliograph.llm.common import written
+
+        pairs = written(spark.range(400_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("u"), F.xxhash64("id").alias("v")), "hub")
+        star = components_module._star(pairs)
+        star.write.format("noop").mode("overwrite").save()
+        executed = star._jdf.queryExecution()
+        star.collect()
+        assert "isSkewJoin=true" in executed.executedPlan().toString() or "skew=true" in executed.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_pipeline_stage_drops_near_copies(spark):
     import corpus_pipeline
 
