@@ -2,11 +2,13 @@
 
 A page is one record, a gzip member of its own. Of pages with equal payloads of ``least`` bytes or more, the one with the
 largest page_id is a response and the others are revisits of it, which hold the payload's digest and not the payload.
-Groups are found by SHA-256 and length; only those of two or more pages are joined back.
+Groups are found by SHA-256 and length. Which page revisits which is worked out on a table without payloads; a payload moves
+once, by its row's number, so no task gets all copies of one.
 
 The reader gives each task a byte range of an archive. The task looks for the gzip magic, takes a candidate for a member
 if it decodes to a record's header, owns the records that start within its range, and reads on past its end to finish the
-last. From one member it goes straight to the next.
+last. From one member it goes straight to the next, and after its last one it makes sure that a whole member or the end of
+the archive follows. So each member is checked by its own task or the one before, and a damaged one raises an error.
 
 Defined results: null html is an empty payload; a null page_id is smaller than any other; rows that share the largest
 page_id of a group are one response, the others revisit it; an empty table makes no archive; other columns are ignored.
@@ -84,9 +86,10 @@ def write(pages: DataFrame, least: int = 0) -> list[tuple[str, int]]:
     rows = written(rows, "warc-rows")
     best = F.max(F.struct("page_id", "row", "url")).alias("best")
     several = rows.where("key is not null").groupBy(F.col("key").alias("__key")).agg(best, F.count("*").alias("n")).where("n > 1").select("__key", "best")
-    joined = rows.join(several, F.col("key") == F.col("__key"), "left")
-    original = F.when(F.col("best.row") != F.col("row"), F.col("best"))
-    out = joined.select("page_id", "row", "url", "html", original.getField("page_id").alias("p"), original.getField("row").alias("r"), original.getField("url").alias("u"))
+    several = written(several, "warc-groups")  # before it is joined back: only then may the join split a large group
+    revisits = rows.select("row", "key").join(several, F.col("key") == F.col("__key")).where("best.row <> row").select(F.col("row").alias("__row"), "best")
+    joined = rows.join(revisits, F.col("row") == F.col("__row"), "left")
+    out = joined.select("page_id", "row", "url", "html", F.col("best.page_id").alias("p"), F.col("best.row").alias("r"), F.col("best.url").alias("u"))
 
     def save(batches):
         context, file, name, size, number = TaskContext.get(), None, "", 0, 0
@@ -127,8 +130,10 @@ class _Window:
         self.file, self.size, self.begin, self.data = file, size, at, b""
 
     def byte(self, at: int, n: int) -> bytes:
-        """Up to ``n`` bytes from ``at``; what lies before is let go."""
-        if at > self.begin:
+        """Up to ``n`` bytes from ``at``; what lies before is let go, and read again if it is asked for again."""
+        if at < self.begin:
+            self.data, self.begin = b"", at
+        elif at > self.begin:
             self.data, self.begin = self.data[at - self.begin :], at
         while len(self.data) < n and self.begin + len(self.data) < self.size:
             self.file.seek(self.begin + len(self.data))
@@ -161,25 +166,29 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
 def records(file, size: int, begin: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of the records that start in [begin, end) of an archive."""
-    window, at = _Window(file, size, begin), begin
-    while at < end:
-        found = _member(window, at)
-        if found is None:  # look for the next candidate
-            data = window.byte(at + 1, STEP)
-            if len(data) < len(MAGIC):
-                return
-            k = data.find(MAGIC)
-            at += 1 + (k if k >= 0 else len(data) - len(MAGIC) + 1)
-            continue
-        content, after = found
+    """(fields, block) of the records that start in [begin, end) of an archive; an error if a member is damaged."""
+    window, at, found = _Window(file, size, begin), begin, None
+    while at < end and (found := _member(window, at)) is None:  # look for the first member
+        if begin == 0:
+            raise ValueError("the archive does not begin with a whole member")
+        data = window.byte(at + 1, STEP)
+        if len(data) < len(MAGIC):
+            return
+        k = data.find(MAGIC)
+        at += 1 + (k if k >= 0 else len(data) - len(MAGIC) + 1)
+    while found is not None:
+        content, at = found
         head, _, rest = content.partition(b"\r\n\r\n")
         yield _fields(head), rest[:-4]
-        at = after
+        found = _member(window, at) if at < size else None
+        if found is None and at < size:
+            raise ValueError(f"no whole member at byte {at}, where the one before it ends")
+        if at >= end:
+            return
 
 
 SCHEMA = "record_id string, record_type string, url string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -192,25 +201,29 @@ def _number(text: str) -> int | None:
 def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLIT) -> DataFrame:
     """The records of archives, a task for each range of ``split`` bytes. A response's digest is checked."""
     prepare(spark)
-    ranges = [(uri, size, at, min(size, at + split)) for uri, size in archives for at in range(0, size, split)]
-    if not ranges:
+    listed, total = [], 0
+    for uri, size in archives:  # one row an archive; its ranges are made by the tasks
+        listed.append((uri, size, total))
+        total += -(-size // split)
+    if not total:
         return spark.createDataFrame([], SCHEMA)
+    ranges = spark.createDataFrame(listed, "uri string, size long, first long").select("uri", "size", "first", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {split}"))).alias("k"))
+    ranges = ranges.where("size > 0").select("uri", "size", (F.col("k") * split).alias("begin"), (F.col("first") + F.col("k")).cast("int").alias("range")).repartitionById(total, "range")
 
     def scan(batches):
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                uri, size, begin, end = ranges[k]
+            for uri, size, begin in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 fs, path = filesystem(uri)
                 with fs.open_input_file(path) as file:
                     rows, held = [], 0
-                    for fields, block in records(file, size, begin, end):
+                    for fields, block in records(file, size, begin, min(size, begin + split)):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         response = fields["warc-type"] == "response"
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                         if response and digest_of(payload) != digest:
                             raise ValueError(f"a payload's digest is wrong in {uri}")
                         n = len(payload) if response else int(_fields(http)["content-length"])
-                        rows.append((fields["warc-record-id"], fields["warc-type"], fields["warc-target-uri"], _number(fields["x-page-id"]), digest, n, _number(fields.get("x-refers-to-page-id", "")), payload if response else None))
+                        rows.append((fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri"), _number(fields.get("x-page-id", "")), digest, n, _number(fields.get("x-refers-to-page-id", "")), payload if response else None))
                         held += len(block)
                         if held > 8 << 20:
                             yield _batch(rows)
@@ -218,7 +231,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLI
                     if rows:
                         yield _batch(rows)
 
-    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(scan, SCHEMA)
+    return ranges.mapInArrow(scan, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

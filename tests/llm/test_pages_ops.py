@@ -7,6 +7,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliograph.llm import html, queries, warc
 
@@ -143,6 +144,36 @@ def test_op10_every_split_finds_each_record_once():
         assert found == list(range(20 if split == 1 else 60))
 
 
+@pytest.mark.parametrize("split", [400, 3000, 1 << 20])
+def test_op10_damage_is_an_error_wherever_it_is(split):
+    rng = random.Random(5)
+    members = [warc.record(i, i, f"u{i}", rng.randbytes(rng.choice([5, 900]))) for i in range(12)]
+    data = b"".join(members)
+    read = lambda d: [f["x-page-id"] for a in range(0, len(d), split) for f, _ in warc.records(io.BytesIO(d), len(d), a, min(len(d), a + split))]
+    assert read(data) == [str(i) for i in range(12)]
+    at = 0
+    for m in members:
+        for place in (0, 1, 12, len(m) // 2, len(m) - 6):
+            bad = bytearray(data)
+            bad[at + place] ^= 0x55
+            with pytest.raises(ValueError):
+                read(bytes(bad))
+        at += len(m)
+    with pytest.raises(ValueError):
+        read(data[:-3])
+
+
+def test_op10_window_goes_back():
+    window = warc._Window(io.BytesIO(bytes(range(200))), 200, 0)
+    assert window.byte(50, 3) == bytes([50, 51, 52]) and window.byte(10, 2) == bytes([10, 11]) and window.byte(199, 5) == bytes([199])
+
+
+def test_op10_hot_payload_is_spread(spark):
+    df = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.lit("same " * 50)).otherwise(F.col("id").cast("string")).alias("html")).repartition(4)
+    rows = warc.read(spark, warc.write(df)).collect()
+    assert len(rows) == 3000 and {r.refers_to for r in rows if r.record_type == "revisit"} == {2999} and sum(r.record_type == "revisit" for r in rows) == 1999
+
+
 def test_op10_members_are_plain_gzip():
     data = warc.record(1, 0, "http://x", b"abc") + warc.record(2, 1, "http://y", b"abc", (1, 0, "http://x"))
     text = gzip.decompress(data).decode()
