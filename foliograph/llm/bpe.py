@@ -173,12 +173,13 @@ class Transducer:
             return [self.ranks[piece]]
         if len(self._states) > STATES:
             self._forget()
-        out, ended, state, following = [], [], 0, self._next
+        out, ended, state, following, mark = [], [], 0, self._next, LOOKAHEAD
         for byte in piece:
             state, token = following[state].get(byte) or self._step(state, byte)
             ended.append(token)
-            if len(ended) == LOOKAHEAD:
+            if len(ended) >= mark:
                 out += self._agreed(ended, state)
+                mark = max(LOOKAHEAD, 2 * len(ended))  # where nothing was final, look again after as much once more
         tail = self._chain(ended, len(ended))
         tail.reverse()
         return out + tail
