@@ -12,8 +12,12 @@ Documents are ranged by identifier over shards. A shard file holds, in this orde
 A key is the identifier as eight big-endian bytes with the sign bit flipped, so that byte order is numeric order;
 a null identifier is the empty key, which sorts first. A value is the document's ids, two or four bytes each.
 
+The number of shards follows the bytes of the texts, and rows of one identifier and text may go on in the next shard, so
+neither a shard's file nor what its writer holds (sixteen bytes a key) grows with the table.
+
 Defined results: null text has only the end id; rows with one identifier are kept side by side, ordered by a hash of
-the text, and ``lookup`` returns all of them; an empty table makes no shard; other columns are ignored.
+the text, and ``lookup`` returns all of them; an id too large for the width is an error; an empty table makes no shard;
+other columns are ignored.
 
 Shards are written under a name of the attempt's own and counted only through the manifest that Spark commits, so a
 lost executor or a speculative copy leaves no trace in the result.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,10 +47,13 @@ MAGIC = b"FGSST\x01\x00\x00"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, Bloom filter at, its bytes, blocks, documents, tokens, id width, magic
 BITS_A_KEY, PROBES = 10, 7
 BLOCK_BYTES = 64 << 10
+#: Bytes of text of a shard, a row counting ROW_BYTES besides.
+SHARD_BYTES, ROW_BYTES = 256 << 20, 32
+MASK = (1 << 64) - 1
 
 
 def key_of(doc_id: int | None) -> bytes:
-    return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+    return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & MASK)
 
 
 def id_of(key: bytes) -> int | None:
@@ -72,10 +80,14 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int) -> np.ndarray:
+def _hashes(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & 0xFFFFFFFFFFFFFFFF, (h >> 64) | 1
-    return np.array([(a + i * b) % bits for i in range(PROBES)], np.int64)
+    return h & MASK, h >> 64 | 1
+
+
+def _probes(first: np.ndarray, step: np.ndarray, bits: int) -> np.ndarray:
+    """The places of keys in a Bloom filter, by double hashing modulo 2^64."""
+    return (first[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)
 
 
 class Writer:
@@ -85,7 +97,7 @@ class Writer:
         self.out, self.width, self.block_bytes = out, width, block_bytes
         self.at = self.documents = self.tokens = 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes, self._before = array("Q"), None  # two for each distinct key
         self._zip = zstandard.ZstdCompressor(level=1)
         self._start()
 
@@ -93,6 +105,8 @@ class Writer:
         self._block, self._size, self._first, self._last = [], 0, None, b""
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"an id of {ids.max()} does not fit {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         if self._first is None:
             self._first = key
@@ -103,7 +117,9 @@ class Writer:
         self._block += [entry, value]
         self._size += len(entry) + len(value)
         self._last = key
-        self.keys.append(key)
+        if key != self._before:
+            self.hashes.extend(_hashes(key))
+            self._before = key
         self.documents += 1
         self.tokens += len(ids)
         if self._size >= self.block_bytes:
@@ -120,11 +136,13 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index = b"".join(_varint(len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index)
-        bits = max(64, BITS_A_KEY * len(set(self.keys)))
-        field = np.zeros(bits, np.uint8)
-        for key in self.keys:
-            field[_probes(key, bits)] = 1
-        bloom = struct.pack("<Q", bits) + np.packbits(field).tobytes()
+        hashes = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        bits = max(64, BITS_A_KEY * len(hashes))
+        field = np.zeros(-(-bits // 8), np.uint8)
+        for part in range(0, len(hashes), 1 << 16):
+            p = _probes(*hashes[part : part + (1 << 16)].T, bits)
+            np.bitwise_or.at(field, (p >> np.uint64(3)).astype(np.int64), (128 >> (p & np.uint64(7))).astype(np.uint8))
+        bloom = struct.pack("<Q", bits) + field.tobytes()
         self.out.write(index + bloom)
         self.out.write(FOOTER.pack(self.at, self.at + len(index), len(bloom), len(self.index), self.documents, self.tokens, self.width, MAGIC))
 
@@ -170,7 +188,7 @@ class Reader:
             yield from self._entries(block)
 
     def may_hold(self, key: bytes) -> bool:
-        p = _probes(key, self.bits)
+        p = _probes(*np.array(_hashes(key), np.uint64).reshape(2, 1), self.bits)[0].astype(np.int64)
         return bool(np.all(self.bloom[p >> 3] >> (7 - (p & 7)) & 1))
 
     def lookup(self, key: bytes) -> list[np.ndarray]:
@@ -199,7 +217,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 2, shar
     """Encode ``docs`` (doc_id, text) and write them as shards in ascending order; the shards, in order.
 
     One range exchange, then one pass. What comes to the driver is one row a shard. ``width``: 2 for vocabularies of
-    up to 65,536 ids, else 4.
+    up to 65,536 ids, else 4. ``shards``: by default one for SHARD_BYTES, and as many as Spark's shuffles have at least.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -223,9 +241,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 2, shar
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "file": [where], "documents": [writer.documents], "tokens": [writer.tokens], "first_key": [first]})
 
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + F.lit(ROW_BYTES).cast("long"))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    tie, place = F.xxhash64("text"), F.monotonically_increasing_id()
+    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place.alias("place")).repartitionByRange(n, "doc_id", tie, "place").sortWithinPartitions("doc_id", tie)
     manifest = written(ranged.mapInArrow(encode, "shard int, file string, documents long, tokens long, first_key binary"), "sst-manifest").orderBy("shard").collect()
     kept, start, out = {r.file for r in manifest}, 0, []
     from pyarrow.fs import FileSelector
@@ -245,12 +264,11 @@ def read(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids binary"
     if not shards:
         return spark.createDataFrame([], schema)
-    listed = [(s.uri, s.start) for s in shards]
+    listed = spark.createDataFrame([(k, s.uri, s.start) for k, s in enumerate(shards)], "shard int, uri string, start long").repartitionById(len(shards), "shard")
 
     def scan(batches):
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                uri, start = listed[k]
+            for uri, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 fs, path = filesystem(uri)
                 with fs.open_input_file(path) as file:
                     rows, held = [], 0
@@ -264,7 +282,7 @@ def read(spark: SparkSession, shards: list[Shard]) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return spark.range(0, len(listed), 1, len(listed)).mapInArrow(scan, schema)
+    return listed.mapInArrow(scan, schema)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ and sends only new ones to the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -22,6 +23,27 @@ KEPT, LONGEST = 900_000, 40
 OTHER = 0x250
 
 
+#: What a tokenizer file must say for cuts before spaces to change nothing; what it does not say is as here.
+LAYOUT = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False},
+}
+
+
+def check_layout(path: str) -> None:
+    """An error for a file that is no byte-level BPE with the usual pattern and without a normaliser."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    for part, want in LAYOUT.items():
+        have = found.get(part)
+        same = have is None if want is None else isinstance(have, dict) and all((have.get(k, v) or None) == (v or None) for k, v in want.items())
+        if not same:
+            raise ValueError(f"{path} is no plain byte-level BPE: its {part} is another")
+    if found["model"].get("type", "") != "BPE" or found["pre_tokenizer"].get("type", "") != "ByteLevel":
+        raise ValueError(f"{path} is no byte-level BPE")
+
+
 class Encoder:
     """Encodes texts to ids, packed as little-endian unsigned 32-bit integers."""
 
@@ -32,6 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        check_layout(path)
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._known: dict[str, bytes] = {}

@@ -84,6 +84,41 @@ def test_op1_block_format(tmp_path):
     assert sum(map(r.may_hold, absent)) < 100 and not any(r.lookup(k) for k in absent)
 
 
+def test_op1_ids_must_fit_the_width(tmp_path):
+    import pyarrow.fs as fs
+
+    with fs.LocalFileSystem().open_output_stream(str(tmp_path / "a")) as out:
+        w = sstable.Writer(out, 2)
+        w.add(b"a", np.array([65535], "<u4"))
+        with pytest.raises(ValueError):
+            w.add(b"b", np.array([70000], "<u4"))
+
+
+def test_op1_shards_follow_the_bytes_and_split_one_key(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 2000)
+    df = spark.range(600).select(F.when(F.col("id") % 3 > 0, None).otherwise(F.col("id")).alias("doc_id"), F.lit("one two").alias("text")).repartition(3)
+    shards = sstable.write(df, PATH)
+    assert len(shards) > 8 and max(s.documents for s in shards) < 150
+    got = sorted((r.start, r.doc_id) for r in sstable.read(spark, shards).collect())
+    n = len(library(["one two"])[0]) + 1
+    assert [s for s, _ in got] == list(range(0, 600 * n, n)) and [i for _, i in got] == [None] * 400 + list(range(0, 600, 3))
+    assert len(sstable.lookup(shards, None)) == 400 and len(sstable.lookup(shards, 300)) == 1 and sstable.lookup(shards, 1) == []
+
+
+def test_encoder_takes_plain_byte_level_bpe_alone(tmp_path):
+    import json
+
+    from foliograph.llm import tokens
+
+    tokens.check_layout(PATH)
+    with open(PATH, encoding="utf-8") as file:
+        good = json.load(file)
+    for part, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {**good["pre_tokenizer"], "add_prefix_space": True}), ("model", {**good["model"], "dropout": 0.1}), ("model", {"type": "Unigram"})):
+        (tmp_path / "t.json").write_text(json.dumps({**good, part: value}))
+        with pytest.raises(ValueError):
+            tokens.check_layout(str(tmp_path / "t.json"))
+
+
 def test_op1_empty(spark, odd):
     shards = sstable.write(odd.limit(0), PATH)
     assert shards == [] and sstable.read(spark, shards).count() == 0
