@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import io
 import random
+import re
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ AROUND = {
     "notices": f'<div class="cookie-banner"><p>We use cookies, and more cookies, and yet more, on this page, for you.</p></div><article>{ARTICLE}</article>',
     "advert inside": f'<article><h1>Title</h1><p>{P1}</p><div class="ad">Buy, buy, buy, now, here, today.</div><p>{P2}</p><aside>By the way, this, and that, and others.</aside><p>{P3}</p></article>',
     "form inside": f"<article>{ARTICLE}<form><label>Mail</label><input name=a><button>Send</button></form></article>",
-    "links inside": f'<article>{ARTICLE}<ul><li><a href=a>One more</a></li><li><a href=b>Another one</a></li><li><a href=c>And a third</a></li></ul></article>',
+    "links inside": f'<article>{ARTICLE}<ul class="related-links"><li><a href=a>One more</a></li><li><a href=b>Another one</a></li><li><a href=c>And a third</a></li></ul></article>',
     "unclosed": f"<article><h1>Title<h1></h1><p>{P1}<p><b>{P2}<br><p>{P3}</article>",
     "header in article": f"<article><header><h1>Title</h1><div>By someone, on a day</div></header><p>{P1}</p><p>{P2}</p><p>{P3}</p></article>",
     "page header": f"<header><div>Name, of, the, site</div></header><div><div>{ARTICLE}</div></div>",
@@ -80,6 +82,58 @@ def test_op9_rows_of_wrappers_stay(rows):
     assert html.main_text(page(body)) == "\n\n".join([P1, P2T] * rows)
 
 
+@pytest.mark.parametrize(
+    "inside,text",
+    [
+        (f'<section id="discussion"><h2>Discussion</h2><p>{P1}</p></section>', f"Discussion\n\n{P1}"),
+        (f'<div class="policy"><p>{P1}</p></div>', P1),
+        (f'<div class="promotion"><h2>Ranks</h2><p>{P1}</p></div>', f"Ranks\n\n{P1}"),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "Where x=1 holds"),
+        ("<div><label>Figure 1</label> shows it</div>", "Figure 1 shows it"),
+        ("<h2>Sources</h2><ul><li><a href=a>One book</a></li><li><a href=b>Another book</a></li><li><a href=c>A third</a></li></ul>", "Sources\n\nOne book\n\nAnother book\n\nA third"),
+        ("<!--><p>After an abrupt comment</p><!---><p>and another</p>", "After an abrupt comment\n\nand another"),
+        (f'<div class="section-header"><h2>Part</h2><div>by someone</div><p>{P1}</p></div>', f"Part\n\n{P1}"),
+    ],
+)
+def test_op9_article_text_stays(inside, text):
+    assert html.main_text(page(f"<nav><a href=/>Home</a></nav><article>{ARTICLE}{inside}<p>{P2}</p></article><footer>Foot</footer>")) == f"{WANT}\n\n{text}\n\n{P2T}"
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<div class="share-buttons">Share: <a href=a>One</a> <a href=b>Two</a></div>',
+        '<div class="newsletter"><p>Subscribe to the newsletter, for weekly news, at no cost, and more, every Monday morning, for all of you.</p><form><input name=m></form></div>',
+        '<div class="ad"><p>Buy this, and that, and more of it, at a price that is lower than ever, here, today, for all of you.</p></div>',
+        f'<div id="discussion"><div class="comment">{P1}</div><div class="comment">{P1}</div></div>',
+        f'<section class="comments"><p>{P1}</p><textarea>Write</textarea></section>',
+        '<div class="breadcrumbs">Home / News</div>',
+    ],
+)
+def test_op9_other_parts_of_an_article_go(inside):
+    assert html.main_text(page(f"<article>{ARTICLE}{inside}<p>{P2}</p></article>")) == f"{WANT}\n\n{P2T}"
+
+
+def test_op9_names_are_forgiven_where_no_prose_is_left():
+    assert html.main_text(page(f'<div class="social-policy">{ARTICLE}</div>')) == WANT
+    assert html.main_text(page(f'<div class="related">{ARTICLE}</div><div class="content"><h1>Title</h1><p>{P1}</p></div>')) == f"Title\n\n{P1}"
+    menu = "".join(f"<li><a href=/{k}>Page {k}</a></li>" for k in range(5))
+    assert html.main_text(page(f"<ul>{menu}</ul><div>{ARTICLE}</div><ul>{menu}</ul>")) == WANT
+
+
+def test_op9_ends_of_elements_keep_to_their_cells():
+    assert html.main_text(f"<div><table><tr><td>a</div>b<td>c</table><p>{P1}</p></div>") == f"ab\n\nc\n\n{P1}"
+
+
+@pytest.mark.parametrize("text", ["<div>", "<a ", "<div class=nav>", "<div>x", "<p><b>", "<ul><li>", "<table><tr><td>", "<!", "<a href='", "</p>", "<form><h1>"])
+def test_op9_takes_time_in_proportion_to_the_page(text):
+    import time
+
+    start = time.time()
+    html.main_text(text * 100_000)
+    assert time.time() - start < 8
+
+
 def test_op9_deep_nesting_ends():
     assert html.main_text("<div>" * 5000 + P1 + "</div>" * 5000) == P1
     assert html.main_text("<b>" * 5000 + P1) == P1
@@ -92,7 +146,8 @@ def test_op9_query(spark):
     for r in got:
         assert r.url == pages[r.page_id].url and r.n_chars == len(r.text) > 0 and "<" not in r.text
         inside = pages[r.page_id].html.split("<article>")[1].split("</article>")[0]
-        assert len(r.text.split()) == len(__import__("re").sub(r"<[^>]*>", " ", inside).split())
+        parts = re.split(r"</?(?:p|h1)[^>]*>", re.sub(r"<!--.*?-->", "", inside.replace("<br>", " "), flags=re.S))
+        assert r.text == "\n\n".join(t for t in (" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts) if t)
     odd = spark.createDataFrame([(1, None, None, 1), (None, "u", "<p>x", 2), (1, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html.extract(odd).collect()) == ["", "", "x"]
     assert html.extract(odd.limit(0)).count() == 0
