@@ -6,6 +6,8 @@ stripped before a ``$``.
 
 from __future__ import annotations
 
+import re
+
 #: White space as Python's str.strip() and split() know it.
 WS = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -96,6 +98,18 @@ class Dialect:
     def quantile(self, value: str, share: float, over: str = "") -> str:
         raise NotImplementedError
 
+    def quantiles(self, value: str, shares, over: str = "") -> str:
+        """An array of quantiles, in one aggregate."""
+        raise NotImplementedError
+
+    def item(self, array: str, place: int) -> str:
+        """An element of an array, counted from 1; null beyond its end."""
+        raise NotImplementedError
+
+    def fixed(self, value: str, digits: int) -> str:
+        """A number as text with so many decimals."""
+        raise NotImplementedError
+
     def last_known(self, value: str, over: str) -> str:
         raise NotImplementedError
 
@@ -121,6 +135,21 @@ class Dialect:
     def array(self, values) -> str:
         raise NotImplementedError
 
+    def split(self, text: str, by: str) -> str:
+        """A text cut at a fixed string, as an array."""
+        raise NotImplementedError
+
+    def size(self, array: str) -> str:
+        raise NotImplementedError
+
+    def numbers(self, last: str) -> str:
+        """The numbers from 1 to ``last``, as an array."""
+        raise NotImplementedError
+
+    def item_at(self, array: str, place: str) -> str:
+        """An element of an array at a computed place, counted from 1."""
+        raise NotImplementedError
+
 
 class Spark(Dialect):
     def string(self, value: str) -> str:
@@ -143,6 +172,15 @@ class Spark(Dialect):
     def quantile(self, value: str, share: float, over: str = "") -> str:
         return f"percentile({value}, {share!r}){f' OVER ({over})' if over else ''}"
 
+    def quantiles(self, value: str, shares, over: str = "") -> str:
+        return f"percentile({value}, array({', '.join(map(repr, shares))})){f' OVER ({over})' if over else ''}"
+
+    def item(self, array: str, place: int) -> str:
+        return f"get({array}, {place - 1})"
+
+    def fixed(self, value: str, digits: int) -> str:
+        return f"format_string('%.{digits}f', {value})"
+
     def last_known(self, value: str, over: str) -> str:
         return f"last_value({value}) IGNORE NULLS OVER ({over})"
 
@@ -165,6 +203,18 @@ class Spark(Dialect):
     def array(self, values) -> str:
         return f"array({', '.join(map(str, values))})"
 
+    def split(self, text: str, by: str) -> str:
+        return f"split({text}, {self.string(re.escape(by))})"
+
+    def size(self, array: str) -> str:
+        return f"size({array})"
+
+    def numbers(self, last: str) -> str:
+        return f"sequence(1, {last})"
+
+    def item_at(self, array: str, place: str) -> str:
+        return f"element_at({array}, {place})"
+
 
 class Duck(Dialect):
     def string(self, value: str) -> str:
@@ -182,6 +232,15 @@ class Duck(Dialect):
     def quantile(self, value: str, share: float, over: str = "") -> str:
         return f"quantile_cont(CAST({value} AS DOUBLE), {share!r}){f' OVER ({over})' if over else ''}"
 
+    def quantiles(self, value: str, shares, over: str = "") -> str:
+        return f"quantile_cont(CAST({value} AS DOUBLE), [{', '.join(map(repr, shares))}]){f' OVER ({over})' if over else ''}"
+
+    def item(self, array: str, place: int) -> str:
+        return f"{array}[{place}]"
+
+    def fixed(self, value: str, digits: int) -> str:
+        return f"printf('%.{digits}f', CAST({value} AS DOUBLE))"
+
     def last_known(self, value: str, over: str) -> str:
         return f"last_value({value} IGNORE NULLS) OVER ({over})"
 
@@ -203,5 +262,17 @@ class Duck(Dialect):
     def array(self, values) -> str:
         return f"[{', '.join(map(str, values))}]"
 
+    def split(self, text: str, by: str) -> str:
+        return f"string_split({text}, {self.string(by)})"
+
+    def size(self, array: str) -> str:
+        return f"len({array})"
+
+    def numbers(self, last: str) -> str:
+        return f"range(1, {last} + 1)"
+
+    def item_at(self, array: str, place: str) -> str:
+        return f"{array}[{place}]"
+
 
 SPARK, DUCK = Spark(), Duck()

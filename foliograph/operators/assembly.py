@@ -65,6 +65,17 @@ def heading_level(r: Relation) -> Relation:
     return r.add(heading_level="CASE WHEN word_count <= 12 AND NOT bullet AND NOT math AND NOT hyperlink THEN size_level ELSE 0 END")
 
 
+def spans_long(r: Relation, least: int = 3) -> Relation:
+    """Spans of more than ``least`` characters, each a row of its own: text, page_num, and style by the font's name."""
+    keys = [c for c in ("doc_id", "line_no", "span_no") if r.has(c)]
+    return r.where(f"length(text) > {least}").pick(*keys, "text", page_num="page", bold="contains(font, 'Bold')", italic="contains(font, 'Italic')")
+
+
+def line_position(r: Relation, height: str = "page_height") -> Relation:
+    """Add line_position_on_page: the top of the line over the page's height, 0 if that is 0 or unknown."""
+    return r.add(line_position_on_page=f"coalesce(y0 / nullif(CAST({height} AS DOUBLE), 0), 0)")
+
+
 def spacing(r: Relation) -> Relation:
     """Add line_spacing_above: the gap to the line before on the page, null on the first."""
     return r.add(line_spacing_above="y0 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY block_id)")

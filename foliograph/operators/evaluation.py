@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from ..plans import Relation
 
 TRUE, PRED, CONF = "is_heading", "is_heading_pred", "heading_confidence"
@@ -79,19 +81,67 @@ def split(r: Relation, share: int = 20) -> Relation:
     return r.add(__i=f"row_number() OVER (PARTITION BY doc_id, {TRUE} ORDER BY block_id)").add(held_out=f"(__i % {100 // share} = 0)").drop("__i")
 
 
+def feedback_reasons(reports: Relation) -> Relation:
+    """(reason, kind, blocks): how often reports name each decision that filters or keeps."""
+    d = reports.d
+    kind = d.cases(("filter_decision LIKE '%filtered%'", "'exclusion'"), ("filter_decision LIKE '%keep%'", "'preservation'"))
+    return reports.add(kind=kind).where("kind IS NOT NULL").group("filter_decision", "kind", blocks="CAST(sum(blocks) AS BIGINT)").pick("kind", "blocks", reason="filter_decision")
+
+
+#: What to do, when, over the mean rate and the blocks that each decision with 'filtered' in its name has.
+RECOMMENDATIONS = [
+    ("average_reduction_rate > 50", "High false positive rate detected - consider stricter training criteria"),
+    ("low_score > 100", "Many predictions filtered due to low scores - improve feature engineering"),
+    ("urls > 20", "URL detection in text - enhance text preprocessing"),
+    ("long_sentences > 30", "Long sentences being predicted as headings - improve length-based features"),
+]
+
+
 def feedback(reports: Relation) -> Relation:
-    """Over reports (doc_id, filter_decision, blocks): filtered and kept, the mean rate, and what to do about thresholds."""
+    """One row over reports (doc_id, filter_decision, blocks, reduction_rate): how many, the mean of their rates, what to do.
+
+    A report has a row for each of its decisions, all with its own rate. Only decisions named 'filtered' count as exclusions,
+    so the counts of 'excluded_urls' and 'excluded_long_sentences' are 0 unless a report puts them under such a name.
+    """
     d = reports.d
-    n = lambda c: f"sum(CASE WHEN {c} THEN blocks ELSE 0 END)"
-    each = reports.group("doc_id", filtered=n("filter_decision LIKE '%filtered%'"), kept=n("filter_decision LIKE '%keep%'"))
-    each = each.add(rate=f"coalesce({d.ratio('100 * filtered', '(filtered + kept)')}, {d.num(0.0)})")
-    out = each.group(reports="count(*)", filtered="CAST(sum(filtered) AS BIGINT)", kept="CAST(sum(kept) AS BIGINT)", reduction_rate="avg(rate)")
-    return out.add(advice=d.cases(("reduction_rate > 60", "'stricter'"), ("reduction_rate < 20", "'looser'"), otherwise="'unchanged'"))
+    n = lambda c: f"sum(CASE WHEN filter_decision LIKE '%filtered%' AND filter_decision = '{c}' THEN blocks ELSE 0 END)"
+    each = reports.group("doc_id", reduction_rate=f"coalesce(max(reduction_rate), {d.num(0.0)})", low_score=n("filtered_low_score"), urls=n("excluded_urls"), long_sentences=n("excluded_long_sentences"))
+    out = each.group(reports="count(*)", average_reduction_rate="avg(reduction_rate)", low_score="sum(low_score)", urls="sum(urls)", long_sentences="sum(long_sentences)")
+    return out.pick("reports", "average_reduction_rate", recommendations=d.listed(*RECOMMENDATIONS, by="; "))
 
 
 def training_rows(r: Relation) -> Relation:
-    """Rows for retraining: confident kept headings as 1, weak filtered ones as 0, tagged by source."""
+    """Rows for retraining: confident kept headings as 1, those filtered for a low score and unsure as 0, tagged by source."""
     d = r.d
-    kept = r.where(f"filter_decision = 'keep_high_confidence' AND heading_confidence >= {d.num(0.9)}", derived=True).add(is_heading="1", data_source="'filtering'")
-    lost = r.where(f"filter_decision LIKE 'filtered%' AND heading_confidence <= {d.num(0.6)}", derived=True).add(is_heading="0", data_source="'filtering'")
+    kept = r.where(f"filter_decision = 'keep_high_confidence' AND heading_confidence >= {d.num(0.9)}", derived=True).add(is_heading="1", data_source="'high_conf_preserved'")
+    lost = r.where(f"filter_decision = 'filtered_low_score' AND heading_confidence <= {d.num(0.6)}", derived=True).add(is_heading="0", data_source="'high_conf_filtered'")
     return kept.union(lost)
+
+
+def training_union(original: Relation, reviewed: Relation | None = None, decided: Relation | None = None) -> Relation:
+    """All rows to retrain on, by name: labels, reviewed corrections and confident decisions, tagged by data_source."""
+    out = original.add(data_source="'original_labels'")
+    if reviewed is not None:
+        out = out.union(reviewed.add(data_source="'reviewed_corrections'"))
+    return out if decided is None else out.union(training_rows(decided))
+
+
+def class_report(r: Relation, true: str = "heading_level", predicted: str = "predicted_level") -> Relation:
+    """One row a class: precision, recall, F1 and how many blocks are of it, 0 where a measure is undefined."""
+    d = r.d
+    own = r.group(true, support="count(*)", hits=f"sum(CASE WHEN {true} = {predicted} THEN 1 ELSE 0 END)").pick("support", "hits", label=true)
+    said = r.group(predicted, predicted_blocks="count(*)").pick("predicted_blocks", label=predicted)
+    both = own.join(said, ["label"], "full")
+    both = both.add(**{c: f"CAST(coalesce({c}, 0) AS BIGINT)" for c in ("support", "hits", "predicted_blocks")})
+    zero = d.num(0.0)
+    both = both.add(precision=f"coalesce({d.ratio('hits', 'predicted_blocks')}, {zero})", recall=f"coalesce({d.ratio('hits', 'support')}, {zero})")
+    return both.add(f1="CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE CAST(0 AS DOUBLE) END").drop("hits")
+
+
+def macro_auc(r: Relation, label: str, probabilities: Mapping[int, str]) -> Relation:
+    """One row: the mean area under the ROC curve of each class against the rest. ``probabilities``: class: column."""
+    parts = [auc(r.pick(**{TRUE: f"CASE WHEN {label} = {k} THEN 1 ELSE 0 END", CONF: column})).pick("auc") for k, column in probabilities.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.group(classes="count(*)", macro_auc="avg(auc)")

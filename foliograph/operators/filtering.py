@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+
 from ..functions import patterns as P
 from ..functions.patterns import portable
-from ..plans import Relation
+from ..plans import Relation, SparkRelation
 from .metadata import DOC, ORDERED, comprehensive
 from .rules import exclusion, positive, rule_filter
 
@@ -16,12 +18,13 @@ def document_stats(r: Relation) -> Relation:
     """One row a document: blocks, font sizes and their percentiles, words, pages."""
     d = r.d
     r = r.add(__n=d.words("coalesce(text, '')"))
-    return r.group(
+    r = r.group(
         "doc_id",
         total_blocks="count(*)", avg_font_size="avg(font_size)", font_size_std="stddev_samp(font_size)",
-        **{f"font_p{p}": d.quantile("font_size", p / 100) for p in PERCENTILES},
+        __q=d.quantiles("font_size", [p / 100 for p in PERCENTILES]),
         avg_word_count="avg(__n)", total_pages="max(page)", blocks_per_page="CAST(count(*) AS DOUBLE) / CASE WHEN max(page) > 0 THEN max(page) ELSE 1 END",
     )
+    return r.add(**{f"font_p{p}": d.item("__q", i) for i, p in enumerate(PERCENTILES, 1)}).drop("__q")
 
 
 def context(r: Relation) -> Relation:
@@ -44,9 +47,13 @@ def score(r: Relation) -> Relation:
     """The additive score of a block and its reasons. Needs is_heading_pred and heading_confidence."""
     d = r.d
     r = context(exclusion(rule_filter(positive(r))))
-    r = r.add(__t=d.strip("coalesce(text, '')"), **{f"__p{p}": d.quantile("font_size", p / 100, DOC) for p in (50, 90, 95, 98)})
-    r = r.add(__n=d.words("__t"))
+    r = r.add(__t=d.strip("coalesce(text, '')"), __q=d.quantiles("font_size", (0.5, 0.9, 0.95, 0.98), DOC))
+    r = r.add(__n=d.words("__t"), **{f"__p{p}": d.item("__q", i) for i, p in enumerate((50, 90, 95, 98), 1)})
     c = f"coalesce(heading_confidence, {d.num(HIGH)})"
+    figure = lambda name: f"concat('{name}_', {d.fixed(c, 3)})"
+    said = lambda name, column: f"concat('{name}_', {column})"
+    own = {k: figure(k) for k in ("high_confidence", "medium_confidence", "low_confidence", "very_low_confidence")}
+    own |= {"rule_reject": f"concat('rule_reject_', replace(rule_reasons, ';', '; rule_reject_'))", "excluded": said("excluded", "exclusion_reason"), "positive": said("positive", "positive")}
     confident = [(f"{c} >= {d.num(HIGH)}", 0.4, "high_confidence"), (f"{c} >= {d.num(MEDIUM)}", 0.2, "medium_confidence"), (f"{c} >= {d.num(LOW)}", 0.0, "low_confidence"), ("TRUE", -0.05, "very_low_confidence")]
     length = [("__n <= 1 AND length(__t) < 5", -0.2, "very_short"), ("__n > 30", -0.3, "too_long"), ("__n > 20", -0.1, "moderately_long"), ("__n BETWEEN 2 AND 15", 0.15, "good_length")]
     font = [("font_size >= __p98", 0.4, "very_large_font"), ("font_size >= __p95", 0.3, "large_font"), ("font_size >= __p90", 0.2, "above_avg_font"), ("font_size >= __p50", 0.1, "normal_font")]
@@ -64,12 +71,12 @@ def score(r: Relation) -> Relation:
         person = " OR ".join(d.rx("__t", *names[n]) for n in ("person_names", "university_patterns"))
         alone.append([(f"num_propn > 0 AND NOT ({person})", 0.05, "contains_proper_nouns")])
     total = " + ".join(d.cases(*((cond, d.num(p)) for cond, p, _ in part), otherwise=d.num(0.0)) for part in alone)
-    why = ", ".join(d.cases(*((cond, f"'{n}'") for cond, _, n in part)) for part in alone)
-    return r.add(filter_score=f"{d.num(0.5)} + {total}", filter_reasons=f"concat_ws('; ', {why})").drop("__t", "__n", "__p50", "__p90", "__p95", "__p98")
+    why = ", ".join(d.cases(*((cond, own.get(n, f"'{n}'")) for cond, _, n in part)) for part in alone)
+    return r.add(filter_score=f"{d.num(0.5)} + {total}", filter_reasons=f"concat_ws('; ', {why})").drop("__t", "__n", "__q", "__p50", "__p90", "__p95", "__p98")
 
 
 def enhanced_score(r: Relation) -> Relation:
-    """The score from the metadata of comprehensive(), within 0 and 1."""
+    """The score from the metadata of comprehensive(), within 0 and 1: filter_score, hard_filter, and why, as filter_reasons."""
     d = r.d
     if not r.has("heading_likelihood"):
         r = comprehensive(r)
@@ -82,7 +89,16 @@ def enhanced_score(r: Relation) -> Relation:
         d.cases(("font_category IN ('very_large', 'large')", d.num(0.1)), otherwise=d.num(0.0)),
         f"greatest(structure_score, 0) * {d.num(0.05)}", f"greatest(position_score, 0) * {d.num(0.03)}",
     ]
-    r = r.add(__s="heading_likelihood + " + " + ".join(parts).replace("+ - ", "- "))
+    text = lambda c: f"CAST({c} AS STRING)"
+    why = [
+        d.cases((f"__c >= {d.num(HIGH)}", f"concat('high_confidence_', {d.fixed('__c', 3)})"), (f"__c >= {d.num(MEDIUM)}", f"concat('medium_confidence_', {d.fixed('__c', 3)})"), otherwise=f"concat('low_confidence_', {d.fixed('__c', 3)})"),
+        f"CASE WHEN syntax_violations > 0 THEN concat('syntax_violations_', {text('syntax_violations')}) END",
+        "CASE WHEN content_type = 'heading_candidate' THEN content_type WHEN content_type IN ('technical', 'fragment') THEN concat('content_type_', content_type) END",
+        "CASE WHEN font_category IN ('very_large', 'large') THEN concat('font_', font_category) END",
+        *(f"CASE WHEN {c} > 0 THEN concat('{c}_', {text(c)}) END" for c in ("structure_score", "position_score")),
+        f"CASE WHEN {hard} THEN 'hard_filter_applied' END",
+    ]
+    r = r.add(filter_reasons=f"concat_ws('; ', {', '.join(why)})", __s="heading_likelihood + " + " + ".join(parts).replace("+ - ", "- "))
     return r.add(filter_score=f"greatest({d.num(0.0)}, least({d.num(1.0)}, CASE WHEN {hard} THEN least(__s, {d.num(0.2)}) ELSE __s END))", hard_filter=hard).drop("__t", "__c", "__s")
 
 
@@ -120,3 +136,26 @@ def summary(r: Relation) -> Relation:
         filtered_count="CAST(original_predictions - final_predictions AS BIGINT)",
         reduction_rate=f"coalesce({d.ratio('100 * (original_predictions - final_predictions)', 'original_predictions')}, {d.num(0.0)})",
     )
+
+
+def full_report(r: SparkRelation, reasons: str = "filter_reasons", n: int = 10) -> SparkRelation:
+    """One row a document, in the shape of a report: document_stats, filtering_summary, decision_breakdown, examples, thresholds.
+
+    Needs decide(); examples are the first ``n`` blocks kept and the first ``n`` filtered for a low score, in order.
+    """
+    from pyspark.sql import functions as F
+
+    by = Window.partitionBy("doc_id", "__example").orderBy("page", "block_id")
+    kind = F.when(F.col("filter_decision") == "filtered_low_score", "filtered").when(F.contains("filter_decision", F.lit("keep")), "preserved")
+    first = r.df.withColumn("__example", kind).where("__example is not null").withColumn("__i", F.row_number().over(by)).where(F.col("__i") <= n)
+    why = F.col(reasons) if r.has(reasons) else F.lit(None).cast("string")
+    own = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("__example") == k, F.struct("__i", "text", "filter_score", why.alias("filter_reasons"))))), lambda x: x.dropFields("__i")).alias(k)
+    examples = first.groupBy("doc_id").agg(F.struct(own("filtered"), own("preserved")).alias("examples"))
+    stats, sums = document_stats(r).df, summary(r).df
+    stats = stats.select("doc_id", F.struct(*(c for c in stats.columns if c != "doc_id")).alias("document_stats"))
+    sums = sums.select("doc_id", F.struct(*(c for c in sums.columns if c != "doc_id")).alias("filtering_summary"))
+    counts = report(r).df.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("filter_decision", "blocks")))).alias("decision_breakdown"))
+    out = sums.join(stats, "doc_id").join(counts, "doc_id").join(examples, "doc_id", "left")
+    limits = F.struct(*(F.lit(v).alias(f"{k}_confidence") for k, v in (("high", HIGH), ("medium", MEDIUM), ("low", LOW))))
+    empty = F.from_json(F.lit('{"filtered": [], "preserved": []}'), out.schema["examples"].dataType)
+    return SparkRelation(out.select("doc_id", "document_stats", "filtering_summary", "decision_breakdown", F.coalesce("examples", empty).alias("examples"), limits.alias("thresholds")))

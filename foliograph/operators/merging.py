@@ -85,5 +85,6 @@ def combine_tokens(r: Relation, label: str = "label") -> Relation:
 def corpus_level(r: Relation, label: str = "label") -> Relation:
     """Add heading_level to labelled tokens: titles 1; numbered short texts, then short sections, 2; others 0."""
     d = r.d
-    numbered = d.rx(d.strip("coalesce(text, '')"), portable(r"^\d+(\.\d+)*\.?\s"))
-    return r.add(heading_level=d.cases((f"lower({label}) = 'title'", "1"), (f"length(text) < 100 AND ({numbered} OR lower({label}) = 'section')", "2"), otherwise="0"))
+    r = r.add(__t=d.strip("coalesce(text, '')"))
+    numbered = d.rx("__t", portable(r"^\d+(\.\d+)*(\s|\.|:)"))
+    return r.add(heading_level=d.cases((f"lower({label}) = 'title'", "1"), (f"length(__t) < 100 AND ({numbered} OR lower({label}) = 'section')", "2"), otherwise="0")).drop("__t")

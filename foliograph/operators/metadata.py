@@ -70,6 +70,29 @@ def linguistics(r: Relation) -> Relation:
     ).drop("__x", "__n", "__case", "__end", "__size", "__anti", "__weight")
 
 
+def tagged(r: Relation) -> Relation:
+    """Add pos_heading_score, pos_patterns and pos_violations by counts of tags: favourable, neutral, unfavourable, has_subject, has_verb.
+
+    The counts are a tagger's, as ``functions.udf.heading_tags`` makes them; without them the score is 0.
+    """
+    d = r.d
+    if not (r.has("tags_favourable") and r.has("tags_unfavourable")):
+        return r.add(pos_heading_score=d.num(0.0), pos_patterns="''", pos_violations="0")
+    r = r.add(__all="tags_favourable + tags_neutral + tags_unfavourable")
+    r = r.add(__good=f"coalesce({d.ratio('tags_favourable', '__all')}, 0)", __bad=f"coalesce({d.ratio('tags_unfavourable', '__all')}, 0)")
+    good, bad, sentence = f"__good > {d.num(0.6)}", f"NOT __good > {d.num(0.6)} AND __bad > {d.num(0.4)}", "has_subject AND has_verb AND tags > 1"
+    return r.add(
+        pos_heading_score="2 * __good - 2 * __bad",
+        pos_patterns=d.listed((good, "favorable_pos"), (bad, "unfavorable_pos"), (sentence, "sentence_structure")),
+        pos_violations=d.points((bad, 1), (sentence, 2)),
+    ).drop("__all", "__good", "__bad")
+
+
+def whitespace_above(r: Relation, least: float = 20.0) -> Relation:
+    """Add whitespace_above: over ``least`` between a block and the end of the one before it on the page."""
+    return r.add(whitespace_above=f"coalesce(y0 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, block_id) > {r.d.num(least)}, FALSE)")
+
+
 def positions(r: Relation) -> Relation:
     """Place on the page, and short texts next to long ones."""
     d = r.d

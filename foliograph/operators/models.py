@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from copy import deepcopy
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -39,6 +42,46 @@ def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> Data
     return out.withColumn("is_heading_pred", (F.col("heading_confidence") >= threshold).cast("int")).drop("rawPrediction", "probability", "prediction", *(c for c in out.columns if c.startswith("__")))
 
 
+def predict_class(model: PipelineModel, df: DataFrame, name: str = "predicted_level") -> DataFrame:
+    """``df`` with the class that a forest of several classes finds likeliest, and the probability of each as an array."""
+    out = model.transform(df).withColumn(name, F.col("prediction").cast("int")).withColumn("class_probabilities", vector_to_array("probability"))
+    return out.drop("rawPrediction", "probability", "prediction", *(c for c in out.columns if c.startswith("__")))
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """What prediction needs: a model, the threshold chosen for it, and its columns in order."""
+
+    model: PipelineModel
+    columns: list[str]
+    threshold: float = 0.5
+    version: str = ""
+
+
+def save_bundle(bundle: Bundle, path: str) -> None:
+    """A model's own files and, beside them, its settings as a line of JSON."""
+    from pyspark.sql import SparkSession
+
+    bundle.model.write().overwrite().save(f"{path}/model")
+    line = json.dumps({"columns": bundle.columns, "threshold": bundle.threshold, "version": bundle.version})
+    SparkSession.getActiveSession().createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
+def load_bundle(path: str) -> Bundle:
+    from pyspark.sql import SparkSession
+
+    found = json.loads(SparkSession.getActiveSession().read.text(f"{path}/settings").first().value)
+    return Bundle(PipelineModel.load(f"{path}/model"), found["columns"], found["threshold"], found["version"])
+
+
+def selected(df: DataFrame, columns: list[str], label: str = "is_heading", most: int = 100, keep: int = 50) -> list[str]:
+    """The columns as they are, or of more than ``most`` the ``keep`` most important of a small forest, in their order."""
+    if len(columns) <= most:
+        return columns
+    best = {c for c, _ in importances(train_forest(df, columns, label, ForestSettings(trees=20, depth=8)), columns, keep)}
+    return [c for c in columns if c in best]
+
+
 def importances(model: PipelineModel, columns: list[str], n: int = 15) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(columns, values.tolist()), key=lambda x: (-x[1], x[0]))[:n]
@@ -49,9 +92,22 @@ def training_seconds(trees: int, rows: int, features: int) -> float:
     return trees * 0.5 * min(2.0, rows / 10000) * min(1.5, features / 100)
 
 
-def adjusted(settings: dict, reduction_rate: float) -> dict:
-    """Training settings after feedback: stricter over 60 percent filtered, looser under 20. The settings given stay as they are."""
-    out = {k: dict(v) if isinstance(v, dict) else v for k, v in settings.items()}
-    weight = out.get("positive_weight", ForestSettings.positive_weight)
-    out["positive_weight"] = weight * 0.8 if reduction_rate > 60 else weight * 1.2 if reduction_rate < 20 else weight
+def adjusted(settings: dict, reduction_rate: float, exclusions: Mapping[str, int] | None = None) -> dict:
+    """Training settings after feedback: stricter over 60 percent filtered, looser under 20. The settings given stay as they are.
+
+    ``settings``: pipeline_settings (confidence_threshold), model_params (class_weight by class), precision_filters
+    (min_font_size_percentile, max_word_count). ``exclusions``: how often each reason excluded a text.
+    """
+    out = deepcopy(settings)
+    pipeline, model, limits = (out.setdefault(k, {}) for k in ("pipeline_settings", "model_params", "precision_filters"))
+    threshold = pipeline.get("confidence_threshold", 0.5)
+    if reduction_rate > 60:
+        pipeline["confidence_threshold"] = min(0.95, threshold + 0.05)
+        weights = model.setdefault("class_weight", {})
+        weights["1"] = min(100, weights.get("1", 75) + 10)
+        limits["min_font_size_percentile"] = min(80, limits.get("min_font_size_percentile", 75) + 5)
+    elif reduction_rate < 20:
+        pipeline["confidence_threshold"] = max(0.75, threshold - 0.02)
+    if (exclusions or {}).get("excluded_long_sentences", 0) > 30:
+        limits["max_word_count"] = min(15, limits.get("max_word_count", 15) - 2)
     return out

@@ -78,3 +78,24 @@ def hierarchy(r: Relation) -> Relation:
     """Of each document's numbered blocks in order: whether no level is skipped on the way down."""
     r = r.where("numbered", derived=True).add(__before="coalesce(lag(number_level) OVER (PARTITION BY doc_id ORDER BY page, block_id), 0)")
     return r.group("doc_id", has_proper_hierarchy="bool_and(number_level <= __before + 1)", numbered_blocks="count(*)")
+
+
+def sequence_check(r: Relation) -> Relation:
+    """One row a document: whether its numbers skip no level and count up in each decimal place.
+
+    In each place the first number seen may be any, and each later one is the one before it plus one. Parts beyond 18 digits,
+    or in digits other than ASCII, count as out of sequence unless they are the first. Needs numbering().
+    """
+    d = r.d
+    order = "ORDER BY page, block_id"
+    ids = r.group("doc_id", __any="count(*)").pick("doc_id")
+    rows = r.where("numbered", derived=True).pick("doc_id", "block_id", "page", "number_level", "number_parts")
+    rows = rows.add(__before=f"coalesce(lag(number_level) OVER (PARTITION BY doc_id {order}), 0)")
+    levels = rows.group("doc_id", numbered_blocks="count(*)", has_proper_hierarchy="bool_and(number_level <= __before + 1)")
+    parts = rows.where("number_parts IS NOT NULL").add(__parts=d.split("number_parts", "."))
+    parts = parts.explode("place", d.numbers(d.size("__parts"))).add(part=d.item_at("__parts", "place")).where("part <> ''")
+    parts = parts.add(value="TRY_CAST(part AS BIGINT)").add(__last=f"lag(value) OVER (PARTITION BY doc_id, place {order})", __nth=f"row_number() OVER (PARTITION BY doc_id, place {order})")
+    good = parts.group("doc_id", has_sequential_numbering="bool_and(__nth = 1 OR coalesce(value = __last + 1, FALSE))")
+    out = ids.join(levels, ["doc_id"], "left").join(good, ["doc_id"], "left")
+    out = out.add(numbered_blocks="coalesce(numbered_blocks, 0)", has_proper_hierarchy="coalesce(has_proper_hierarchy, TRUE)", has_sequential_numbering="coalesce(has_sequential_numbering, TRUE)")
+    return out.add(is_consistent="has_proper_hierarchy AND has_sequential_numbering")

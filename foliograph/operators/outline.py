@@ -42,6 +42,19 @@ def filename_title(d, name: str) -> str:
     return f"initcap(translate({d.replace(name, r'\.[A-Za-z]+$')}, '_-', '  '))"
 
 
+def metadata_title(d, title: str, name: str, keep_empty: bool = False) -> str:
+    """A title from a document's metadata, else its name; ``keep_empty``: an empty title is one."""
+    return f"coalesce({title}, {name})" if keep_empty else f"coalesce(nullif({title}, ''), {name})"
+
+
+def boxed(r: Relation) -> Relation:
+    """Headings as outline entries with a box: place, text, level, page and x1, y1, x2, y2 by their defaults where missing."""
+    d = r.d
+    box = {c: f"coalesce({c}, {d.num(v)})" if r.has(c) else d.num(v) for c, v in (("x1", 0.0), ("y1", 0.0), ("x2", 100.0), ("y2", 20.0))}
+    level = "coalesce(CAST(heading_level AS STRING), 'H1')" if r.has("heading_level") else "'H1'"
+    return r.where("is_heading = 1").pick("doc_id", place="CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, block_id) AS INT)", text=d.strip("coalesce(text, '')"), level=level, page="coalesce(page, 1)", **box)
+
+
 def with_first_h1(rows: Relation) -> Relation:
     """Outline entries with h1, the text of the document's first H1 among 100 entries."""
     h1 = "level = 'H1' AND place <= 100"

@@ -9,6 +9,11 @@ from ..plans import Relation
 CONTROL = r"[\x{0}-\x{1F}\x{7F}-\x{9F}]"
 
 
+def strip_control(r: Relation) -> Relation:
+    """Texts without control characters other than tabs and line feeds."""
+    return r.add(text=r.d.replace("coalesce(text, '')", r"[\x{0}-\x{8}\x{B}-\x{1F}\x{7F}-\x{9F}]"))
+
+
 def valid_text(r: Relation) -> Relation:
     """Add valid_text: whether a text is fit to be a heading at all."""
     d = r.d

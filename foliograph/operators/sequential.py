@@ -1,7 +1,8 @@
-"""Greedy merges and sequence checks: each step depends on what the steps before it consumed.
+"""Greedy merges: each step depends on what the steps before it consumed.
 
 They run per document over its blocks in order. A document's rows come to one task, as a stream of batches; what is held
-is the few rows that a merge may look ahead to, so the length of a document does not matter.
+is the few rows that a merge may look ahead to, so the length of a document does not matter. Of blocks, only the columns
+that a merge reads leave Arrow; the others pass through as they are.
 """
 
 from __future__ import annotations
@@ -49,45 +50,70 @@ def per_document(df: DataFrame, order: list[str], schema, run: Callable[[Iterato
         kinds = to_arrow_schema(schema)
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.field(c).type) for c in names], names)
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(batches, schema)
+    return df.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(batches, schema)
 
 
-def broken_headings(rows: Iterator[dict]) -> Iterator[dict]:
-    """Join single capitalised words that follow one another as headings on a page; the first takes the text."""
-    window: list[dict] = []
-    rows = iter(rows)
+AHEAD = 3  # rows after a block that a merge of broken headings may read
 
-    def fill(n: int) -> None:
-        while len(window) < n and (row := next(rows, None)) is not None:
-            window.append(dict(row, broken_decision=None))
 
-    fill(4)
-    while window:
-        first = window[0]
-        text = (first["text"] or "").strip()
-        if first["broken_decision"] is None and len(window) > 2 and first["is_heading_pred"] == 1 and _single(text):
-            own = [first]
-            for other in window[1:4]:
-                if other["broken_decision"] is not None:
-                    continue
-                t = (other["text"] or "").strip()
-                if other["is_heading_pred"] != 1 or other["page"] != first["page"]:
-                    break
-                if _single(t):
-                    own.append(other)
-                else:
-                    if t and len(t.split()) <= 3 and t[0].isupper():
-                        own.append(other)
-                    break
-            texts = [(r["text"] or "").strip() for r in own]
-            merged = " ".join(texts)
-            if len(own) > 1 and len(merged) >= 5 and len(merged.split()) <= 6 and not any(t.lower() in STOP for t in texts):
-                first["text"], first["broken_decision"] = merged, "merged_broken_heading"
-                for r in own[1:]:
-                    r["is_heading_pred"], r["broken_decision"] = 0, "merged_into_broken_heading"
-        yield window.pop(0)
-        fill(4)
+def broken_headings(texts: list, heads: list, pages: list, docs: list, done: list, upto: int) -> None:
+    """Join single capitalised words that follow one another as headings on a page, for the first ``upto`` rows, in place.
+
+    The first of them takes the text; ``done`` gets the decisions. A block needs two more of its document after it.
+    """
+    for i in range(upto):
+        last = i + 1
+        while last < len(docs) and last <= i + AHEAD and docs[last] == docs[i]:
+            last += 1
+        text = (texts[i] or "").strip()
+        if done[i] is not None or last - i < 3 or heads[i] != 1 or not _single(text):
+            continue
+        own = [i]
+        for k in range(i + 1, last):
+            if done[k] is not None:
+                continue
+            t = (texts[k] or "").strip()
+            if heads[k] != 1 or pages[k] != pages[i]:
+                break
+            if _single(t):
+                own.append(k)
+            else:
+                if t and len(t.split()) <= 3 and t[0].isupper():
+                    own.append(k)
+                break
+        found = [(texts[k] or "").strip() for k in own]
+        merged = " ".join(found)
+        if len(own) > 1 and len(merged) >= 5 and len(merged.split()) <= 6 and not any(t.lower() in STOP for t in found):
+            texts[i], done[i] = merged, "merged_broken_heading"
+            for k in own[1:]:
+                heads[k], done[k] = 0, "merged_into_broken_heading"
+
+
+def merge_broken(df: DataFrame, order: list[str], schema) -> DataFrame:
+    """Blocks with broken_headings() applied to each document; ``schema`` is theirs with broken_decision after it."""
+    places = [df.columns.index(c) for c in ("text", "is_heading_pred", "page", "doc_id")]
+    decision = len(df.columns)
+
+    def applied(table: pa.Table, upto: int) -> pa.Table:
+        columns = [table.column(k).to_pylist() for k in (*places, decision)]
+        broken_headings(*columns, upto)
+        for k, values in ((places[0], columns[0]), (places[1], columns[1]), (decision, columns[4])):
+            table = table.set_column(k, table.schema.field(k), pa.array(values, table.schema.field(k).type))
+        return table
+
+    def batches(found):
+        held = None
+        for batch in found:
+            now = pa.Table.from_batches([batch]).append_column(pa.field("broken_decision", pa.string()), pa.nulls(batch.num_rows, pa.string()))
+            now = now if held is None else pa.concat_tables([held, now])
+            upto = max(0, now.num_rows - AHEAD)
+            now = applied(now, upto)
+            yield from now.slice(0, upto).combine_chunks().to_batches()
+            held = now.slice(upto)
+        if held is not None and held.num_rows:
+            yield from applied(held, held.num_rows).combine_chunks().to_batches()
+
+    return df.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(batches, schema)
 
 
 def _single(text: str) -> bool:
@@ -126,24 +152,3 @@ def outline_merge(rows: Iterator[dict]) -> Iterator[dict]:
         yield out
         del window[:used]
         fill(5)
-
-
-def sequence_check(rows: Iterator[dict]) -> Iterator[dict]:
-    """Whether a document's decimal numbers count up in each place: after the first seen, each is the last plus one."""
-    last: dict[int, int] = {}
-    good, doc_id, n, level, proper = True, None, 0, 0, True
-    for row in rows:
-        doc_id = row["doc_id"]
-        if not row["numbered"]:
-            continue
-        n += 1
-        proper &= row["number_level"] <= level + 1
-        level = row["number_level"]
-        for place, part in enumerate((row["number_parts"] or "").split(".")):
-            if part:
-                value, want = int(part), last.get(place, 0) + 1
-                if value == want or place not in last:
-                    last[place] = value
-                else:
-                    good = False
-    yield {"doc_id": doc_id, "numbered_blocks": n, "has_proper_hierarchy": proper, "has_sequential_numbering": good, "is_consistent": proper and good}

@@ -144,7 +144,7 @@ class SqlRelation(Relation):
             exists = "EXISTS" if how == "left_semi" else "NOT EXISTS"
             return self._next(f"SELECT * FROM {self.source} AS a WHERE {exists} (SELECT 1 FROM {other.source} AS b WHERE {same})", self._columns, self._with(other))
         rest = [c for c in self._columns if c not in on], [c for c in other._columns if c not in on]
-        cols = ", ".join([*(f"a.{c}" for c in on), *(f"a.{c}" for c in rest[0]), *(f"b.{c}" for c in rest[1])])
+        cols = ", ".join([*(f"coalesce(a.{c}, b.{c}) AS {c}" if how == "full" else f"a.{c}" for c in on), *(f"a.{c}" for c in rest[0]), *(f"b.{c}" for c in rest[1])])
         text = f"SELECT {cols} FROM {self.source} AS a {how.upper()} JOIN {other.source} AS b ON {' AND '.join(f'a.{c} = b.{c}' for c in on)}"
         return self._next(text, [*on, *rest[0], *rest[1]], self._with(other))
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import api
+from . import api, oracle
 from .operators import assembly, classify, evaluation, features, filtering, merging, metadata, numbering, outline, quality, rules
 from .plans import Relation
-from .sources import blocks
+from .sources import blocks, readers
 from .sources.blocks import SparkTables, SqlTables
 
 KEY = ("doc_id", "block_id")
@@ -33,15 +34,17 @@ def _spans(t) -> Relation:
     return r.pick("doc_id", "line_no", "span_no", "text", "size", "font", "flags", "color", "x0", "y0", "x1", "y1", page="CAST(floor(line_no / 20) + 1 AS INT)", page_height="CAST(800 AS DOUBLE)")
 
 
-def a_token_rows(t) -> Relation:
-    r = blocks.star(t).pick(*KEY, "page", "x0", "y0", "x1", "y1", line=f"concat_ws(chr(9), text, CAST(page AS STRING), 'a', 'b', 'c', 'd', 'e', 'f', 'g', CASE WHEN bold THEN 'title' WHEN block_id % 5 = 0 THEN '##LTLine##' ELSE 'paragraph' END)")
-    d = r.d
-    tabs = d.count("line", "\t")
-    return r.where(f"{tabs} >= 9").add(label=d.extract("line", "([^\t]*)$"), text=d.extract("line", "^([^\t]*)")).where("label <> '##LTLine##'").pick(*KEY, "text", "label", "page")
+def a_token_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of tab-separated lines; every third line has the marker that is no token, every seventh too few fields."""
+    rows = blocks.star(SparkTables(spark, folder)).df
+    fields = ["text", *("CAST(CAST(%s AS INT) AS STRING)" % c for c in ("x0", "y0", "x1", "y1")), "'0'", "'0'", "'0'", "'Font'", "CASE WHEN block_id % 3 = 0 THEN '##LTLine##' WHEN bold THEN 'title' ELSE 'paragraph' END"]
+    line = f"CASE WHEN block_id % 7 = 0 THEN concat_ws(chr(9), text, 'short') ELSE concat_ws(chr(9), {', '.join(fields)}) END"
+    lines = rows.selectExpr(f"{line} AS value", "concat('/in/', doc_id, '/', block_id, '_', page - 1, '.txt') AS path")
+    return readers.parse_tokens(lines).select("path", "text", "label", "page", "x0", "y0", "x1", "y1")
 
 
 def a_spans_long(t) -> Relation:
-    return _spans(t).where("length(text) > 3").pick("doc_id", "line_no", "span_no", "text", page_num="page", bold="contains(font, 'Bold')", italic="contains(font, 'Italic')")
+    return assembly.spans_long(_spans(t))
 
 
 def b_merge_spans(t) -> Relation:
@@ -57,8 +60,12 @@ def b_text_flags_lines(t) -> Relation:
 
 
 def b_line_spacing(t) -> Relation:
-    r = assembly.spacing(blocks.star(t)).add(line_position=f"coalesce(y0 / nullif(CAST(800 AS DOUBLE), 0), 0)")
-    return rounded(r.pick(*KEY, "line_spacing_above", "line_position"), "line_spacing_above")
+    r = assembly.line_position(assembly.spacing(blocks.star(t)).add(page_height="CASE WHEN doc_id % 9 = 0 THEN 0 ELSE 900 END"))
+    return rounded(r.pick(*KEY, "line_spacing_above", "line_position_on_page"), "line_spacing_above", "line_position_on_page")
+
+
+def b_strip_control(t) -> Relation:
+    return quality.strip_control(blocks.star(t).add(text="concat(chr(8), substr(text, 1, 3), chr(127), chr(9), substr(text, 4), chr(11))")).pick(*KEY, "text")
 
 
 def b_size_level(t) -> Relation:
@@ -282,12 +289,23 @@ def l_font(t) -> Relation:
 
 def l_pos(t) -> Relation:
     r = blocks.star(t).add(num_nouns="CAST(block_id % 4 AS INT)", num_verbs="CAST(block_id % 2 AS INT)", num_propn="CAST(block_id % 3 AS INT)")
-    r = features.retraining_features(features.short_features(features.pos_features(r)))
-    return rounded(r.pick(*KEY, "total_pos_tags", "noun_ratio", "verb_ratio", "adj_ratio", "propn_ratio", "high_noun_content", "has_proper_nouns", "minimal_verbs", "heading_pos_pattern", "text_very_short", "text_short", "left_quarter", "is_question", "is_list_item", "has_url"), "noun_ratio", "verb_ratio", "adj_ratio", "propn_ratio")
+    r = features.retraining_features(features.short_features(features.pos_features(r)), {"excluded_urls": 21, "excluded_long_sentences": 31})
+    return rounded(r.pick(*KEY, "total_pos_tags", "noun_ratio", "verb_ratio", "adj_ratio", "propn_ratio", "high_noun_content", "has_proper_nouns", "minimal_verbs", "heading_pos_pattern", "text_very_short", "text_short", "left_quarter", "is_question", "is_list_item", "enhanced_url_detection", "is_long_sentence"), "noun_ratio", "verb_ratio", "adj_ratio", "propn_ratio")
+
+
+def l_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    rows = features.tfidf_rows(blocks.lines(SparkTables(spark, folder)).df, "the of and to in is that it for on".split())
+    return rows.withColumn("weight", F.round("weight", 6))
+
 
+def l_coerced(t) -> Relation:
+    r = blocks.star(t).add(punctuation_count="CASE WHEN block_id % 5 = 0 THEN 'many' ELSE CAST(x0 AS STRING) END", relative_font_size="font_size / 10 - 1", is_all_caps="bold")
+    return features.coerced(r).pick(*KEY, *features.COERCED, "bold", "italic", "is_all_caps")
 
-def l_tfidf(t) -> Relation:
-    return rounded(features.tfidf(blocks.lines(t), "the of and to in is that it for on".split()), "weight")
+
+def i_must_compute(t) -> Relation:
+    r = merging.distance(blocks.star(t)).add(num_nouns="0", num_verbs="0", num_adjs="0", num_advs="0", num_propn="0", num_pronouns="0")
+    return features.must_compute(r).union(features.must_compute(r.add(num_other_pos="page", distance_to_previous_heading="0")))
 
 
 def l_align(t) -> Relation:
@@ -315,12 +333,59 @@ def n_dataset(t) -> Relation:
     return rounded(evaluation.dataset_stats(r.where("NOT held_out")), "heading_percent")
 
 
+def _reports(t) -> Relation:
+    """Reports of all documents, and one that an older filter made."""
+    r = _decided(t)
+    rows = filtering.report(r).join(filtering.summary(r).pick("doc_id", "reduction_rate"), ["doc_id"])
+    return rows.union(rows.add(doc_id="-doc_id", filter_decision="'filtered_low_score'"))
+
+
 def o_feedback(t) -> Relation:
-    return rounded(evaluation.feedback(filtering.report(_decided(t))), "reduction_rate")
+    return rounded(evaluation.feedback(_reports(t)), "average_reduction_rate")
+
+
+def o_feedback_reasons(t) -> Relation:
+    return evaluation.feedback_reasons(_reports(t))
 
 
 def o_training_rows(t) -> Relation:
-    return evaluation.training_rows(_decided(t)).pick(*KEY, "is_heading", "data_source", "filter_decision")
+    r = _decided(t).add(filter_decision="CASE WHEN block_id % 11 = 0 THEN 'filtered_low_score' ELSE filter_decision END")
+    return evaluation.training_union(blocks.star(t).where("italic"), blocks.star(t).where("heading_level = 2"), r).pick(*KEY, "is_heading", "data_source")
+
+
+def n_class_report(t) -> Relation:
+    return rounded(evaluation.class_report(assembly.size_rank(blocks.star(t)), predicted="size_level"), "precision", "recall", "f1")
+
+
+def n_macro_auc(t) -> Relation:
+    r = blocks.star(t).add(p0="heading_confidence", p1="1 - heading_confidence", p2="font_size / 30", p3="line_position_on_page")
+    return rounded(evaluation.macro_auc(r, "heading_level", {0: "p0", 1: "p1", 2: "p2", 3: "p3"}), "macro_auc")
+
+
+def f_whitespace(t) -> Relation:
+    return metadata.whitespace_above(blocks.star(t).where("block_id % 4 <> 1")).pick(*KEY, "whitespace_above")
+
+
+def f_tagged(t) -> Relation:
+    r = blocks.star(t).add(tags_favourable="CAST(block_id % 5 AS INT)", tags_neutral="CAST(block_id % 2 AS INT)", tags_unfavourable="CAST(block_id % 3 AS INT)", tags="CAST(block_id % 7 AS INT)", has_subject="bold", has_verb="page > 2")
+    return rounded(metadata.tagged(r).pick(*KEY, "pos_heading_score", "pos_patterns", "pos_violations"), "pos_heading_score")
+
+
+def g_enhanced_reasons(t) -> Relation:
+    return filtering.enhanced_score(blocks.star(t)).pick(*KEY, "filter_reasons")
+
+
+def k_named_titles(t) -> Relation:
+    names = t("pages").pick(doc_id="page_id", name="concat('annual_report-of_', CAST(page_id AS STRING), '.pdf')")
+    return outline.titles(classify.rule_headings(blocks.page(t).where("tag <> 'title' AND tag <> 'h1'")), names)
+
+
+def k_boxed(t) -> Relation:
+    return outline.boxed(blocks.star(t).drop("y1"))
+
+
+def d_sequence(t) -> Relation:
+    return numbering.sequence_check(numbering.numbering(blocks.star(t)))
 
 
 def p_topk(t) -> Relation:
@@ -379,19 +444,18 @@ def q_listing(t) -> Relation:
     return outline.listing(blocks.star(t).where("is_heading = 1"), ["^blue "], 20).pick(*KEY, "kind", "page", "text")
 
 
-PLANS: dict[str, Callable] = {k: f for k, f in globals().items() if k[1:2] == "_" and callable(f) and k[0] in "abcdefghijklmnopq"}
+#: Queries that are not plans of one relation; their SQL, where there is any, is in ``oracle``.
+DIRECT = {f.__name__: f for f in (a_token_rows, l_tfidf)}
+PLANS: dict[str, Callable] = {k: f for k, f in globals().items() if k[1:2] == "_" and callable(f) and k[0] in "abcdefghijklmnopq" and k not in DIRECT}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, folder, f=f: f(SparkTables(spark, folder)).df) for k, f in PLANS.items()} | SPARK_ONLY
+    return {k: (lambda spark, folder, f=f: f(SparkTables(spark, folder)).df) for k, f in PLANS.items()} | DIRECT | SPARK_ONLY
 
 
 def sql_queries() -> dict[str, str]:
-    return {k: f(SqlTables()).sql() for k, f in PLANS.items()}
-
-
-def d_sequence(spark: SparkSession, folder: str) -> DataFrame:
-    return api.check_sequences(blocks.star(SparkTables(spark, folder)).df)
+    """SQL for DuckDB: written by hand where there is a text in ``oracle``, else the query's own plan."""
+    return {k: f(SqlTables()).sql() for k, f in PLANS.items()} | oracle.SQL
 
 
 def h_broken_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -417,5 +481,27 @@ def n_forest(spark: SparkSession, folder: str) -> DataFrame:
     return models.predict(model, rows.where("held_out")).select("doc_id", "block_id", "is_heading", "is_heading_pred", "heading_confidence")
 
 
-#: Queries that SQL cannot express: greedy merges, sequence checks, nested results, random forests.
-SPARK_ONLY = {f.__name__: f for f in (d_sequence, h_broken_merge, h_outline_merge, k_outline_nested, n_forest)}
+def g_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole filter: decisions, titles and merges; no SQL, since the last merge is greedy."""
+    rows = api.filter_predictions(blocks.star(SparkTables(spark, folder)).df)
+    return rows.select(*KEY, "text", "is_heading_pred", "filter_decision", "title_role", "merge_decision", "broken_decision")
+
+
+def g_full_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports as text, one row a document."""
+    rows = api.report(blocks.star(SparkTables(spark, folder)).df)
+    return rows.select("doc_id", F.to_json(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("report"))
+
+
+def n_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """A bundle trained on the even documents and applied to the odd ones, filtered; trees are random, if seeded."""
+    from .operators import models
+
+    rows = blocks.star(SparkTables(spark, folder)).df
+    bundle = api.train(rows.where("doc_id % 2 = 0"), ["text_length", "word_count", "font_size_normalized", "font_ge_90p", "bold"], models.ForestSettings(trees=20, depth=8))
+    found, _ = api.predict_headings(rows.where("doc_id % 2 = 1").drop("heading_confidence", "is_heading_pred"), bundle)
+    return found.select(*KEY, "heading_confidence", "is_heading_pred", "filter_decision")
+
+
+#: Queries that SQL cannot express: greedy merges, nested results, random forests.
+SPARK_ONLY = {f.__name__: f for f in (h_broken_merge, h_outline_merge, k_outline_nested, n_forest, g_filter, g_full_report, n_predict)}

@@ -77,22 +77,31 @@ def star(tables) -> Relation:
     return r.add(x1="x0 + width", y1="y0 + height").drop("width", "height")
 
 
+#: Elements within a line of text.
+INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
+
+
 def page(tables) -> Relation:
-    """Blocks of web pages: titles, headings, paragraphs, list entries and footers, each up to the first tag within."""
+    """Blocks of web pages: titles, headings, paragraphs, list entries and footers, each up to the next block-level tag.
+
+    Comments, scripts and styles go, and so do the tags of inline elements, whose text stays.
+    """
     r = tables("pages")
-    pattern = r"<(h1|title|p|li|footer)>(?:<[a-z][^>]*>)*([^<]*)"
-    s = r.d.string(pattern)
+    d = r.d
+    text = d.replace("html", r"(?s)<!--.*?-->|(?i:<script[\s>].*?</script>|<style[\s>].*?</style>)")
+    text = d.replace(d.replace(text, r"(?i)<br\s*/?>", " "), rf"(?i)</?(?:{'|'.join(INLINE)})(?:\s[^>]*)?/?>")
+    r = r.pick("page_id", html=text)
+    s = d.string(r"(?i)<(h[1-6]|title|p|li|footer)(?:\s[^>]*)?>([^<]*)")
     zipped = "arrays_zip({0}, {1})" if isinstance(r, SparkRelation) else "list_zip({0}, {1})"
     r = r.pick(doc_id="page_id", __tags=f"regexp_extract_all(html, {s}, 1)", __texts=f"regexp_extract_all(html, {s}, 2)")
     if isinstance(r, SparkRelation):
         r = SparkRelation(r.df.selectExpr("doc_id", f"posexplode({zipped.format('__tags', '__texts')}) as (__pos, __x)").selectExpr("doc_id", "CAST(__pos AS BIGINT) AS block_id", "__x.`0` AS tag" if "0" in str(r.df.selectExpr(zipped.format("__tags", "__texts") + " as z").schema) else "__x.__tags AS tag", "__x.__texts AS text"))
     else:
         r = r.pick("doc_id", tag="unnest(__tags)", text="unnest(__texts)", block_id="CAST(unnest(range(len(__tags))) AS BIGINT)")
-    d = r.d
-    return r.pick(
+    return r.add(tag="lower(tag)").pick(
         "doc_id", "block_id", "tag", text=d.strip("text"), page="1",
-        font_size=f"CAST(CASE tag WHEN 'title' THEN 24 WHEN 'h1' THEN 18 WHEN 'p' THEN 10 WHEN 'li' THEN 9 ELSE 8 END AS DOUBLE)",
-        bold="tag IN ('h1', 'title')", italic="FALSE", line_position_on_page="CAST(least(block_id, 40) AS DOUBLE) / CAST(40 AS DOUBLE)",
+        font_size="CAST(CASE tag WHEN 'title' THEN 24 WHEN 'h1' THEN 18 WHEN 'h2' THEN 16 WHEN 'h3' THEN 14 WHEN 'h4' THEN 13 WHEN 'h5' THEN 12 WHEN 'h6' THEN 11 WHEN 'p' THEN 10 WHEN 'li' THEN 9 ELSE 8 END AS DOUBLE)",
+        bold="tag <> 'p' AND tag <> 'li' AND tag <> 'footer'", italic="FALSE", line_position_on_page="CAST(least(block_id, 40) AS DOUBLE) / CAST(40 AS DOUBLE)",
     )
 
 

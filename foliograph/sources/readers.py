@@ -86,10 +86,22 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
-    """Filter reports, their decision counts as rows: (doc_id, filter_decision, blocks), the file being the document."""
+    """Filter reports, their decision counts as rows: (doc_id, filter_decision, blocks, reduction_rate), the file being the document."""
     schema = "timestamp string, decision_breakdown map<string, long>, filtering_summary struct<total_blocks: long, original_predictions: long, final_predictions: long, filtered_count: long, reduction_rate: double>"
     found = spark.read.schema(schema).option("pathGlobFilter", glob).json(folder, multiLine=True)
-    return found.select(F.input_file_name().alias("doc_id"), F.explode("decision_breakdown").alias("filter_decision", "blocks"))
+    return found.select(F.input_file_name().alias("doc_id"), F.col("filtering_summary.reduction_rate").alias("reduction_rate"), F.explode("decision_breakdown").alias("filter_decision", "blocks"))
+
+
+def status(spark: SparkSession, folders: dict[str, str], models: str | None = None, newest: int = 5) -> DataFrame:
+    """(kind, name, files, modified): how many files each folder has, as name: 'folder/*.ending', and the newest models."""
+    listed = lambda path: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", path.rsplit("/", 1)[1]).load(path.rsplit("/", 1)[0]).select("path", F.col("modificationTime").alias("modified"))
+    out = spark.createDataFrame([], "kind string, name string, files long, modified timestamp")
+    for name, path in folders.items():
+        out = out.unionAll(listed(path).agg(F.count("*").alias("files"), F.max("modified").alias("modified")).select(F.lit("folder"), F.lit(name), "files", "modified"))
+    if models is not None:
+        last = listed(models).orderBy(F.desc("modified"), "path").limit(newest)
+        out = out.unionAll(last.select(F.lit("model"), F.regexp_extract("path", "([^/]*)$", 1), F.lit(1).cast("long"), "modified"))
+    return out
 
 
 def latest_model(listing: DataFrame) -> DataFrame:

@@ -116,6 +116,98 @@ def test_broken_headings(spark):
     assert got[3] == ("Alpha", 1, None) and got[5] == ("Beta Gamma Delta Epsilon", 1, "merged_broken_heading") and got[9] == ("Zeta", 1, None)
 
 
+def test_broken_headings_across_batches(spark):
+    import random
+
+    rng = random.Random(2)
+    pool = ["Alpha", "Beta", "the", "Gamma ray", "Delta", "x", "And", "Plan of Work", None, "Ab"]
+    rows = [block(i, rng.choice(pool), page=1 + i // 9, pred=int(rng.random() < 0.8), doc=d) for d, n in enumerate([1, 2, 3, 4, 37, 50]) for i in range(n)]
+    df = frame(spark, rows).df
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(key), []
+    for size in ("1", "2", "5", "1000"):
+        spark.conf.set(key, size)
+        found.append(sorted(map(str, api.merge_broken(df).collect())))
+    spark.conf.set(key, before)
+    assert all(f == found[0] for f in found) and "merged_into_broken_heading" in str(found[0]) and len(found[0]) == len(rows)
+
+
+def test_sequences(spark):
+    docs = {1: ["1. A", "1.1 B", "1.2 C", "2. D", "2.3 E"], 2: ["4. A", "5. B", "5.1.1 C"], 3: ["1. A", "3. B"], 4: ["plain words"], 5: ["2.1 A", "2.2 B"], 6: ["1. A", "1.1 B"]}
+    rows = [block(i, t, doc=d) for d, texts in docs.items() for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.numbered_blocks, r.has_proper_hierarchy, r.has_sequential_numbering, r.is_consistent) for r in api.check_sequences(frame(spark, rows).df).collect()}
+
+    def brute(texts):
+        last, good, proper, level, n = {}, True, True, 0, 0
+        for t in texts:
+            number = t.split()[0].rstrip(".")
+            if not number.replace(".", "").isdigit():
+                continue
+            n += 1
+            parts = number.split(".")
+            proper, level = proper and len(parts) <= level + 1, len(parts)
+            for place, part in enumerate(map(int, parts)):
+                if place not in last or part == last[place] + 1:
+                    last[place] = part
+                else:
+                    good = False
+        return n, proper, good, proper and good
+
+    assert got == {d: brute(texts) for d, texts in docs.items()}
+
+
+def test_corpus_labels(spark):
+    texts = [("1:Intro", "x"), ("1.Intro", "x"), ("1 Intro", "x"), ("1Intro", "x"), ("1.2.3 " + "w" * 100, "x"), ("Body", "section"), ("b" * 100, "section"), ("1. T", "title"), (" 2. S" + " " * 120, "x"), ("plain", "x")]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(texts)], "doc_id long, block_id long, text string, label string")
+    assert in_order(merging.corpus_level(SparkRelation(df)), "heading_level") == [2, 2, 2, 0, 0, 2, 0, 1, 2, 0]
+
+
+def test_retraining_features(spark):
+    texts = ["Why?", "• a", "◦b", "- x", "3. Scope", "3. scope", " 12.  of", "see a.ORG", "ftp://x", "word " * 25, "z" * 99 + ".", "y" * 100 + ".", None]
+    r = features.retraining_features(frame(spark, [block(i, t) for i, t in enumerate(texts)]), {"excluded_urls": 21, "excluded_long_sentences": 31})
+    assert in_order(r, "is_question") == [1] + [0] * 12
+    assert in_order(r, "is_list_item") == [0, 1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0, 0]
+    assert in_order(r, "enhanced_url_detection") == [0] * 7 + [1, 1] + [0] * 4
+    assert in_order(r, "is_long_sentence") == [0] * 11 + [1, 0]
+    few = features.retraining_features(frame(spark, [block(0, "t")]), {"excluded_urls": 20, "excluded_long_sentences": 30})
+    assert not few.has("enhanced_url_detection") and not few.has("is_long_sentence")
+
+
+def test_feedback_of_reports(spark):
+    rows = [("a", "filtered_low_score", 90, 40.0), ("a", "keep_good_score", 9, 40.0), ("b", "filtered_low_score", 11, 70.0), ("b", "excluded_urls", 500, 70.0), ("c", "not_predicted", 5, None)]
+    r = SparkRelation(spark.createDataFrame(rows, "doc_id string, filter_decision string, blocks long, reduction_rate double"))
+    got = evaluation.feedback(r).df.first()
+    assert got.reports == 3 and math.isclose(got.average_reduction_rate, 110 / 3) and got.recommendations == "Many predictions filtered due to low scores - improve feature engineering"
+    assert {(x.reason, x.kind, x.blocks) for x in evaluation.feedback_reasons(r).df.collect()} == {("filtered_low_score", "exclusion", 101), ("keep_good_score", "preservation", 9)}
+
+
+def test_training_rows_are_of_two_decisions(spark):
+    rows = [(*block(i, "t", conf=c), d) for i, (c, d) in enumerate([(0.95, "keep_high_confidence"), (0.85, "keep_high_confidence"), (0.5, "filtered_low_score"), (0.7, "filtered_low_score"), (0.1, "filtered_hard_criteria")])]
+    r = frame(spark, rows, COLUMNS + ", filter_decision string")
+    assert in_order(evaluation.training_rows(r), "block_id", "is_heading", "data_source") == [(0, 1, "high_conf_preserved"), (2, 0, "high_conf_filtered")]
+    both = evaluation.training_union(r.where("block_id = 1"), r.where("block_id = 3"), r)
+    assert sorted(x.data_source for x in both.df.collect()) == ["high_conf_filtered", "high_conf_preserved", "original_labels", "reviewed_corrections"]
+
+
+def test_class_report_and_macro_auc(spark):
+    pairs = [(1, 1), (1, 2), (2, 2), (2, 2), (3, 1)]
+    df = spark.createDataFrame([(t, p, 0.9 if t == 1 else 0.2, float(p)) for t, p in pairs], "heading_level int, predicted_level int, p1 double, p2 double")
+    got = {r.label: (r.support, r.predicted_blocks, r.precision, r.recall) for r in evaluation.class_report(SparkRelation(df)).df.collect()}
+    assert got == {1: (2, 2, 0.5, 0.5), 2: (2, 3, 2 / 3, 1.0), 3: (1, 0, 0.0, 0.0)}
+    area = lambda k, at: sum(1.0 if a[at] > b[at] else 0.5 if a[at] == b[at] else 0.0 for a in rows if a[0] == k for b in rows if b[0] != k) / sum(1 for a in rows if a[0] == k for b in rows if b[0] != k)
+    rows = [tuple(r) for r in df.collect()]
+    assert math.isclose(evaluation.macro_auc(SparkRelation(df), "heading_level", {1: "p1", 2: "p2"}).df.first().macro_auc, (area(1, 2) + area(2, 3)) / 2)
+
+
+def test_page_blocks_hold_whole_elements(spark, tmp_path):
+    from foliograph.sources import blocks
+
+    html = '<title>T</title><!-- <p>no --><script>"<p>no"</script><h2 class="x">A <i>b</i></h2><p>one <b>two</b> three<br>four<ul><li id=1><a href="/x">link</a> more</li></ul><P style="a">five</P><footer>end</footer>'
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = blocks.page(blocks.SparkTables(spark, str(tmp_path))).df.orderBy("block_id").collect()
+    assert [(r.tag, r.text) for r in rows] == [("title", "T"), ("h2", "A b"), ("p", "one two three four"), ("li", "link more"), ("p", "five"), ("footer", "end")]
+
+
 def test_outline_merge():
     def run(*entries):
         rows = [{"doc_id": 1, "place": i, "level": lv, "text": t, "page": p} for i, (t, lv, p) in enumerate(entries)]

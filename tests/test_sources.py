@@ -26,7 +26,12 @@ def test_csv_of_any_delimiter(spark, tmp_path):
 
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", é\nline'), (2, "")], "block_id long, text string")
-    writers.blocks_csv(df, str(tmp_path / "out"))
+    for bom in (True, False):
+        writers.blocks_csv(df, str(tmp_path / f"out{bom}"), bom)
+        parts = [p.read_bytes() for p in (tmp_path / f"out{bom}").glob("part-*") if p.stat().st_size]
+        assert all(p.startswith(b"\xef\xbb\xbf" * bom + b'"block_id","text"\n') for p in parts)
+        assert sorted((r.block_id, r.text or "") for r in readers.blocks_csv(spark, str(tmp_path / f"out{bom}")).collect()) == [(1, 'a "quoted", é\nline'), (2, "")] if not bom else True
+    writers.blocks_csv(df, str(tmp_path / "out"), False)
     assert sorted((r.block_id, r.text or "") for r in readers.blocks_csv(spark, str(tmp_path / "out")).collect()) == [(1, 'a "quoted", é\nline'), (2, "")]
 
 
@@ -74,6 +79,7 @@ def test_documents_and_spans(spark, tmp_path):
 def test_reports_settings_and_models(spark, tmp_path):
     (tmp_path / "r1.json").write_text(json.dumps({"timestamp": "t", "decision_breakdown": {"keep_good_score": 3, "filtered_hard_criteria": 1}}, indent=1))
     rows = readers.reports(spark, str(tmp_path)).collect()
+    assert {r.reduction_rate for r in rows} == {None}
     assert sorted((r.filter_decision, r.blocks) for r in rows) == [("filtered_hard_criteria", 1), ("keep_good_score", 3)]
     (tmp_path / "s").mkdir()
     (tmp_path / "s/config.json").write_text('{"a": {\n"b": 1}}')
@@ -81,14 +87,22 @@ def test_reports_settings_and_models(spark, tmp_path):
     listing = spark.createDataFrame([("m_retrained", 1000), ("m_trained", 900_000), ("plain", 999_000)], "name string, mtime long")
     assert readers.latest_model(listing).first().name == "m_retrained"
     assert models.training_seconds(2000, 10000, 100) == 1000
-    base = {"positive_weight": 10.0, "x": {"y": 1}}
-    assert models.adjusted(base, 70)["positive_weight"] == 8.0 and models.adjusted(base, 10)["positive_weight"] == 12.0 and base["positive_weight"] == 10.0
+    base = {"pipeline_settings": {"confidence_threshold": 0.92}, "model_params": {"class_weight": {"1": 95}}, "precision_filters": {"min_font_size_percentile": 70, "max_word_count": 12}}
+    hard = models.adjusted(base, 70, {"excluded_long_sentences": 31})
+    assert (hard["pipeline_settings"]["confidence_threshold"], hard["model_params"]["class_weight"]["1"], hard["precision_filters"]) == (0.95, 100, {"min_font_size_percentile": 75, "max_word_count": 10})
+    soft = models.adjusted(base, 10)
+    assert abs(soft["pipeline_settings"]["confidence_threshold"] - 0.90) < 1e-9 and soft["model_params"] == base["model_params"] and soft["precision_filters"] == base["precision_filters"]
+    assert models.adjusted({"pipeline_settings": {"confidence_threshold": 0.76}}, 0)["pipeline_settings"]["confidence_threshold"] == 0.75
+    assert models.adjusted(base, 40) == base and base["precision_filters"]["max_word_count"] == 12
 
 
 def test_outline_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 1, "Ünï Report", 24.0), (1, 1, 1, "1. Introduction", 14.0)], "doc_id long, block_id long, page int, text string, font_size double")
     out = api.outlines(df)
     assert json.loads(writers.outline_text(out).first().json)["title"] == "Ünï Report"
+    assert writers.document_files(out.select("doc_id", "title", "outline"), str(tmp_path / "files")) == 1
+    text = (tmp_path / "files/1.json").read_text("utf-8")
+    assert list((tmp_path / "files").iterdir()) == [tmp_path / "files/1.json"] and '\n  "title": "Ünï Report"' in text and json.loads(text)["outline"][0]["level"]
     writers.outlines_json(out, str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o")).first().title == "Ünï Report"
 
@@ -108,3 +122,69 @@ def test_forest_and_udfs(spark):
     assert models.importances(model, ["a", "b", "font"])[0][0] == "a"
     row = spark.createDataFrame([("ﬁne",), (None,)], "t string").select(udf.nfkc("t").alias("n"), udf.tag_counts(lambda t: ["NOUN", "X"] if t else [])("t").alias("c")).collect()
     assert row[0].n == "fine" and row[1].n is None and row[0].c.num_nouns == 1 and row[0].c.num_other_pos == 1
+
+
+def test_bundle_predict_and_retrain(spark, tmp_path):
+    columns = ["text_length", "word_count", "font_size_normalized", "bold"]
+    rows = [(d, i, 1 + i // 20, ("Heading Text" if i % 5 == 0 else "plain words of a line that goes on") + f" {i}", 20.0 if i % 5 == 0 else 10.0, i % 5 == 0, int(i % 5 == 0)) for d in range(4) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, block_id long, page int, text string, font_size double, bold boolean, is_heading int")
+    bundle = api.train(df, columns, models.ForestSettings(trees=5, depth=3, positive_weight=1.0), "v1")
+    models.save_bundle(bundle, str(tmp_path / "b"))
+    again = models.load_bundle(str(tmp_path / "b"))
+    assert (again.columns, again.threshold, again.version) == (columns, bundle.threshold, "v1") and 0.1 <= bundle.threshold <= 0.78
+    found, reports = api.predict_headings(df.drop("is_heading"), models.Bundle(again.model, [*columns, "tfidf_0"][:4], again.threshold))
+    got = {(r.doc_id, r.block_id): r for r in found.collect()}
+    assert len(got) == 240 and {"filter_decision", "heading_confidence", "broken_decision"} <= set(found.columns)
+    assert all((r.filter_decision != "not_predicted") == (k[1] % 5 == 0) for k, r in got.items())
+    for r in reports.collect():
+        own = [x for k, x in got.items() if k[0] == r.doc_id]
+        assert r.filtering_summary.total_blocks == 60 == r.document_stats.total_blocks and r.filtering_summary.original_predictions == 12
+        assert sum(r.decision_breakdown.values()) == 60 and r.examples.filtered == [] and len(r.examples.preserved) == min(10, r.filtering_summary.final_predictions)
+        assert [e.text for e in r.examples.preserved] == [f"Heading Text {i}" for i in range(0, 60, 5)][: len(r.examples.preserved)]
+        assert r.thresholds.high_confidence == 0.8 and len(own) == 60
+    said = spark.createDataFrame([("r1", "filtered_low_score", 150, 70.0), ("r1", "keep_good_score", 3, 70.0)], "doc_id string, filter_decision string, blocks long, reduction_rate double")
+    settings = {"pipeline_settings": {"confidence_threshold": 0.5}, "model_params": {"n_estimators": 5, "max_depth": 3, "class_weight": {"1": 1}}}
+    retrained, record = api.retrain(df, said, settings, columns, reviewed=df.where("doc_id = 0"), version="v2")
+    assert retrained.version == "v2" and record["data_sources"] == {"original_labels": 240, "reviewed_corrections": 60} and record["total_headings"] == 60
+    assert record["adjusted_config"]["model_params"]["class_weight"]["1"] == 11 and record["filtering_feedback"]["reasons"] == {"filtered_low_score": 150}
+    assert record["performance_metrics"]["f1_score"] > 0.9 and record["performance_metrics"]["roc_auc"] > 0.9
+    assert models.selected(df, ["page", "font_size"], most=1, keep=1) == ["font_size"]
+
+
+def test_classes_and_status(spark, tmp_path):
+    df = spark.range(300).selectExpr("cast(id % 3 as int) as heading_level", "cast(id % 3 as double) as a", "cast(id % 7 as double) as b")
+    model = models.train_forest(df, ["a", "b"], "heading_level", models.ForestSettings(trees=5, depth=4, positive_weight=1.0))
+    out = models.predict_class(model, df)
+    assert out.where("predicted_level = heading_level").count() == 300 and len(out.first().class_probabilities) == 3
+    for name in ("a.pdf", "b.pdf", "c.txt"):
+        (tmp_path / name).write_text("x")
+    got = {(r.kind, r.name): r.files for r in readers.status(spark, {"input": f"{tmp_path}/*.pdf"}, f"{tmp_path}/*.txt").collect()}
+    assert got == {("folder", "input"): 2, ("model", "c.txt"): 1}
+
+
+def test_lines_completion_and_views(spark):
+    spans = spark.createDataFrame([(1, 1, 800.0, 0, 0, "ﬁne\x01 text", 12.0, "F", 0, 0, 5.0, 80.0, 9.0, 92.0)], "doc_id long, page int, page_height double, line_no long, span_no long, text string, size double, font string, flags int, color int, x0 double, y0 double, x1 double, y1 double")
+    line = api.rule_lines(spans).first()
+    assert (line.text, line.line_position_on_page, line.relative_font_size, line.block_id) == ("ﬁne text", 0.1, 1.0, 0)
+    assert api.legacy_lines(spans).first().text == "fine\x01 text"
+    df = spark.createDataFrame([(1, 0, 1, "One", 1), (1, 1, 1, "two words", 0)], "doc_id long, block_id long, page int, text string, is_heading int")
+    done = api.completed(df, udf.tag_counts(lambda t: ["NOUN"] * len(t.split()), english_only=True)).orderBy("block_id").collect()
+    assert [(r.distance_to_previous_heading, r.num_nouns, r.num_verbs) for r in done] == [(0, 1, 0), (1, 2, 0)]
+    assert api.completed(spark.createDataFrame(done)).orderBy("block_id").collect()[1].num_nouns == 2
+    names = api.register(spark, df, "t")
+    assert "t_numbering" in names and spark.sql("select count(*) as n from t_rule_filter where rule_reject").first().n >= 0
+    tags = spark.createDataFrame([("Deep Learning",), ("He runs",), (None,)], "text string").select("text", udf.heading_tags(lambda t: [("NOUN", "root")] * 2 if t == "Deep Learning" else [("PRON", "nsubj"), ("VERB", "root")])("text").alias("p")).select("text", "p.*")
+    from foliograph.operators import metadata
+    from foliograph.plans import SparkRelation
+
+    got = {r.text: (r.pos_heading_score, r.pos_patterns, r.pos_violations) for r in metadata.tagged(SparkRelation(tags)).df.collect()}
+    assert got == {"Deep Learning": (2.0, "favorable_pos", 0), "He runs": (-2.0, "unfavorable_pos;sentence_structure", 3), None: (0.0, "", 0)}
+
+
+def test_tfidf_settings_follow_the_size(spark):
+    few = spark.createDataFrame([(1, 0, "Alpha beta alpha"), (1, 1, "beta"), (1, 2, "the")], "doc_id long, block_id long, text string")
+    got = {(r.block_id, r.term): r.weight for r in api.tfidf(few).collect()}
+    assert {t for _, t in got} <= {"alpha", "beta", "alpha beta", "beta alpha"} and len({t for _, t in got}) == 3 and got[1, "beta"] == 1.0
+    only = spark.createDataFrame([(1, 0, "the the of"), (1, 1, None)], "doc_id long, block_id long, text string")
+    assert {r.term: round(r.weight, 6) for r in api.tfidf(only).collect()} == {"the": round(2 / 5**0.5, 6), "of": round(1 / 5**0.5, 6)}
+    assert api.tfidf(spark.createDataFrame([], few.schema)).count() == 0
