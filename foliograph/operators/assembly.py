@@ -99,12 +99,15 @@ def garbage_ratio(r: Relation) -> Relation:
 
 
 def ocr_lines(r: Relation, scale: float = 2.0, least: int = 30) -> Relation:
-    """Recognised words (text, confidence, x, y, width, height in scaled pixels) as blocks: sure ones, with size and level by height."""
+    """Recognised words (text, confidence, x, y, width, height in scaled pixels) as blocks: sure and valid ones, with size and level by height."""
+    from .quality import strip_control, valid_text
+
     d = r.d
-    r = r.where(f"confidence > {least}").add(__t=d.strip("coalesce(text, '')")).where("__t <> ''")
+    r = strip_control(r.where(f"confidence > {least}").add(text=d.strip("coalesce(text, '')")))
+    r = valid_text(r.add(text=d.strip("text"))).where("text <> '' AND valid_text", derived=True).drop("valid_text").add(__t="text")
     r = r.add(**{c: f"CAST({c} AS DOUBLE) / {d.num(scale)}" for c in ("x", "y", "width", "height")})
     r = r.add(font_size=f"greatest({d.num(8.0)}, height * {d.num(0.75)})")
-    level = d.cases(*((f"font_size >= {size}", str(n)) for n, size in enumerate((20, 16, 14, 12), 1)), otherwise="0")
+    level = d.cases(*((f"font_size > {size}", str(n)) for n, size in enumerate((20, 16, 14, 12), 1)), otherwise="0")
     return r.add(text="__t", x0="x", y0="y", x1="x + width", y1="y + height", heading_level=level, extraction_method="'ocr'", ocr_confidence="confidence").drop("__t", "x", "y", "width", "height", "confidence")
 
 

@@ -404,7 +404,7 @@ def q_numbered(t) -> Relation:
 
 
 def a_ocr_lines(t) -> Relation:
-    words = blocks.star(t).pick(*KEY, "page", "text", x="x0", y="y0", width="CAST(60 AS DOUBLE)", height="2 * font_size", confidence="CAST(block_id % 100 AS INT)")
+    words = blocks.star(t).pick(*KEY, "page", "text", x="x0", y="y0", width="CAST(60 AS DOUBLE)", height="8 * (font_size - 6) / 3", confidence="CAST(block_id % 100 AS INT)")
     return rounded(assembly.ocr_lines(words), "x0", "y0", "x1", "y1", "font_size")
 
 
