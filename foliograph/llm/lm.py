@@ -3,7 +3,7 @@
 Tokens are the words of the lower-cased text and one end. A document's tokens are counted over the whole training part;
 the counts give the baseline and the words' shares within their classes.
 
-The model: P(token | history) = P(class | history) x P(token | class).
+The model: P(token | history) = P(class | history) x P(token | class, context).
 
 * Classes. The most frequent words ("named", a bounded number) are clustered by the common words they share documents
   with, and each cluster is cut into bands of frequency. Every other word, known or not, goes to its cluster's open class
@@ -11,14 +11,23 @@ The model: P(token | history) = P(class | history) x P(token | class).
   (count + 1) / (sum of count + 1 over the class); an open class counts one unseen word besides.
 * P(class | history) is a softmax over hashed features: the word before (if frequent, else its class), the class two
   before and the cluster three before (skips), the pair of the word before and the class two before (n-gram), and a bias.
-* Training. All a document contributes is how often each class follows each history signature. These counts are added up
-  over all training tokens into one table, and each gradient step is a job over it: tasks compute expected counts of
-  features and classes, the driver adds up a bounded number of arrays of the model's size and moves the weights by the
-  difference to the observed counts, scaled by their size. The table's size is bounded by the number of signatures.
+* P(token | class, context) is proportional to the word's share times the weight of one hashed n-gram feature: the word and
+  its context, the words before it back to the first that is not one of the 1,024 most frequent, four at most. There is
+  such a feature for every word of the head in every context that training has, so what is learnt grows with the corpus.
+* Training the classes. All a document contributes is how often each class follows each history signature. These counts
+  are added up over all training tokens into one table, and each gradient step is a job over it: tasks compute expected
+  counts of features and classes, the driver adds up a bounded number of arrays of the model's size and moves the weights
+  by the difference to the observed counts, scaled by their size. The table's size is bounded by the number of signatures.
+* Training the words. With a penalty of DISCOUNT for each unit of weight, the gradient of a feature is its observed count
+  less DISCOUNT less its expected one, and it falls apart by context and class: its zero is one expression over the counts
+  of a context. So tokens are sent once, as hashes, to the task of their context, which counts, solves and answers with
+  sums by document. Contexts end at a rare word, so none gathers a large part of all tokens; the number of tasks follows
+  the tokens.
 * Scoring goes over batches of documents: the distinct signatures of a batch are looked up once, in numpy.
 
 Words of the bounded head come with the tasks; all others are joined to the counts by the word, so vocabularies of any
-size do. Only counts of counts, the head and arrays of the model's size come to the driver.
+size do. Only counts of counts, the head and arrays of the model's size come to the driver. Hashes have 40 bits for a
+context and its class and 24 for a word within it; what collides is one feature.
 
 Defined results: null or empty text is the end alone; a null doc_id counts as the empty text for the held-out rule and is
 in the training part; repeated rows count as often as they occur; with no training rows all probabilities are those of
@@ -33,6 +42,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +59,8 @@ ROWS = 1 << 14  # of the hashed weights
 FEATURES, STEPS, RATE = 5, 12, 1.5
 TASKS = 8  # of a gradient step, each of which sends an array of the weights' size to the driver
 FLUSH = 500_000  # words that a task counts before it passes them on
+DISCOUNT, REACH = 0.7, 4  # of a count of a word in a context; words of a context, at most
+TASK_TOKENS, SENT = 4_000_000, 1_500_000  # tokens that a task of contexts gets, and that a reader sends at once, about
 
 
 def held_out(doc_id: Column) -> Column:
@@ -195,13 +208,18 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
     return np.maximum(out, 1)
 
 
+END_HASH = np.uint64(0x5851F42D4C957F2D)
+
+
 class Reader:
     """Turns documents into arrays: what each token is, its class, and the signature of its history.
 
+    ``head``: the place in the order of frequency, and the count, of each word whose count came along.
+
     A worker numbers the words it meets; number 0 is the end. What is known of a word stands at its number.
     """
 
-    def __init__(self, classes: Classes, head: dict[bytes, int] | None = None, end_log: float = 0.0):
+    def __init__(self, classes: Classes, head: dict[bytes, tuple[int, int]] | None = None, end_log: float = 0.0):
         self.classes, self.head, self.end_log = classes, head, end_log
         self._forget()
 
@@ -209,7 +227,9 @@ class Reader:
         self.place: dict[bytes, int] = {}
         self.words: list[bytes | None] = [None]
         self.packed, self.logs = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+        self.hashes, self.ranks = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.packed[0], self.logs[0] = END << 16 | (WORDS + END) << 3 | 7, self.end_log
+        self.hashes[0], self.ranks[0] = END_HASH, len(self.head or ())
 
     def _add(self, word: bytes) -> int:
         """The number of a word; its class, context and cluster as one number, log10(count + 1), or NaN beyond the head."""
@@ -226,11 +246,13 @@ class Reader:
             k = CLUSTERS * BANDS + group
             context = WORDS + k
         if at == len(self.packed):
-            self.packed, self.logs = np.concatenate([self.packed, np.zeros_like(self.packed)]), np.concatenate([self.logs, np.zeros_like(self.logs)])
-        self.packed[at] = k << 16 | context << 3 | group
+            for name in ("packed", "logs", "hashes", "ranks"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.packed[at], self.hashes[at] = k << 16 | context << 3 | group, xxhash.xxh64_intdigest(word)
         if self.head is not None:
-            n = self.head.get(word)
-            self.logs[at] = math.nan if n is None else math.log10(n + 1)
+            rank, n = self.head.get(word, (-1, None))
+            self.ranks[at], self.logs[at] = rank, math.nan if n is None else math.log10(n + 1)
         self.place[word] = at
         self.words.append(word)
         return at
@@ -268,6 +290,57 @@ def signatures(packed: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return signature, k
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(33)
+
+
+def context_keys(packed: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each token a hash of its context and class, 40 bits, and of the word, 24 bits. Before a document there are ends."""
+    k, common = (packed >> 16).astype(np.uint64), (packed >> 3 & 0x1FFF < WORDS) | (packed >> 16 == END)
+    place = np.arange(len(packed)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)) if len(ends) else np.zeros(0, np.int64)
+    context, more = np.zeros(len(packed), np.uint64), np.ones(len(packed), bool)
+    for back in range(1, REACH + 1):
+        at = np.maximum(np.arange(len(packed)) - back, 0)
+        inside = place >= back
+        context = np.where(more, _mixed(context + np.where(inside, hashes[at], END_HASH)), context)
+        more &= ~inside | common[at]
+    return _mixed(context + k) & np.uint64(0xFFFFFFFFFF000000) | hashes >> np.uint64(40)
+
+
+def solved(keys: np.ndarray, trains: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each token, log10 of P(word | class, context) over the word's share of its class.
+
+    ``trains``: which tokens are counted; ``share``: the share of each token's word, NaN for words that are no features.
+    A feature's probability is (n - DISCOUNT) / N, of N tokens of its class in its context; all other words of the class share
+    the rest as they share the class. Where all words of a class are features, there is no rest and no discount.
+    """
+    if not len(keys):
+        return np.zeros(0)
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    n, u = np.add.reduceat(trains[order].astype(np.float64), first), share[order][first]
+    context = sorted_[first] >> np.uint64(24)
+    begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    of = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)]))
+    active = (n > 0) & ~np.isnan(u)
+    total = np.add.reduceat(n, begins)
+    count, taken = np.add.reduceat(np.where(active, n, 0.0), begins), np.add.reduceat(np.where(active, u, 0.0), begins)
+    some = np.add.reduceat(active.astype(np.float64), begins)
+    whole = (taken > 1 - 1e-9) | (total == 0)
+    off = np.where(whole, 0.0, DISCOUNT)
+    rest = np.where(whole, 1.0, 1 - (count - off * some) / np.maximum(total, 1))
+    other = np.log10(rest) - np.log10(np.where(whole, 1.0, 1 - taken))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.log10((n - off[of]) / total[of]) - np.log10(u)
+    found = np.where(active, own, other[of])
+    out = np.empty(len(keys))
+    out[order] = np.repeat(found, np.diff(np.append(first, len(keys))))
+    return out
+
+
 def features(signature: np.ndarray) -> np.ndarray:
     """The rows of the weights that a signature switches on, FEATURES of them."""
     group, k, context = signature & 7, (signature >> 3) % CLASSES, (signature >> 3) // CLASSES
@@ -368,7 +441,8 @@ def train_weights(table: DataFrame, steps: int = STEPS) -> tuple[np.ndarray, lis
 class Model:
     counts: DataFrame
     classes: Classes
-    head: dict[bytes, int]
+    train: DataFrame
+    head: dict[bytes, tuple[int, int]]
     weights: np.ndarray
     tokens: int  # N
     types: int  # V
@@ -386,11 +460,111 @@ def fit(train: DataFrame) -> Model:
     classes.log_total = np.log10(class_totals(counts, classes))
     table = histories(train, classes)
     weights, likelihood = train_weights(table)
-    return Model(counts, classes, dict(zip(words, times)), weights, n or 0, v, likelihood)
+    return Model(counts, classes, train, {w: (i, k) for i, (w, k) in enumerate(zip(words, times))}, weights, n or 0, v, likelihood)
+
+
+def _shares(model: Model, end_count: int) -> np.ndarray:
+    """The share of its class of each word of the head, by rank; then the end's."""
+    c = model.classes
+    k = np.array([c.of_named[c.named[w]] if w in c.named else c.open_class(w) for w in model.head] + [END], np.int64)
+    return np.append(np.array([n + 1.0 for _, n in model.head.values()]), end_count + 1.0) / 10 ** c.log_total[k]
+
 
+def word_scores(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFrame:
+    """(doc_id, tie, words): for each row asked, the sum of log10 P(word | class, context) over the words' shares.
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    ``rows``: doc_id, text, trains and asked; rows of one doc_id and text are one row of the result.
+    """
+    classes, head = model.classes, model.head
+    share = np.append(_shares(model, end_count).astype(np.float64), np.nan)  # the last for words beyond the head, whose rank is -1
+    sent = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("ranks", pa.binary()), ("ids", pa.list_(pa.int64())), ("ties", pa.list_(pa.int64()))])
+
+    def send(batches):
+        reader, number = Reader(classes, head), TaskContext.get().partitionId() << 32
+        ids, ties, keys, places, ranks, docs, held = [], [], [], [], [], 0, 0
+
+        def packed():
+            key, place, rank = np.concatenate(keys), np.concatenate(places), np.concatenate(ranks)
+            part = (key >> np.uint64(24)) % np.uint64(tasks)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(tasks + 1, dtype=np.uint64))
+            key, place, rank = key[order], place[order], rank[order]
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            cut = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary())
+            once = lambda x: pa.array([x if i == 0 else None for i in range(len(used))], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int64()), pa.array([docs] * len(used), pa.int32()), cut(key), cut(place), cut(rank), once(ids), once(ties)], schema=sent)
+
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            if not texts:
+                continue
+            numbers, ends = reader.tokens(texts)
+            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32) << 31 | batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint32) << 30
+            keys.append(context_keys(reader.packed[numbers], reader.hashes[numbers], ends))
+            places.append(np.repeat((docs + np.arange(len(texts), dtype=np.uint32)) | flags, np.diff(ends, prepend=0)))
+            ranks.append(reader.ranks[numbers])
+            ids += batch.column(0).to_pylist()
+            ties += [tie_of(t) for t in texts]
+            docs, held = docs + len(texts), held + len(numbers)
+            if held > SENT:
+                yield packed()
+                ids, ties, keys, places, ranks, docs, held = [], [], [], [], [], 0, 0
+                number += 1
+        if held:
+            yield packed()
+
+    def answer(batches):
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        table = pa.Table.from_batches(kept)
+        blobs = lambda c, t: [np.frombuffer(x, t) for x in table[c].to_pylist()]
+        place = blobs("places", np.uint32)
+        cuts = np.cumsum([0, *map(len, place)])
+        every = np.concatenate(place)
+        found = solved(np.concatenate(blobs("keys", np.uint64)), (every >> 31).astype(bool), share[np.concatenate(blobs("ranks", np.int32))])
+        sums, docs = [], []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            asked = np.flatnonzero(every[a:b] >> 30 & 1)
+            own, values = every[a:b][asked] & 0x3FFFFFFF, found[a:b][asked]
+            at = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
+            docs.append(own[at].tobytes())
+            sums.append((np.add.reduceat(values, at) if len(at) else values).tobytes())
+        yield pa.RecordBatch.from_arrays([table["batch"].combine_chunks(), table["docs"].combine_chunks(), pa.array(docs, pa.binary()), pa.array(sums, pa.binary()), table["ids"].combine_chunks(), table["ties"].combine_chunks()], ["batch", "docs", "places", "sums", "ids", "ties"])
+
+    def added(table: pa.Table) -> pa.Table:
+        n = table["docs"][0].as_py()
+        place = np.concatenate([np.frombuffer(x, np.uint32) for x in table["places"].to_pylist()])
+        total = np.bincount(place, np.concatenate([np.frombuffer(x, np.float64) for x in table["sums"].to_pylist()]), n)
+        asked = np.unique(place)
+        ids, ties = (next(x for x in table[c].to_pylist() if x is not None) for c in ("ids", "ties"))
+        return pa.table({"doc_id": pa.array([ids[i] for i in asked], pa.int64()), "tie": pa.array([ties[i] for i in asked], pa.int64()), "words": pa.array(total[asked].astype(np.float64))})
+
+    kinds = "part int, batch long, docs int, keys binary, places binary, ranks binary, ids array<long>, ties array<long>"
+    moved = rows.mapInArrow(send, kinds).repartitionById(tasks, "part")
+    answers = moved.mapInArrow(answer, "batch long, docs int, places binary, sums binary, ids array<long>, ties array<long>")
+    each = answers.groupBy("batch").applyInArrow(added, "doc_id long, tie long, words double")
+    return each.groupBy("doc_id", "tie").agg(F.avg("words").alias("words"))
+
+
+def tie_of(text: str) -> int:
+    """A hash of a text, to tell rows of one doc_id apart."""
+    h = xxhash.xxh64_intdigest(text.encode())
+    return h - (h >> 63 << 64)
+
+
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """``score`` of all rows by a model of those that the rule does not hold out; each row's words are sent once for both."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = ~held_out(F.col("doc_id"))
+    return score(rows, fit(rows.where(out)), rows.select("doc_id", "text", out.alias("trains"), F.lit(True).alias("asked")))
+
+
+def score(docs: DataFrame, model: Model, rows: DataFrame | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    ``rows``: the training rows and ``docs`` as word_scores() takes them, if they overlap; by default one after the other.
+    """
     prepare(docs.sparkSession)
     classes, head, weights = model.classes, model.head, model.weights
     ends_seen = model.counts.where("word is null").select("n").first()
@@ -402,7 +576,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers, ends = reader.tokens(texts_of(batch.column(1)))
+            texts = texts_of(batch.column(1))
+            numbers, ends = reader.tokens(texts)
             starts = np.concatenate([[0], ends[:-1]])
             signature, k = signatures(reader.packed[numbers], ends)
             each, where = np.unique(signature, return_inverse=True)
@@ -418,15 +593,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             stops = np.searchsorted(pairs >> 32, np.arange(len(ends) + 1)).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(stops), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times.astype(np.int64))], ["word", "m"]))
             sizes = np.diff(ends, prepend=0).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), pa.array(known), pa.array(sums), rest], ["doc_id", "n_tokens", "logs", "known", "classes", "rest"])
+            ties = pa.array([tie_of(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(sizes), pa.array(total), pa.array(known), pa.array(sums), rest], ["doc_id", "tie", "n_tokens", "logs", "known", "classes", "rest"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = read.mapInArrow(run, "doc_id long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
+    table = read.mapInArrow(run, "doc_id long, tie long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
     table = written(table.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = table.select("row", F.inline("rest"))
     met = rest.join(model.counts.where("word is not null").withColumnRenamed("word", "w"), F.col("word") == F.col("w"))
     more = met.groupBy(F.col("row").alias("r")).agg(F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("m").alias("more_known"))
     joined = table.drop("rest").join(more, F.col("row") == F.col("r"), "left")
+    if model.tokens:
+        if rows is None:
+            asked = read.select("doc_id", "text", F.lit(False).alias("trains"), F.lit(True).alias("asked"))
+            rows = model.train.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"), F.lit(True).alias("trains"), F.lit(False).alias("asked")).unionAll(asked)
+        tokens = table.agg(F.sum("n_tokens")).first()[0] or 0
+        words = written(word_scores(rows, model, end_count, 1 + (tokens + model.tokens) // TASK_TOKENS), "word-scores")
+        words = words.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "words")
+        joined = joined.join(words, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base = logs - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)
     return joined.select(
@@ -436,5 +620,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (logs + F.col("classes")).alias("score") if model.tokens else base.alias("score"),
+        (logs + F.col("classes") + F.col("words")).alias("score") if model.tokens else base.alias("score"),
     )

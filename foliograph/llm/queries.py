@@ -57,8 +57,7 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, lm.fit(docs.where(~lm.held_out(F.col("doc_id")))))
+    return lm.fit_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op9_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,86 @@ def test_the_model_is_a_distribution(docs):
     assert np.allclose(share[share > 0], 1)
 
 
+def contexts(text, model):
+    """Each token of a text with its class and context: the words before it back to the first that is not frequent."""
+    c = model.classes
+    kind = lambda w: lm.END if w is None else int(c.of_named[c.named[w]]) if w in c.named else c.open_class(w)
+    words = [None] * lm.REACH + [t and t.encode() for t in tokens(text)]
+    for i in range(lm.REACH, len(words)):
+        context = []
+        for w in reversed(words[i - lm.REACH : i]):
+            context.append(w)
+            if w is not None and c.named.get(w, lm.WORDS) >= lm.WORDS:
+                break
+        yield words[i], kind(words[i]), tuple(context)
+
+
+def brute_scores(docs, model):
+    """log10 of the probability of each text by the model's definition, from plain counts."""
+    c, counts = model.classes, {None if r.word is None else bytes(r.word): r.n for r in model.counts.collect()}
+    share = lambda w, k: (counts.get(w, 0) + 1) / 10 ** c.log_total[k]
+    seen, total = Counter(), Counter()
+    for r in model.train.collect():
+        for w, k, x in contexts(r.text, model):
+            seen[w, k, x] += 1
+            total[k, x] += 1
+    active = {}
+    for (w, k, x), n in seen.items():
+        if w is None or w in model.head:
+            active.setdefault((k, x), []).append((n, share(w, k)))
+    out = []
+    for _, text in docs:
+        score = 0.0
+        reader = lm.Reader(c, model.head)
+        numbers, ends = reader.tokens([text or ""])
+        logs = lm.log_softmax(model.weights, lm.features(lm.signatures(reader.packed[numbers], ends)[0])) / math.log(10)
+        for at, (w, k, x) in enumerate(contexts(text, model)):
+            own, n = active.get((k, x), []), seen[w, k, x] if w is None or w in model.head else 0
+            taken = sum(u for _, u in own)
+            off = 0.0 if taken > 1 - 1e-9 else lm.DISCOUNT
+            if n:
+                p = (n - off) / total[k, x]
+            elif total[k, x] and taken <= 1 - 1e-9:
+                p = (1 - sum(m - off for m, _ in own) / total[k, x]) * share(w, k) / (1 - taken)
+            else:
+                p = share(w, k)
+            score += logs[at, k] + math.log10(p)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("words,head", [(lm.WORDS, lm.HEAD), (20, 300)])
+def test_score_against_brute_force(spark, docs, monkeypatch, words, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "TASK_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "SENT", 5_000)
+    own = docs.where(docs.doc_id % 3 == 0)
+    model = lm.fit(own.where(~lm.held_out(docs.doc_id)))
+    rows = [tuple(r) for r in own.collect()]
+    want = dict(zip([i for i, _ in rows], brute_scores(rows, model)))
+    for found in (lm.fit_and_score(own), lm.score(own, model)):
+        got = {r.doc_id: r.score for r in found.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5, abs_tol=1e-4) for i in want)
+
+
+def test_words_of_a_class_in_a_context_add_up_to_one():
+    share = np.array([0.5, 0.2, 0.1, 0.1, 0.1, 1.0, 0.3])
+    context = np.array([5, 5, 5, 5, 5, 6, 7], np.uint64) << np.uint64(24)
+    keys = context | np.arange(7, dtype=np.uint64)
+    for trains in ([0, 3, 1, 0, 0, 2, 0], [0] * 7, [1] * 4 + [0, 1, 1]):
+        many = np.repeat(np.arange(7), np.maximum(trains, 1))
+        flags = np.repeat(np.array(trains) > 0, np.maximum(trains, 1))
+        found = lm.solved(keys[many], flags, share[many])
+        each = {k: share[k] * 10 ** found[many == k][0] for k in range(7)}
+        assert math.isclose(sum(each[k] for k in range(5)), 1) and math.isclose(each[5], 1)
+    assert len(lm.solved(keys[:0], np.zeros(0, bool), share[:0])) == 0
+
+
+def test_held_out_score_is_better_than_classes_alone(spark):
+    rows = [r for r in queries.op8_maxent_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -3.5
+
+
 def test_signatures_do_not_cross_documents():
     packed = np.array([1 << 16 | 5 << 3 | 1, lm.END << 16 | (lm.WORDS + lm.END) << 3 | 7] * 2, np.int64)
     sig, k = lm.signatures(packed, np.array([2, 4]))
