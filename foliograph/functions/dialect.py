@@ -116,8 +116,8 @@ class Dialect:
     def array_agg(self, value: str, order: str) -> str:
         raise NotImplementedError
 
-    def joined(self, value: str, order: str, by: str = " ") -> str:
-        """An aggregate: the values in an order, joined."""
+    def joined(self, value: str, order: str, by: str = " ", where: str = "TRUE") -> str:
+        """An aggregate: the values in an order, joined; of the rows for which a condition holds."""
         raise NotImplementedError
 
     def tokens(self, text: str, pattern: str) -> str:
@@ -184,11 +184,11 @@ class Spark(Dialect):
     def last_known(self, value: str, over: str) -> str:
         return f"last_value({value}) IGNORE NULLS OVER ({over})"
 
-    def array_agg(self, value: str, order: str) -> str:
-        return f"transform(array_sort(collect_list(named_struct('o', {order}, 'v', {value}))), x -> x.v)"
+    def array_agg(self, value: str, order: str, where: str = "TRUE") -> str:
+        return f"transform(array_sort(collect_list(named_struct('o', {order}, 'v', {value})) FILTER (WHERE {where})), x -> x.v)"
 
-    def joined(self, value: str, order: str, by: str = " ") -> str:
-        return f"array_join({self.array_agg(value, order)}, {self.string(by)})"
+    def joined(self, value: str, order: str, by: str = " ", where: str = "TRUE") -> str:
+        return f"array_join({self.array_agg(value, order, where)}, {self.string(by)})"
 
     def tokens(self, text: str, pattern: str) -> str:
         return f"regexp_extract_all({text}, {self.string(pattern)}, 0)"
@@ -247,8 +247,8 @@ class Duck(Dialect):
     def array_agg(self, value: str, order: str) -> str:
         return f"list({value} ORDER BY {order})"
 
-    def joined(self, value: str, order: str, by: str = " ") -> str:
-        return f"string_agg({value}, {self.string(by)} ORDER BY {order})"
+    def joined(self, value: str, order: str, by: str = " ", where: str = "TRUE") -> str:
+        return f"coalesce(string_agg({value}, {self.string(by)} ORDER BY {order}) FILTER (WHERE {where}), '')"
 
     def tokens(self, text: str, pattern: str) -> str:
         return f"regexp_extract_all({text}, {self.string(pattern)})"

@@ -52,7 +52,8 @@ def precision_threshold(r: Relation, target: float = 0.9, value: str = CONF) ->
 def auc(r: Relation, value: str = CONF) -> Relation:
     """Area under the ROC curve, ties counted half, and the threshold of the greatest Youden index.
 
-    Sums up to a score are those of the thousandths below it, of which there are few, and those within its own.
+    Sums up to a score are those of the thousandths below it and those within its own. Scores are of 0 to 1, so there are at
+    most 1,001 thousandths, the only rows that one window holds; scores of another range have to be brought to this one.
     """
     d = r.d
     by = r.group(value, pos=f"sum(CASE WHEN {TRUE} = 1 THEN 1 ELSE 0 END)", neg=f"sum(CASE WHEN {TRUE} = 0 THEN 1 ELSE 0 END)").add(b=f"CAST(floor({value} * 1000) AS BIGINT)")

@@ -137,10 +137,11 @@ def tfidf_rows(blocks: DataFrame, stop_words: list[str], most_terms: int = 50, l
     task. Only its terms leave the rows they are in.
     """
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda x: ~x.isin(stop_words or [""]))
-    rows = blocks.select("doc_id", "block_id", words.alias("w"))
+    once = lambda array: F.explode(F.array(array)).alias("w")  # noqa: E731  # a generator's column is made once and not in each place of its use
+    rows = blocks.select("doc_id", "block_id", once(words))
     if pairs:
         n = F.greatest(F.size("w") - 1, F.lit(0))
-        rows = rows.withColumn("w", F.concat("w", F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat(x, F.lit(" "), y))))
+        rows = rows.select("doc_id", "block_id", once(F.concat("w", F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))))
     # each term once for the rows it is in, and once each time it occurs
     seen = F.explode(F.concat(F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))), F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf")))))
     counts = rows.select(seen.alias("x")).groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.tf").alias("total"))
@@ -155,7 +156,7 @@ def tfidf_rows(blocks: DataFrame, stop_words: list[str], most_terms: int = 50, l
     if not known:
         return blocks.sparkSession.createDataFrame([], kind)
     idf = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
-    own = rows.select("doc_id", "block_id", F.filter("w", lambda x: x.isin(list(known))).alias("w")).where(F.size("w") > 0)
+    own = rows.select("doc_id", "block_id", once(F.filter("w", lambda x: x.isin(list(known))))).where(F.size("w") > 0)
     tf = lambda x: F.size(F.filter("w", lambda y: y == x))
     raw = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), ((tf(x) if fallback else 1 + F.log(tf(x).cast("double"))) * idf[x]).alias("raw")))
     own = own.select("doc_id", "block_id", raw.alias("r"))

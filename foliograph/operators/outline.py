@@ -6,17 +6,21 @@ from ..plans import Relation, SparkRelation
 from .quality import unwanted_title
 
 
-def structure_title(r: Relation, personal: list[str] = ()) -> Relation:
-    """One row a document: the largest texts at the top of page one, joined; null where none is fit."""
+def _titled(r: Relation, personal: list[str] = ()) -> tuple[Relation, str]:
+    """Blocks with what decides the structure title, and the aggregate that makes it: empty where none is fit."""
     d = r.d
     y = "y0, block_id" if r.has("y0") else "block_id"
-    r = unwanted_title(r.where("page = 1"), personal)
-    r = r.add(__t=d.strip("coalesce(text, '')")).where("length(__t) > 2")
-    r = r.add(__i=f"row_number() OVER (PARTITION BY doc_id ORDER BY {y})").where("__i <= 20")
-    r = r.add(__most="max(font_size) OVER (PARTITION BY doc_id)")
-    r = r.where(f"__i <= 15 AND font_size >= __most - {d.num(0.5)} AND NOT unwanted_title")
-    r = r.group("doc_id", __title=d.joined("__t", "__i"))
-    return r.pick("doc_id", structure_title=d.strip(d.replace("__title", r"[ \t\n\r]+", " ")))
+    r = unwanted_title(r, personal).add(__t=d.strip("coalesce(text, '')"))
+    r = r.add(__fit="page = 1 AND length(__t) > 2")
+    r = r.add(__i=f"CASE WHEN __fit THEN row_number() OVER (PARTITION BY doc_id, __fit ORDER BY {y}) END")
+    r = r.add(__most="max(CASE WHEN __i <= 20 THEN font_size END) OVER (PARTITION BY doc_id)")
+    return r, d.strip(d.replace(d.joined("__t", "__i", where=f"__i <= 15 AND font_size >= __most - {d.num(0.5)} AND NOT unwanted_title"), r"[ \t\n\r]+", " "))
+
+
+def structure_title(r: Relation, personal: list[str] = ()) -> Relation:
+    """One row a document: the largest texts at the top of page one, joined; empty where none is fit."""
+    r, title = _titled(r, personal)
+    return r.group("doc_id", structure_title=title)
 
 
 def outline_rows(r: Relation, level: str = "level", heading: str = "heading") -> Relation:
@@ -25,15 +29,17 @@ def outline_rows(r: Relation, level: str = "level", heading: str = "heading") ->
 
 
 def titles(r: Relation, names: Relation | None = None) -> Relation:
-    """One row a document: its structure title of over five characters, else its first H1 among 100 headings, else a name."""
-    d = r.d
-    rows = outline_rows(r)
-    first = rows.where("place <= 100 AND level = 'H1'").group("doc_id", __h1="min_by(text, place)")
-    ids = r.group("doc_id", __any="count(*)")
-    out = ids.join(structure_title(r), ["doc_id"], "left").join(first, ["doc_id"], "left")
+    """One row a document: its structure title of over five characters, else its first H1 among 100 headings, else a name.
+
+    The blocks are read once: titles and headings are aggregates of one group.
+    """
+    r, title = _titled(r)
+    r = r.add(__place="CASE WHEN heading THEN row_number() OVER (PARTITION BY doc_id, heading ORDER BY page, block_id) END")
+    one = "level = 'H1' AND __place <= 100"
+    out = r.group("doc_id", structure_title=title, __h1=f"min_by(CASE WHEN {one} THEN __t END, CASE WHEN {one} THEN __place END)")
     other = "CAST(doc_id AS STRING)"
     if names is not None:
-        out, other = out.join(names, ["doc_id"], "left"), filename_title(d, "name")
+        out, other = out.join(names, ["doc_id"], "left"), filename_title(out.d, "name")
     return out.pick("doc_id", title=f"CASE WHEN length(structure_title) > 5 THEN structure_title ELSE coalesce(__h1, {other}) END")
 
 
@@ -70,7 +76,7 @@ def nested(rows: SparkRelation, blocks: SparkRelation, personal: list[str] = ())
 
     entry = F.struct("place", "level", "text", "page")
     outline = rows.df.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("o"), F.max("h1").alias("h1"))
-    both = blocks.group("doc_id", __n="count(*)").join(structure_title(blocks, personal), ["doc_id"], "left").df.join(outline, "doc_id", "left")
+    both = structure_title(blocks, personal).df.join(outline, "doc_id", "left")
     empty = F.array().cast("array<struct<level:string,text:string,page:int>>")
     shaped = F.transform("o", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"), x["page"].alias("page")))
     title = F.when(F.length("structure_title") > 5, F.col("structure_title")).otherwise(F.coalesce("h1", F.col("doc_id").cast("string")))
