@@ -42,10 +42,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import prepare, texts_of, written
 
@@ -60,7 +63,7 @@ FEATURES, STEPS, RATE = 5, 12, 1.5
 TASKS = 8  # of a gradient step, each of which sends an array of the weights' size to the driver
 FLUSH = 500_000  # words that a task counts before it passes them on
 DISCOUNT, REACH = 0.7, 4  # of a count of a word in a context; words of a context, at most
-TASK_TOKENS, SENT = 4_000_000, 1_500_000  # tokens that a task of contexts gets, and that a reader sends at once, about
+TASK_TOKENS, SENT, TOKEN_BYTES = 1_500_000, 600_000, 6  # tokens that a task of contexts gets, and that a reader sends at once, and bytes of one, about
 
 
 def held_out(doc_id: Column) -> Column:
@@ -209,17 +212,18 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
 
 
 END_HASH = np.uint64(0x5851F42D4C957F2D)
+COUNT_BITS = 44  # of a word's count, below its place
 
 
 class Reader:
     """Turns documents into arrays: what each token is, its class, and the signature of its history.
 
-    ``head``: the place in the order of frequency, and the count, of each word whose count came along.
+    ``head``: of each word whose count came along, its place in the order of frequency and its count, as one number.
 
     A worker numbers the words it meets; number 0 is the end. What is known of a word stands at its number.
     """
 
-    def __init__(self, classes: Classes, head: dict[bytes, tuple[int, int]] | None = None, end_log: float = 0.0):
+    def __init__(self, classes: Classes, head: dict[bytes, int] | None = None, end_log: float = 0.0):
         self.classes, self.head, self.end_log = classes, head, end_log
         self._forget()
 
@@ -251,8 +255,8 @@ class Reader:
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         self.packed[at], self.hashes[at] = k << 16 | context << 3 | group, xxhash.xxh64_intdigest(word)
         if self.head is not None:
-            rank, n = self.head.get(word, (-1, None))
-            self.ranks[at], self.logs[at] = rank, math.nan if n is None else math.log10(n + 1)
+            known = self.head.get(word)
+            self.ranks[at], self.logs[at] = (-1, math.nan) if known is None else (known >> COUNT_BITS, math.log10((known & (1 << COUNT_BITS) - 1) + 1))
         self.place[word] = at
         self.words.append(word)
         return at
@@ -442,7 +446,7 @@ class Model:
     counts: DataFrame
     classes: Classes
     train: DataFrame
-    head: dict[bytes, tuple[int, int]]
+    head: dict[bytes, int]
     weights: np.ndarray
     tokens: int  # N
     types: int  # V
@@ -460,101 +464,139 @@ def fit(train: DataFrame) -> Model:
     classes.log_total = np.log10(class_totals(counts, classes))
     table = histories(train, classes)
     weights, likelihood = train_weights(table)
-    return Model(counts, classes, train, {w: (i, k) for i, (w, k) in enumerate(zip(words, times))}, weights, n or 0, v, likelihood)
+    return Model(counts, classes, train, {w: i << COUNT_BITS | k for i, (w, k) in enumerate(zip(words, times))}, weights, n or 0, v, likelihood)
 
 
 def _shares(model: Model, end_count: int) -> np.ndarray:
     """The share of its class of each word of the head, by rank; then the end's."""
     c = model.classes
     k = np.array([c.of_named[c.named[w]] if w in c.named else c.open_class(w) for w in model.head] + [END], np.int64)
-    return np.append(np.array([n + 1.0 for _, n in model.head.values()]), end_count + 1.0) / 10 ** c.log_total[k]
+    counts = [x & (1 << COUNT_BITS) - 1 for x in model.head.values()]
+    return (np.array([*counts, end_count], np.float64) + 1) / 10 ** c.log_total[k]
 
 
-def word_scores(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFrame:
-    """(doc_id, tie, words): for each row asked, the sum of log10 P(word | class, context) over the words' shares.
+#: What goes with a batch of documents once: of each document its doc_id, whether it is asked for, tokens, sums over the words
+#: of the head, how many of them, sums over the classes; and the words beyond the head, by the document's place.
+ONCE = [("ids", T.LongType()), ("asked", T.BooleanType()), ("sizes", T.LongType()), ("logs", T.DoubleType()), ("known", T.LongType()), ("classes", T.DoubleType()), ("rest_at", T.IntegerType()), ("rest_word", T.BinaryType()), ("rest_m", T.LongType())]
+#: A token's place in its batch, whether its document trains and is asked for, and its word's place in the head, in 32 bits.
+PLACE_BITS, RANK_BITS = 12, 18
 
-    ``rows``: doc_id, text, trains and asked; rows of one doc_id and text are one row of the result.
+
+def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFrame:
+    """A row for each row asked: doc_id, n_tokens, logs, known, classes (log10 of all but the words' shares) and rest.
+
+    ``rows``: doc_id, text, trains and asked. Readers send each token's hash to the task of its context, and what they know of
+    a document by itself with it; the tasks of contexts answer with sums by document, which are added up by batch.
     """
-    classes, head = model.classes, model.head
-    share = np.append(_shares(model, end_count).astype(np.float64), np.nan)  # the last for words beyond the head, whose rank is -1
-    sent = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("ranks", pa.binary()), ("ids", pa.list_(pa.int64())), ("ties", pa.list_(pa.int64()))])
+    classes, head, weights, end_log = model.classes, model.head, model.weights, math.log10(end_count + 1)
+    share = np.full(1 << RANK_BITS, np.nan)  # NaN for words beyond the head, whose place is the last
+    share[: len(head) + 1] = _shares(model, end_count)
+    beyond_head = (1 << RANK_BITS) - 1
+    once = [T.StructField(c, T.ArrayType(t)) for c, t in ONCE]
+    kinds = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("marks", T.BinaryType()), *once])
+    answers = T.StructType([T.StructField("batch", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("sums", T.BinaryType()), *once])
 
     def send(batches):
-        reader, number = Reader(classes, head), TaskContext.get().partitionId() << 32
-        ids, ties, keys, places, ranks, docs, held = [], [], [], [], [], 0, 0
+        schema, number = to_arrow_schema(kinds), TaskContext.get().partitionId() << 32
+        reader = Reader(classes, head, end_log)
+        keys, marks, own = [], [], {c: [] for c, _ in ONCE}
+        docs = held = 0
 
         def packed():
-            key, place, rank = np.concatenate(keys), np.concatenate(places), np.concatenate(ranks)
+            key, mark = np.concatenate(keys), np.concatenate(marks)
             part = (key >> np.uint64(24)) % np.uint64(tasks)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(tasks + 1, dtype=np.uint64))
-            key, place, rank = key[order], place[order], rank[order]
+            key, mark = key[order], mark[order]
             used = np.flatnonzero(np.diff(cuts)).tolist()
             cut = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary())
-            once = lambda x: pa.array([x if i == 0 else None for i in range(len(used))], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int64()), pa.array([docs] * len(used), pa.int32()), cut(key), cut(place), cut(rank), once(ids), once(ties)], schema=sent)
+            first = [pa.array([np.concatenate(own[c]) if c != "rest_word" and c != "ids" else sum(own[c], []), *[None] * (len(used) - 1)], schema.field(c).type) for c, _ in ONCE]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int64()), cut(key), cut(mark), *first], schema=schema)
 
         for batch in batches:
             texts = texts_of(batch.column(1))
             if not texts:
                 continue
+            if docs + len(texts) > 1 << PLACE_BITS:
+                yield packed()
+                keys, marks, own = [], [], {c: [] for c, _ in ONCE}
+                docs, held, number = 0, 0, number + 1
             numbers, ends = reader.tokens(texts)
-            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32) << 31 | batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint32) << 30
-            keys.append(context_keys(reader.packed[numbers], reader.hashes[numbers], ends))
-            places.append(np.repeat((docs + np.arange(len(texts), dtype=np.uint32)) | flags, np.diff(ends, prepend=0)))
-            ranks.append(reader.ranks[numbers])
-            ids += batch.column(0).to_pylist()
-            ties += [tie_of(t) for t in texts]
+            starts, sizes = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0).astype(np.int64)
+            kinds_of = reader.packed[numbers]
+            signature, k = signatures(kinds_of, ends)
+            each, where = np.unique(signature, return_inverse=True)
+            logs = log_softmax(weights, features(each)).astype(np.float64) / math.log(10)
+            words = reader.logs[numbers]
+            beyond = np.isnan(words)
+            at = np.flatnonzero(beyond)  # words beyond the head, counted by document
+            pairs, times = np.unique(np.searchsorted(ends, at, "right") << 32 | numbers[at], return_counts=True)
+            trains, asked = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            ranks = reader.ranks[numbers]
+            mark = (docs + np.arange(len(texts), dtype=np.uint32)) << (RANK_BITS + 2) | trains.astype(np.uint32) << (RANK_BITS + 1) | asked.astype(np.uint32) << RANK_BITS
+            keys.append(context_keys(kinds_of, reader.hashes[numbers], ends))
+            marks.append(np.repeat(mark, sizes) | np.where(ranks < 0, beyond_head, ranks).astype(np.uint32))
+            for c, x in (
+                ("ids", batch.column(0).to_pylist()), ("asked", asked), ("sizes", sizes), ("logs", np.add.reduceat(np.where(beyond, 0.0, words), starts)), ("known", np.add.reduceat((~beyond).astype(np.int64), starts) - (end_count == 0)),
+                ("classes", np.add.reduceat(logs[where, k] - classes.log_total[k], starts)), ("rest_at", (docs + (pairs >> 32)).astype(np.int32)), ("rest_word", [reader.words[i] for i in (pairs & 0xFFFFFFFF).tolist()]), ("rest_m", times.astype(np.int64)),
+            ):
+                own[c].append(x)
             docs, held = docs + len(texts), held + len(numbers)
             if held > SENT:
                 yield packed()
-                ids, ties, keys, places, ranks, docs, held = [], [], [], [], [], 0, 0
-                number += 1
+                keys, marks, own = [], [], {c: [] for c, _ in ONCE}
+                docs, held, number = 0, 0, number + 1
         if held:
             yield packed()
 
     def answer(batches):
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
+        keys, marks, cuts, rest = [], [], [0], []
+        for b in batches:
+            if b.num_rows:
+                keys.append(_flat(b["keys"], np.uint64))
+                marks.append(_flat(b["marks"], np.uint32))
+                cuts += (cuts[-1] + np.cumsum(pc.binary_length(b["keys"]).to_numpy(zero_copy_only=False) // 8)).tolist()
+                rest.append(b.select(["batch", *(c for c, _ in ONCE)]))
+        if not rest:
             return
-        table = pa.Table.from_batches(kept)
-        blobs = lambda c, t: [np.frombuffer(x, t) for x in table[c].to_pylist()]
-        place = blobs("places", np.uint32)
-        cuts = np.cumsum([0, *map(len, place)])
-        every = np.concatenate(place)
-        found = solved(np.concatenate(blobs("keys", np.uint64)), (every >> 31).astype(bool), share[np.concatenate(blobs("ranks", np.int32))])
-        sums, docs = [], []
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            asked = np.flatnonzero(every[a:b] >> 30 & 1)
-            own, values = every[a:b][asked] & 0x3FFFFFFF, found[a:b][asked]
-            at = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
-            docs.append(own[at].tobytes())
-            sums.append((np.add.reduceat(values, at) if len(at) else values).tobytes())
-        yield pa.RecordBatch.from_arrays([table["batch"].combine_chunks(), table["docs"].combine_chunks(), pa.array(docs, pa.binary()), pa.array(sums, pa.binary()), table["ids"].combine_chunks(), table["ties"].combine_chunks()], ["batch", "docs", "places", "sums", "ids", "ties"])
+        mark, key = np.concatenate(marks), np.concatenate(keys)
+        keys = marks = None
+        found = solved(key, (mark >> (RANK_BITS + 1) & 1).astype(bool), share[mark & beyond_head])
+        at = 0
+        for b in rest:
+            places, sums = [], []
+            for begin, end in zip(cuts[at : at + b.num_rows], cuts[at + 1 :]):
+                asked = np.flatnonzero(mark[begin:end] >> RANK_BITS & 1)
+                own, values = mark[begin:end][asked] >> (RANK_BITS + 2), found[begin:end][asked]
+                first = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
+                places.append(own[first].astype(np.uint16).tobytes())
+                sums.append((np.add.reduceat(values, first) if len(first) else values).astype(np.float32).tobytes())
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([b["batch"], pa.array(places, pa.binary()), pa.array(sums, pa.binary()), *b.columns[1:]], answers.names)
 
     def added(table: pa.Table) -> pa.Table:
-        n = table["docs"][0].as_py()
-        place = np.concatenate([np.frombuffer(x, np.uint32) for x in table["places"].to_pylist()])
-        total = np.bincount(place, np.concatenate([np.frombuffer(x, np.float64) for x in table["sums"].to_pylist()]), n)
-        asked = np.unique(place)
-        ids, ties = (next(x for x in table[c].to_pylist() if x is not None) for c in ("ids", "ties"))
-        return pa.table({"doc_id": pa.array([ids[i] for i in asked], pa.int64()), "tie": pa.array([ties[i] for i in asked], pa.int64()), "words": pa.array(total[asked].astype(np.float64))})
+        own = {c: next(x for x in table[c].to_pylist() if x is not None) for c, _ in ONCE}
+        n = len(own["ids"])
+        place = np.concatenate([_flat(x, np.uint16) for x in table["places"].chunks])
+        words = np.bincount(place, np.concatenate([_flat(x, np.float32) for x in table["sums"].chunks]), n).astype(np.float64)
+        stops = np.searchsorted(np.array(own["rest_at"], np.int64), np.arange(n + 1)).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(stops), pa.StructArray.from_arrays([pa.array(own["rest_word"], pa.binary()), pa.array(own["rest_m"], pa.int64())], ["word", "m"]))
+        columns = [pa.array(own["ids"], pa.int64()), pa.array(own["sizes"], pa.int64()), pa.array(own["logs"], pa.float64()), pa.array(own["known"], pa.int64()), pa.array(np.array(own["classes"], np.float64) + words), rest]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "logs", "known", "classes", "rest"]).filter(pa.array(own["asked"], pa.bool_()))
 
-    kinds = "part int, batch long, docs int, keys binary, places binary, ranks binary, ids array<long>, ties array<long>"
-    moved = rows.mapInArrow(send, kinds).repartitionById(tasks, "part")
-    answers = moved.mapInArrow(answer, "batch long, docs int, places binary, sums binary, ids array<long>, ties array<long>")
-    each = answers.groupBy("batch").applyInArrow(added, "doc_id long, tie long, words double")
-    return each.groupBy("doc_id", "tie").agg(F.avg("words").alias("words"))
+    moved = rows.select("doc_id", "text", "trains", "asked").mapInArrow(send, kinds).repartitionById(tasks, "part").mapInArrow(answer, answers)
+    return moved.groupBy("batch").applyInArrow(added, "doc_id long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
 
 
-def tie_of(text: str) -> int:
-    """A hash of a text, to tell rows of one doc_id apart."""
-    h = xxhash.xxh64_intdigest(text.encode())
-    return h - (h >> 63 << 64)
+def _flat(column: pa.Array, kind) -> np.ndarray:
+    """All bytes of a binary column in a row, as numbers."""
+    _, offsets, data = column.buffers()
+    begin, end = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)[[0, -1]].tolist()
+    return np.frombuffer(data, kind, (end - begin) // np.dtype(kind).itemsize, begin) if end > begin else np.zeros(0, kind)
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    """``score`` of all rows by a model of those that the rule does not hold out; each row's words are sent once for both."""
+    """``score`` of all rows by a model of those that the rule does not hold out; each row's tokens are sent once for both."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = ~held_out(F.col("doc_id"))
     return score(rows, fit(rows.where(out)), rows.select("doc_id", "text", out.alias("trains"), F.lit(True).alias("asked")))
@@ -563,54 +605,21 @@ def fit_and_score(docs: DataFrame) -> DataFrame:
 def score(docs: DataFrame, model: Model, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``rows``: the training rows and ``docs`` as word_scores() takes them, if they overlap; by default one after the other.
+    ``rows``: the training rows and ``docs`` as scored() takes them, if they overlap; by default one after the other.
     """
     prepare(docs.sparkSession)
-    classes, head, weights = model.classes, model.head, model.weights
+    if rows is None:
+        asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("trains"), F.lit(True).alias("asked"))
+        rows = model.train.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"), F.lit(True).alias("trains"), F.lit(False).alias("asked")).unionAll(asked)
     ends_seen = model.counts.where("word is null").select("n").first()
     end_count = ends_seen[0] if ends_seen else 0
-    end_log = math.log10(end_count + 1)
-
-    def run(batches):
-        reader = Reader(classes, head, end_log)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = texts_of(batch.column(1))
-            numbers, ends = reader.tokens(texts)
-            starts = np.concatenate([[0], ends[:-1]])
-            signature, k = signatures(reader.packed[numbers], ends)
-            each, where = np.unique(signature, return_inverse=True)
-            logs = log_softmax(weights, features(each)).astype(np.float64) / math.log(10)
-            sums = np.add.reduceat(logs[where, k] - classes.log_total[k], starts)
-            own = reader.logs[numbers]
-            beyond = np.isnan(own)
-            total = np.add.reduceat(np.where(beyond, 0.0, own), starts)
-            known = np.add.reduceat((~beyond).astype(np.int64), starts) - (end_count == 0)
-            at = np.flatnonzero(beyond)  # words beyond the head, counted by document
-            pairs, times = np.unique(np.searchsorted(ends, at, "right") << 32 | numbers[at], return_counts=True)
-            words = [reader.words[i] for i in (pairs & 0xFFFFFFFF).tolist()]
-            stops = np.searchsorted(pairs >> 32, np.arange(len(ends) + 1)).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(stops), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times.astype(np.int64))], ["word", "m"]))
-            sizes = np.diff(ends, prepend=0).astype(np.int64)
-            ties = pa.array([tie_of(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ties, pa.array(sizes), pa.array(total), pa.array(known), pa.array(sums), rest], ["doc_id", "tie", "n_tokens", "logs", "known", "classes", "rest"])
-
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = read.mapInArrow(run, "doc_id long, tie long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1).cast("long"))).first()[0] or 0
+    table = scored(rows, model, end_count, 1 + size // (TASK_TOKENS * TOKEN_BYTES))
     table = written(table.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = table.select("row", F.inline("rest"))
     met = rest.join(model.counts.where("word is not null").withColumnRenamed("word", "w"), F.col("word") == F.col("w"))
     more = met.groupBy(F.col("row").alias("r")).agg(F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("m").alias("more_known"))
     joined = table.drop("rest").join(more, F.col("row") == F.col("r"), "left")
-    if model.tokens:
-        if rows is None:
-            asked = read.select("doc_id", "text", F.lit(False).alias("trains"), F.lit(True).alias("asked"))
-            rows = model.train.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string"), F.lit(True).alias("trains"), F.lit(False).alias("asked")).unionAll(asked)
-        tokens = table.agg(F.sum("n_tokens")).first()[0] or 0
-        words = written(word_scores(rows, model, end_count, 1 + (tokens + model.tokens) // TASK_TOKENS), "word-scores")
-        words = words.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "words")
-        joined = joined.join(words, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base = logs - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)
     return joined.select(
@@ -620,5 +629,5 @@ def score(docs: DataFrame, model: Model, rows: DataFrame | None = None) -> DataF
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (logs + F.col("classes") + F.col("words")).alias("score") if model.tokens else base.alias("score"),
+        (logs + F.col("classes")).alias("score") if model.tokens else base.alias("score"),
     )
