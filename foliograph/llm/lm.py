@@ -26,8 +26,8 @@ The model: P(token | history) = P(class | history) x P(token | class, context).
 * Scoring goes over batches of documents: the distinct signatures of a batch are looked up once, in numpy.
 
 Words of the bounded head come with the tasks; all others are joined to the counts by the word, so vocabularies of any
-size do. Only counts of counts, the head and arrays of the model's size come to the driver. Hashes have 40 bits for a
-context and its class and 24 for a word within it; what collides is one feature.
+size do. Only counts of counts, the head and arrays of the model's size come to the driver. A context and its
+class are 32 bits within the task they fall to, of which there are as many as the tokens ask for; what collides is one.
 
 Defined results: null or empty text is the end alone; a null doc_id counts as the empty text for the held-out rule and is
 in the training part; repeated rows count as often as they occur; with no training rows all probabilities are those of
@@ -37,6 +37,7 @@ add-one smoothing over nothing (base_score 0 and score 0); an empty table gives
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -44,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,6 +215,8 @@ def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
 
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 COUNT_BITS = 44  # of a word's count, below its place
+#: A token's place in its batch, whether its document trains and is asked for, and its word's place in the head, in 32 bits.
+PLACE_BITS, RANK_BITS = 12, 18
 
 
 class Reader:
@@ -300,8 +304,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def context_keys(packed: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each token a hash of its context and class, 40 bits, and of the word, 24 bits. Before a document there are ends."""
+def contexts_of(packed: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each token a hash of its context and class. Before a document there are ends."""
     k, common = (packed >> 16).astype(np.uint64), (packed >> 3 & 0x1FFF < WORDS) | (packed >> 16 == END)
     place = np.arange(len(packed)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)) if len(ends) else np.zeros(0, np.int64)
     context, more = np.zeros(len(packed), np.uint64), np.ones(len(packed), bool)
@@ -310,25 +314,26 @@ def context_keys(packed: np.ndarray, hashes: np.ndarray, ends: np.ndarray) -> np
         inside = place >= back
         context = np.where(more, _mixed(context + np.where(inside, hashes[at], END_HASH)), context)
         more &= ~inside | common[at]
-    return _mixed(context + k) & np.uint64(0xFFFFFFFFFF000000) | hashes >> np.uint64(40)
+    return _mixed(context + k)
 
 
-def solved(keys: np.ndarray, trains: np.ndarray, share: np.ndarray) -> np.ndarray:
+def solved(contexts: np.ndarray, ranks: np.ndarray, trains: np.ndarray, share: np.ndarray) -> np.ndarray:
     """For each token, log10 of P(word | class, context) over the word's share of its class.
 
-    ``trains``: which tokens are counted; ``share``: the share of each token's word, NaN for words that are no features.
-    A feature's probability is (n - DISCOUNT) / N, of N tokens of its class in its context; all other words of the class share
-    the rest as they share the class. Where all words of a class are features, there is no rest and no discount.
+    ``ranks``: the tokens' words; ``trains``: which tokens are counted; ``share``: the share of each word, NaN where it is no
+    feature. A feature's probability is (n - DISCOUNT) / N, of N tokens of its class in its context; all other words of the
+    class share the rest as they share the class. Where all words of a class are features, there is no rest and no discount.
     """
-    if not len(keys):
+    if not len(contexts):
         return np.zeros(0)
+    keys = contexts.astype(np.uint64) << np.uint64(RANK_BITS) | ranks.astype(np.uint64)
     order = np.argsort(keys)
-    sorted_ = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    n, u = np.add.reduceat(trains[order].astype(np.float64), first), share[order][first]
-    context = sorted_[first] >> np.uint64(24)
-    begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    of = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)]))
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.add.reduceat(trains[order].astype(np.float64), first)
+    context, u = keys[first] >> np.uint64(RANK_BITS), share[(keys[first] & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)]
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    begins, of = np.flatnonzero(new), np.cumsum(new) - 1
     active = (n > 0) & ~np.isnan(u)
     total = np.add.reduceat(n, begins)
     count, taken = np.add.reduceat(np.where(active, n, 0.0), begins), np.add.reduceat(np.where(active, u, 0.0), begins)
@@ -339,9 +344,8 @@ def solved(keys: np.ndarray, trains: np.ndarray, share: np.ndarray) -> np.ndarra
     other = np.log10(rest) - np.log10(np.where(whole, 1.0, 1 - taken))
     with np.errstate(divide="ignore", invalid="ignore"):
         own = np.log10((n - off[of]) / total[of]) - np.log10(u)
-    found = np.where(active, own, other[of])
     out = np.empty(len(keys))
-    out[order] = np.repeat(found, np.diff(np.append(first, len(keys))))
+    out[order] = np.repeat(np.where(active, own, other[of]), np.diff(np.append(first, len(keys))))
     return out
 
 
@@ -476,10 +480,18 @@ def _shares(model: Model, end_count: int) -> np.ndarray:
 
 
 #: What goes with a batch of documents once: of each document its doc_id, whether it is asked for, tokens, sums over the words
-#: of the head, how many of them, sums over the classes; and the words beyond the head, by the document's place.
-ONCE = [("ids", T.LongType()), ("asked", T.BooleanType()), ("sizes", T.LongType()), ("logs", T.DoubleType()), ("known", T.LongType()), ("classes", T.DoubleType()), ("rest_at", T.IntegerType()), ("rest_word", T.BinaryType()), ("rest_m", T.LongType())]
-#: A token's place in its batch, whether its document trains and is asked for, and its word's place in the head, in 32 bits.
-PLACE_BITS, RANK_BITS = 12, 18
+#: of the head, how many of them, sums over the classes; and, packed, the words beyond the head by the document's place.
+ONCE = [("ids", T.LongType()), ("asked", T.BooleanType()), ("sizes", T.LongType()), ("logs", T.DoubleType()), ("known", T.LongType()), ("classes", T.DoubleType()), ("rest", T.BinaryType())]
+
+
+def _pack_rest(places: np.ndarray, times: np.ndarray, words: list[bytes]) -> bytes:
+    return zstandard.compress(struct.pack("<I", len(words)) + places.astype("<u2").tobytes() + times.astype("<u4").tobytes() + b"\n".join(words), 1)
+
+
+def _unpack_rest(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    data = zstandard.decompress(data)
+    n = struct.unpack_from("<I", data)[0]
+    return np.frombuffer(data, "<u2", n, 4), np.frombuffer(data, "<u4", n, 4 + 2 * n), data[4 + 6 * n :].split(b"\n") if n else []
 
 
 def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFrame:
@@ -504,13 +516,13 @@ def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFra
 
         def packed():
             key, mark = np.concatenate(keys), np.concatenate(marks)
-            part = (key >> np.uint64(24)) % np.uint64(tasks)
+            part = (key >> np.uint64(32)) % np.uint64(tasks)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(tasks + 1, dtype=np.uint64))
-            key, mark = key[order], mark[order]
+            key, mark = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), mark[order]
             used = np.flatnonzero(np.diff(cuts)).tolist()
             cut = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary())
-            first = [pa.array([np.concatenate(own[c]) if c != "rest_word" and c != "ids" else sum(own[c], []), *[None] * (len(used) - 1)], schema.field(c).type) for c, _ in ONCE]
+            first = [pa.array([np.concatenate(own[c]) if c not in ("ids", "rest") else sum(own[c], []), *[None] * (len(used) - 1)], schema.field(c).type) for c, _ in ONCE]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([number] * len(used), pa.int64()), cut(key), cut(mark), *first], schema=schema)
 
         for batch in batches:
@@ -534,11 +546,11 @@ def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFra
             trains, asked = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             ranks = reader.ranks[numbers]
             mark = (docs + np.arange(len(texts), dtype=np.uint32)) << (RANK_BITS + 2) | trains.astype(np.uint32) << (RANK_BITS + 1) | asked.astype(np.uint32) << RANK_BITS
-            keys.append(context_keys(kinds_of, reader.hashes[numbers], ends))
+            keys.append(contexts_of(kinds_of, reader.hashes[numbers], ends))
             marks.append(np.repeat(mark, sizes) | np.where(ranks < 0, beyond_head, ranks).astype(np.uint32))
             for c, x in (
                 ("ids", batch.column(0).to_pylist()), ("asked", asked), ("sizes", sizes), ("logs", np.add.reduceat(np.where(beyond, 0.0, words), starts)), ("known", np.add.reduceat((~beyond).astype(np.int64), starts) - (end_count == 0)),
-                ("classes", np.add.reduceat(logs[where, k] - classes.log_total[k], starts)), ("rest_at", (docs + (pairs >> 32)).astype(np.int32)), ("rest_word", [reader.words[i] for i in (pairs & 0xFFFFFFFF).tolist()]), ("rest_m", times.astype(np.int64)),
+                ("classes", np.add.reduceat(logs[where, k] - classes.log_total[k], starts)), ("rest", [_pack_rest(docs + (pairs >> 32), times, [reader.words[i] for i in (pairs & 0xFFFFFFFF).tolist()])]),
             ):
                 own[c].append(x)
             docs, held = docs + len(texts), held + len(numbers)
@@ -553,15 +565,15 @@ def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFra
         keys, marks, cuts, rest = [], [], [0], []
         for b in batches:
             if b.num_rows:
-                keys.append(_flat(b["keys"], np.uint64))
+                keys.append(_flat(b["keys"], np.uint32))
                 marks.append(_flat(b["marks"], np.uint32))
-                cuts += (cuts[-1] + np.cumsum(pc.binary_length(b["keys"]).to_numpy(zero_copy_only=False) // 8)).tolist()
+                cuts += (cuts[-1] + np.cumsum(pc.binary_length(b["keys"]).to_numpy(zero_copy_only=False) // 4)).tolist()
                 rest.append(b.select(["batch", *(c for c, _ in ONCE)]))
         if not rest:
             return
         mark, key = np.concatenate(marks), np.concatenate(keys)
         keys = marks = None
-        found = solved(key, (mark >> (RANK_BITS + 1) & 1).astype(bool), share[mark & beyond_head])
+        found = solved(key, mark & beyond_head, (mark >> (RANK_BITS + 1) & 1).astype(bool), share)
         at = 0
         for b in rest:
             places, sums = [], []
@@ -579,8 +591,9 @@ def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFra
         n = len(own["ids"])
         place = np.concatenate([_flat(x, np.uint16) for x in table["places"].chunks])
         words = np.bincount(place, np.concatenate([_flat(x, np.float32) for x in table["sums"].chunks]), n).astype(np.float64)
-        stops = np.searchsorted(np.array(own["rest_at"], np.int64), np.arange(n + 1)).astype(np.int32)
-        rest = pa.ListArray.from_arrays(pa.array(stops), pa.StructArray.from_arrays([pa.array(own["rest_word"], pa.binary()), pa.array(own["rest_m"], pa.int64())], ["word", "m"]))
+        rests = [_unpack_rest(x) for x in own["rest"]]
+        stops = np.searchsorted(np.concatenate([x[0] for x in rests]), np.arange(n + 1)).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(stops), pa.StructArray.from_arrays([pa.array([w for x in rests for w in x[2]], pa.binary()), pa.array(np.concatenate([x[1] for x in rests]).astype(np.int64))], ["word", "m"]))
         columns = [pa.array(own["ids"], pa.int64()), pa.array(own["sizes"], pa.int64()), pa.array(own["logs"], pa.float64()), pa.array(own["known"], pa.int64()), pa.array(np.array(own["classes"], np.float64) + words), rest]
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "logs", "known", "classes", "rest"]).filter(pa.array(own["asked"], pa.bool_()))
 

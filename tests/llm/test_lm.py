@@ -131,15 +131,16 @@ def test_score_against_brute_force(spark, docs, monkeypatch, words, head):
 
 def test_words_of_a_class_in_a_context_add_up_to_one():
     share = np.array([0.5, 0.2, 0.1, 0.1, 0.1, 1.0, 0.3])
-    context = np.array([5, 5, 5, 5, 5, 6, 7], np.uint64) << np.uint64(24)
-    keys = context | np.arange(7, dtype=np.uint64)
+    context = np.array([5, 5, 5, 5, 5, 6, 7], np.uint32)
     for trains in ([0, 3, 1, 0, 0, 2, 0], [0] * 7, [1] * 4 + [0, 1, 1]):
         many = np.repeat(np.arange(7), np.maximum(trains, 1))
         flags = np.repeat(np.array(trains) > 0, np.maximum(trains, 1))
-        found = lm.solved(keys[many], flags, share[many])
+        found = lm.solved(context[many], many, flags, share)
         each = {k: share[k] * 10 ** found[many == k][0] for k in range(7)}
         assert math.isclose(sum(each[k] for k in range(5)), 1) and math.isclose(each[5], 1)
-    assert len(lm.solved(keys[:0], np.zeros(0, bool), share[:0])) == 0
+    assert len(lm.solved(context[:0], context[:0], np.zeros(0, bool), share)) == 0
+    some = lm._pack_rest(np.array([0, 0, 9]), np.array([1, 70000, 2]), [b"a", b"\xff\x00", b"c"])
+    assert [list(x) for x in lm._unpack_rest(some)] == [[0, 0, 9], [1, 70000, 2], [b"a", b"\xff\x00", b"c"]] and lm._unpack_rest(lm._pack_rest(np.zeros(0), np.zeros(0), []))[2] == []
 
 
 def test_held_out_score_is_better_than_classes_alone(spark):
