@@ -107,6 +107,12 @@ def predicted_outline(r: Relation, level: str = "predicted_level") -> Relation:
     return r.pick("doc_id", "block_id", "page", "text", place=f"CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, {y}) AS INT)", level=f"concat('H', CAST({level} AS STRING))")
 
 
+def entries(outlines: SparkRelation) -> SparkRelation:
+    """The entries of nested outlines as rows, each with its title's document and its place, for listing()."""
+    rows = outlines.df.selectExpr("doc_id", "posexplode(outline) AS (block_id, e)")
+    return SparkRelation(rows.selectExpr("doc_id", "CAST(block_id AS BIGINT) AS block_id", "e.level AS level", "e.text AS text", "e.page AS page"))
+
+
 def listing(r: Relation, personal: list[str] = (), n: int = 50) -> Relation:
     """For browsing: each document's first numbered entries and those with personal data, as the caller names it."""
     d = r.d

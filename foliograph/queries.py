@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import api, oracle
 from .operators import assembly, classify, evaluation, features, filtering, merging, metadata, numbering, outline, quality, rules
-from .plans import Relation
+from .plans import Relation, SparkRelation
 from .sources import blocks, readers
 from .sources.blocks import SparkTables, SqlTables
 
@@ -481,6 +481,12 @@ def n_forest(spark: SparkSession, folder: str) -> DataFrame:
     return models.predict(model, rows.where("held_out")).select("doc_id", "block_id", "is_heading", "is_heading_pred", "heading_confidence")
 
 
+def q_outline_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """What is numbered in the outlines themselves."""
+    rows = outline.entries(SparkRelation(api.outlines(blocks.star(SparkTables(spark, folder)).df)))
+    return outline.listing(rows, ["^blue "], 20).pick("doc_id", "kind", "level", "text").df
+
+
 def g_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The whole filter: decisions, titles and merges; no SQL, since the last merge is greedy."""
     rows = api.filter_predictions(blocks.star(SparkTables(spark, folder)).df)
@@ -504,4 +510,4 @@ def n_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Queries that SQL cannot express: greedy merges, nested results, random forests.
-SPARK_ONLY = {f.__name__: f for f in (h_broken_merge, h_outline_merge, k_outline_nested, n_forest, g_filter, g_full_report, n_predict)}
+SPARK_ONLY = {f.__name__: f for f in (h_broken_merge, h_outline_merge, k_outline_nested, n_forest, q_outline_listing, g_filter, g_full_report, n_predict)}

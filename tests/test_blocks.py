@@ -255,6 +255,20 @@ def test_outlines(spark):
     assert got[2].outline == []
 
 
+def test_entries_titles_and_boxes(spark):
+    from foliograph.operators import outline
+
+    nested = spark.createDataFrame([(1, "T", [("H1", "1. Scope", 1), ("H2", "plain", 2), ("H2", "IV.", 2)]), (2, "E", [])], "doc_id long, title string, outline array<struct<level:string,text:string,page:int>>")
+    rows = outline.listing(outline.entries(SparkRelation(nested)), ["^pla"]).df.collect()
+    assert sorted((r.doc_id, r.kind, r.text, r.page) for r in rows) == [(1, "numbered", "1. Scope", 1), (1, "personal", "plain", 2), (1, "roman", "IV.", 2)]
+    r = SparkRelation(spark.createDataFrame([(None, "a_b-c.pdf"), ("", "x.pdf"), ("Meta", "y.pdf")], "title string, name string"))
+    name = outline.filename_title(r.d, "name")
+    assert [x.a for x in r.pick(a=outline.metadata_title(r.d, "title", name)).df.collect()] == ["A B C", "X", "Meta"]
+    assert [x.a for x in r.pick(a=outline.metadata_title(r.d, "title", name, keep_empty=True)).df.collect()] == ["A B C", "", "Meta"]
+    boxes = outline.boxed(frame(spark, [block(0, " A ", head=1, level=2), block(1, "no"), block(2, "B", head=1, level=1, page=3)])).df.orderBy("place").collect()
+    assert [(b.place, b.text, b.level, b.page, b.x1, b.y1, b.x2, b.y2) for b in boxes] == [(1, "A", "2", 1, 0.0, 0.0, 100.0, 20.0), (2, "B", "1", 3, 0.0, 0.0, 100.0, 20.0)]
+
+
 def test_filter_predictions_carries_columns(spark):
     df = frame(spark, [block(i, t, pred=1, conf=0.9) for i, t in enumerate(["1.", "Overview", "More", "Text"])]).df
     out = api.filter_predictions(df)
