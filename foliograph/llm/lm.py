@@ -598,7 +598,8 @@ def scored(rows: DataFrame, model: Model, end_count: int, tasks: int) -> DataFra
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "logs", "known", "classes", "rest"]).filter(pa.array(own["asked"], pa.bool_()))
 
     moved = rows.select("doc_id", "text", "trains", "asked").mapInArrow(send, kinds).repartitionById(tasks, "part").mapInArrow(answer, answers)
-    return moved.groupBy("batch").applyInArrow(added, "doc_id long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
+    # as many tasks as the tokens ask for, whatever the session's number is
+    return moved.repartition(tasks, "batch").groupBy("batch").applyInArrow(added, "doc_id long, n_tokens long, logs double, known long, classes double, rest array<struct<word: binary, m: long>>")
 
 
 def _flat(column: pa.Array, kind) -> np.ndarray:
