@@ -12,6 +12,12 @@ import re
 WS = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+#: The same class as Java tests it in two steps; the ranges above are eight there, each asked for every other character.
+JAVA_WS = r"\p{IsWhite_Space}\x{1C}-\x{1F}"
+#: Its characters one by one.
+SPACES = [chr(c) for r in ((0x9, 0xD), (0x1C, 0x20), (0x85,) * 2, (0xA0,) * 2, (0x1680,) * 2, (0x2000, 0x200A), (0x2028, 0x2029), (0x202F,) * 2, (0x205F,) * 2, (0x3000,) * 2) for c in range(r[0], r[1] + 1)]
+
+
 class Dialect:
     """Functions from expressions to expressions."""
 
@@ -33,6 +39,10 @@ class Dialect:
         """A group of the first match; empty if there is none."""
         return f"regexp_extract({text}, {self.string(pattern)}, {group})"
 
+    def few_words(self, text: str, most: int, condition: str) -> str:
+        """Whether a condition holds and the text has ``most`` words at most."""
+        return f"({condition} AND {self.words(text)} <= {most})"
+
     def any_rx(self, text: str, patterns, flags: str = "") -> str:
         return "(" + " OR ".join(self.rx(text, p, flags) for p in patterns) + ")"
 
@@ -152,6 +162,11 @@ class Dialect:
 
 
 class Spark(Dialect):
+    #: Patterns as Java's engine, which tries every way at every place, finds them sooner; ``patterns`` has them.
+    quick: dict[str, str] = {}
+    #: What any match of a pattern holds.
+    needs: dict[str, str] = {}
+
     def string(self, value: str) -> str:
         if "\\" in value or "'" in value:
             quote = '"' if '"' not in value else "'"
@@ -161,13 +176,36 @@ class Spark(Dialect):
         return f"'{value}'"
 
     def rx(self, text: str, pattern: str, flags: str = "") -> str:
-        return f"({text} RLIKE {self.string(('(?iud)' if 'i' in flags else '(?d)') + pattern)})"
+        found = f"{text} RLIKE {self._java(('(?iud)' if 'i' in flags else '(?d)') + self.quick.get(pattern, pattern))}"
+        return f"(contains({text}, '{self.needs[pattern]}') AND {found})" if pattern in self.needs else f"({found})"
+
+    def _java(self, pattern: str) -> str:
+        return self.string(pattern.replace(WS, JAVA_WS))
 
     def count(self, text: str, pattern: str) -> str:
-        return f"regexp_count({text}, {self.string(pattern)})"
+        if not re.fullmatch(r"\[(?:\\.|[^\[\]\\])+\]", pattern):
+            return f"regexp_count({text}, {self._java(pattern)})"
+        # characters of a class: no array of them is made
+        others = pattern[:1] + "^" + pattern[1:] if not pattern.startswith("[^") else "[" + pattern[2:]
+        if r"\p{L}" in pattern:
+            return f"length(regexp_replace({text}, {self._java(others + '+')}, ''))"
+        return f"(length({text}) - length(regexp_replace({text}, {self._java(pattern + '+')}, '')))"
+
+    def words(self, text: str) -> str:
+        return f"length(regexp_replace({self.strip(text)}, {self._java(f'[^{WS}]+[{WS}]*')}, 'w'))"
+
+    def few_words(self, text: str, most: int, condition: str) -> str:
+        return f"({self.words(text)} <= {most} AND {condition})"
 
     def replace(self, text: str, pattern: str, by: str = "") -> str:
-        return f"regexp_replace({text}, {self.string(pattern)}, {self.string(by)})"
+        return f"regexp_replace({text}, {self._java(pattern)}, {self.string(by)})"
+
+    def extract(self, text: str, pattern: str, group: int = 1) -> str:
+        return f"regexp_extract({text}, {self._java(pattern)}, {group})"
+
+    def strip(self, text: str) -> str:
+        """Looks at the ends alone."""
+        return "trim(BOTH '" + "".join(f"\\u{ord(c):04X}" for c in SPACES) + f"' FROM {text})"
 
     def quantile(self, value: str, share: float, over: str = "") -> str:
         return f"percentile({value}, {share!r}){f' OVER ({over})' if over else ''}"
@@ -191,7 +229,7 @@ class Spark(Dialect):
         return f"array_join({self.array_agg(value, order, where)}, {self.string(by)})"
 
     def tokens(self, text: str, pattern: str) -> str:
-        return f"regexp_extract_all({text}, {self.string(pattern)}, 0)"
+        return f"regexp_extract_all({text}, {self._java(pattern)}, 0)"
 
     def keep(self, array: str, condition: str) -> str:
         return f"filter({array}, x -> {condition})"

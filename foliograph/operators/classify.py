@@ -39,7 +39,7 @@ def rule_headings(r: Relation, personal: list[tuple[str, str]] = ()) -> Relation
         part((f"__bullet OR {d.isin(d.first_char(d.strip('__x')), ['•', '-', '*', '○', '▪'])}", -2)),
         part((f"__math OR {d.has_any('__x', ['=', '()', '{}', '[]', '//'])}", -1)),
     ]
-    known = f"({d.rx('upper(__x)', P.KNOWN_HEADINGS)} AND {d.words('__x')} <= 8)"
+    known = d.few_words("__x", 8, d.rx("upper(__x)", P.KNOWN_HEADINGS))
     r = r.add(typography_points=" + ".join(points), __known=known)
     r = r.add(heading_reason=d.cases(
         ("length(__x) < 3 OR NOT valid_text", "'skipped'"),

@@ -126,3 +126,32 @@ def test_sequences(spark, texts, proper, sequential):
     df = spark.createDataFrame([(1, i, 1, t) for i, t in enumerate(texts)], "doc_id long, block_id long, page int, text string")
     r = api.check_sequences(df).first()
     assert (r.has_proper_hierarchy, r.has_sequential_numbering, r.is_consistent) == (proper, sequential, proper and sequential)
+
+
+def test_long_words_take_time_in_proportion(spark):
+    """A word of 300,000 characters: the rule of addresses once looked through the rest of it from each of them."""
+    import time
+
+    texts = ["a" * 300000, "a" * 300000 + " @ b", "a" * 300000 + "@b.c", "see a@b.c", "@b.c", "a@b. c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    start = time.time()
+    pattern, flags = next((p, f) for n, p, f in P.EXCLUSIONS if n == "emails")
+    d = SparkRelation(df).d
+    found = df.selectExpr("i", d.rx("text", P.portable(pattern), flags) + " AS found").orderBy("i").collect()
+    assert [r.found for r in found] == [False, False, True, True, False, False]
+    assert time.time() - start < 30
+
+
+def test_sooner_patterns_find_the_same(spark):
+    """What Java's engine is given in place of a rule's pattern finds the same texts as the pattern itself."""
+    from foliograph.functions.dialect import SPARK, WS
+
+    texts = ["HTTPS://x", "wWw.x", "x.COM", "(2020)", "x1999a", "1999_", "12/1/20", "x12/1/20", "C:\\x", "/a", "/", "\u017ftudent", "un\u0131versity", "v1.2", "version 3", "version", "v1.", "AB12", "12ABc", "employs x", "employs ", "updates  ", "X.js", "a web", "WEB", "b.tech - x", "INTRO", "TRADE-OFF", "FAQS", "ROI", "A\u00c9", "the application is"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    table = {P.portable(p): f for _, p, f in P.EXCLUSIONS} | {P.KNOWN_HEADINGS: ""}
+    plain = lambda p: f"text RLIKE {SPARK.string(('(?iud)' if table[p] else '(?d)') + p)}"
+    assert df.where(" OR ".join(f"({SPARK.rx('text', p, table[p])}) <> ({plain(p)})" for p in SPARK.quick)).count() == 0
+    spaced = spark.createDataFrame([(t,) for t in ["", " ", "\u0085a  b\u2028", "\x1ca\x1fb\x1c", "\u200bx", "\u3000x y\u00a0z"]], "text string")
+    strip, words = SPARK.strip("text"), SPARK.words("text")
+    assert [tuple(r) for r in spaced.selectExpr("text", strip, words).collect()] == [(r.text, r.text.strip(), len(r.text.split())) for r in spaced.collect()]
+    assert WS not in strip + words
