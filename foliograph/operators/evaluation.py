@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from ..plans import Relation
+from ..plans import Relation, SparkRelation
 
 TRUE, PRED, CONF = "is_heading", "is_heading_pred", "heading_confidence"
 
@@ -114,8 +114,12 @@ def feedback(reports: Relation) -> Relation:
 def training_rows(r: Relation) -> Relation:
     """Rows for retraining: confident kept headings as 1, those filtered for a low score and unsure as 0, tagged by source."""
     d = r.d
-    kept = r.where(f"filter_decision = 'keep_high_confidence' AND heading_confidence >= {d.num(0.9)}", derived=True).add(is_heading="1", data_source="'high_conf_preserved'")
-    lost = r.where(f"filter_decision = 'filtered_low_score' AND heading_confidence <= {d.num(0.6)}", derived=True).add(is_heading="0", data_source="'high_conf_filtered'")
+    good, bad = f"filter_decision = 'keep_high_confidence' AND heading_confidence >= {d.num(0.9)}", f"filter_decision = 'filtered_low_score' AND heading_confidence <= {d.num(0.6)}"
+    if isinstance(r, SparkRelation):  # not a union, which would decide all blocks twice
+        r = r.where(f"{good} OR {bad}", derived=True)
+        return r.add(is_heading="CASE WHEN filter_decision LIKE 'keep%' THEN 1 ELSE 0 END", data_source="CASE WHEN filter_decision LIKE 'keep%' THEN 'high_conf_preserved' ELSE 'high_conf_filtered' END")
+    kept = r.where(good, derived=True).add(is_heading="1", data_source="'high_conf_preserved'")
+    lost = r.where(bad, derived=True).add(is_heading="0", data_source="'high_conf_filtered'")
     return kept.union(lost)
 
 

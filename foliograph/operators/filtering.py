@@ -138,6 +138,16 @@ def summary(r: Relation) -> Relation:
     )
 
 
+def reports(r: Relation) -> Relation:
+    """report() with the reduction_rate of summary(); Spark reads the decided blocks once and adds up their counts."""
+    if not isinstance(r, SparkRelation):
+        return report(r).join(summary(r).pick("doc_id", "reduction_rate"), ["doc_id"])
+    d = r.d
+    r = r.group("doc_id", "filter_decision", blocks="count(*)", __o="sum(original_prediction)", __f="sum(is_heading_pred)")
+    r = r.add(__o=f"sum(__o) OVER ({DOC})", __f=f"sum(__f) OVER ({DOC})")
+    return r.add(reduction_rate=f"coalesce({d.ratio('100 * (__o - __f)', '__o')}, {d.num(0.0)})").drop("__o", "__f")
+
+
 def full_report(r: SparkRelation, reasons: str = "filter_reasons", n: int = 10) -> SparkRelation:
     """One row a document, in the shape of a report: document_stats, filtering_summary, decision_breakdown, examples, thresholds.
 

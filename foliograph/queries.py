@@ -335,8 +335,10 @@ def n_dataset(t) -> Relation:
 
 def _reports(t) -> Relation:
     """Reports of all documents, and one that an older filter made."""
-    r = _decided(t)
-    rows = filtering.report(r).join(filtering.summary(r).pick("doc_id", "reduction_rate"), ["doc_id"])
+    rows = filtering.reports(_decided(t))
+    if isinstance(rows, SparkRelation):  # not a union, which would make the rows twice
+        older = "__older = 1"
+        return rows.explode("__older", "array(0, 1)").add(doc_id=f"CASE WHEN {older} THEN -doc_id ELSE doc_id END", filter_decision=f"CASE WHEN {older} THEN 'filtered_low_score' ELSE filter_decision END").drop("__older")
     return rows.union(rows.add(doc_id="-doc_id", filter_decision="'filtered_low_score'"))
 
 

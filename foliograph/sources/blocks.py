@@ -20,6 +20,8 @@ TABLES = {
 class SparkTables:
     def __init__(self, spark, folder: str):
         self.spark, self.folder = spark, folder
+        # the rules are long expressions, and Java never compiles a method of over 8,000 bytes: such stages run as split functions
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
     def __call__(self, name: str) -> Relation:
         return SparkRelation(self.spark.read.parquet(f"{self.folder}/{name}.parquet").select(*TABLES[name].split()))

@@ -155,3 +155,13 @@ def test_sooner_patterns_find_the_same(spark):
     strip, words = SPARK.strip("text"), SPARK.words("text")
     assert [tuple(r) for r in spaced.selectExpr("text", strip, words).collect()] == [(r.text, r.text.strip(), len(r.text.split())) for r in spaced.collect()]
     assert WS not in strip + words
+
+
+def test_decided_blocks_are_made_once(spark):
+    """Reports and training rows read the line items once for the decided blocks, not once for each use of them."""
+    from foliograph import queries
+
+    found = queries.spark_queries()
+    for name, reads in (("o_feedback", 1), ("o_feedback_reasons", 1), ("o_training_rows", 3)):
+        plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [l_orderkey") == reads, name
