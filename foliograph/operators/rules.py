@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..functions.patterns import portable
-from ..plans import Relation
+from ..plans import Relation, SparkRelation
 from .numbering import numbering
 
 
@@ -82,15 +82,15 @@ def exclusion(r: Relation, personal: list[tuple[str, str]] = ()) -> Relation:
     r = r.add(__low="lower(__t)")
     start = _start(d)
     patterns = [*P.EXCLUSIONS, *((n, p, "i") for n, p in personal)]
-    r = r.add(
-        __safe=d.cases(
+    safe, bad = (
+        d.cases(
             ("positive IS NOT NULL", "concat('positive_override_', positive)"),
             (f"{d.rx('__t', r'^[IVX]+\.?$', 'i')} OR {d.rx('__t', portable(r'^[IVX]+\.\s+[A-Z].*$'), 'i')}", "'protected_roman_numeral'"),
             (d.rx("__t", portable(r"^\d+(?:\.\d+)*\.?\s*(?:[A-Z].*)?$")), "'protected_numbered_heading'"),
             (d.rx("__t", portable(r"^[A-Z]\.?\s*(?:[A-Z].*)?$")), "'protected_letter_heading'"),
             (f"{d.isin('__low', P.SINGLE_HEADINGS)} AND {d.upper_first('__t')}", "'legitimate_single_word'"),
         ),
-        __bad=d.cases(
+        d.cases(
             (start["starts_with_bad_special_char"], "'starts_with_bad_special_char'"),
             (f"{start['dollar_not_followed_by_alphanumeric']} OR __t = '$'", "'dollar_not_followed_by_alphanumeric'"),
             (start["too_short_less_than_4_chars"] + ")", "'too_short_less_than_4_chars'"),
@@ -99,6 +99,10 @@ def exclusion(r: Relation, personal: list[tuple[str, str]] = ()) -> Relation:
             otherwise=named(d, "__t", patterns),
         ),
     )
+    if isinstance(r, SparkRelation):  # what is safe is not looked at further
+        r = r.add(__safe=safe).add(__bad=f"CASE WHEN __safe IS NULL THEN {bad} END")
+    else:
+        r = r.add(__safe=safe, __bad=bad)
     return r.add(excluded="__safe IS NULL AND __bad IS NOT NULL", exclusion_reason="coalesce(__safe, __bad, '')").drop("__t", "__low", "__safe", "__bad")
 
 

@@ -165,3 +165,8 @@ def test_decided_blocks_are_made_once(spark):
     for name, reads in (("o_feedback", 1), ("o_feedback_reasons", 1), ("o_training_rows", 3)):
         plan = found[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [l_orderkey") == reads, name
+
+
+def test_safe_texts_are_not_looked_at_further(spark):
+    plan = rules.exclusion(relation(spark, ["1. One"])).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnull(__safe" in plan
