@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..functions.patterns import portable
-from ..plans import Relation
+from ..plans import Relation, SparkRelation
 from .quality import CONTROL, valid_text
 from .rules import exclusion, named, positive
 
@@ -12,15 +12,20 @@ from .rules import exclusion, named, positive
 def rule_headings(r: Relation, personal: list[tuple[str, str]] = ()) -> Relation:
     """Add heading (BOOLEAN), heading_reason, typography_points and level (H1 to H3, null if no heading)."""
     d = r.d
-    r = exclusion(positive(valid_text(r)), personal)
     has = lambda c, other: f"coalesce({c}, {other})" if r.has(c) else other
-    r = r.add(__x="coalesce(text, '')")
-    r = r.add(
+    first = dict(
         __clean=d.strip(d.replace("__x", CONTROL)), __size=has("font_size", d.num(12.0)), __rel=has("relative_font_size", d.num(1.0)), __bold=has("bold", "FALSE"), __italic=has("italic", "FALSE"),
         __pos=has("line_position_on_page", d.num(999.0)), __gap=has("line_spacing_above", d.num(0.0)), __bad=d.has_any("lower(__x)", P.BAD_HEADING_PARTS), __titled=d.count("__x", r"\b[A-Z][a-z]+"),
         __bullet=has("bullet", "FALSE"), __math=has("math", "FALSE"),
     )
-    r = r.add(__n=d.words("__clean"), __letters=d.rx("__clean", "[a-zA-Z]"), __caps=f"({d.upper('__x')} AND {d.rx('__clean', '[a-zA-Z]')})")
+    then = dict(__n=d.words("__clean"), __letters=d.rx("__clean", "[a-zA-Z]"), __caps=f"({d.upper('__x')} AND {d.rx('__clean', '[a-zA-Z]')})")
+    known = d.few_words("__x", 8, d.rx("upper(__x)", P.KNOWN_HEADINGS))
+    rules = lambda t: exclusion(positive(valid_text(t)), personal).add(__x="coalesce(text, '')")
+    if isinstance(r, SparkRelation):
+        of_text = {c: first.pop(c) for c in ("__clean", "__bad", "__titled")}
+        r = r.by_text(lambda t: rules(t).add(**of_text).add(**then).add(__known=known)).add(**first)
+    else:
+        r = rules(r).add(**first).add(**then)
     part = lambda *pairs: d.cases(*((c, str(p)) for c, p in pairs), otherwise="0")
     n = d.num
     points = [
@@ -39,8 +44,7 @@ def rule_headings(r: Relation, personal: list[tuple[str, str]] = ()) -> Relation
         part((f"__bullet OR {d.isin(d.first_char(d.strip('__x')), ['•', '-', '*', '○', '▪'])}", -2)),
         part((f"__math OR {d.has_any('__x', ['=', '()', '{}', '[]', '//'])}", -1)),
     ]
-    known = d.few_words("__x", 8, d.rx("upper(__x)", P.KNOWN_HEADINGS))
-    r = r.add(typography_points=" + ".join(points), __known=known)
+    r = r.add(typography_points=" + ".join(points), **({} if r.has("__known") else {"__known": known}))
     r = r.add(heading_reason=d.cases(
         ("length(__x) < 3 OR NOT valid_text", "'skipped'"),
         ("excluded", "concat('excluded_', exclusion_reason)"),

@@ -46,7 +46,7 @@ def context(r: Relation) -> Relation:
 def score(r: Relation) -> Relation:
     """The additive score of a block and its reasons. Needs is_heading_pred and heading_confidence."""
     d = r.d
-    r = context(exclusion(rule_filter(positive(r))))
+    r = context(r.by_text(positive, rule_filter, exclusion))
     r = r.add(__t=d.strip("coalesce(text, '')"), __q=d.quantiles("font_size", (0.5, 0.9, 0.95, 0.98), DOC))
     r = r.add(__n=d.words("__t"), **{f"__p{p}": d.item("__q", i) for i, p in enumerate((50, 90, 95, 98), 1)})
     c = f"coalesce(heading_confidence, {d.num(HIGH)})"
@@ -75,11 +75,11 @@ def score(r: Relation) -> Relation:
     return r.add(filter_score=f"{d.num(0.5)} + {total}", filter_reasons=f"concat_ws('; ', {why})").drop("__t", "__n", "__q", "__p50", "__p90", "__p95", "__p98")
 
 
-def enhanced_score(r: Relation) -> Relation:
+def enhanced_score(r: Relation, by_text: bool = True) -> Relation:
     """The score from the metadata of comprehensive(), within 0 and 1: filter_score, hard_filter, and why, as filter_reasons."""
     d = r.d
     if not r.has("heading_likelihood"):
-        r = comprehensive(r)
+        r = comprehensive(r, by_text)
     r = r.add(__t=d.strip("coalesce(text, '')"), __c=f"coalesce(heading_confidence, {d.num(HIGH)})")
     hard = f"(__t LIKE '%,' OR {d.rx('__t', '^(the|this|that|these|it) ')} OR {d.words('__t')} > 15 OR lower(__t) IN ('initially,', 'bcrypt.js', 'dockerfile', 'docker-based'))"
     parts = [

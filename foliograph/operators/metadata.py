@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..functions.patterns import portable
-from ..plans import Relation
+from ..plans import Relation, SparkRelation
 
 DOC = "PARTITION BY doc_id"
 ORDERED = "PARTITION BY doc_id ORDER BY page, block_id"
@@ -142,11 +142,17 @@ def semantics(r: Relation) -> Relation:
     ).drop("__x", "__n", "__first", "__second", "__keyword", "__starter", "__conj", "__prep", "__tech", "__whole")
 
 
+def hierarchy_level(r: Relation) -> Relation:
+    """Level by the kind of numbering, 0 where there is none."""
+    d = r.d
+    return r.add(hierarchy_level=d.cases(*((d.any_match("coalesce(text, '')", map(portable, v), "i"), str(k)) for k, v in P.LEVEL_NUMBERING.items()), otherwise="0"))
+
+
 def structure(r: Relation) -> Relation:
     """Level by the kind of numbering, and where sections begin. Needs fonts() and positions()."""
     d = r.d
-    level = d.cases(*((d.any_match("coalesce(text, '')", map(portable, v), "i"), str(k)) for k, v in P.LEVEL_NUMBERING.items()), otherwise="0")
-    r = r.add(hierarchy_level=level)
+    if not r.has("hierarchy_level"):
+        r = hierarchy_level(r)
     r = r.add(section_boundary=f"(font_size_jump OR {d.has('position_patterns', 'page_top')} OR hierarchy_level > 0)")
     return r.add(
         structure_score="CASE hierarchy_level WHEN 0 THEN 0 ELSE 4 - hierarchy_level END + CASE WHEN section_boundary THEN 1 ELSE 0 END",
@@ -180,8 +186,13 @@ def levels(r: Relation) -> Relation:
     ).drop("__level", "__nth", "__up")
 
 
-def comprehensive(r: Relation) -> Relation:
-    """All of the above, in order."""
-    for step in (fonts, typography, linguistics, positions, semantics, structure, likelihood, levels):
+def comprehensive(r: Relation, by_text: bool = True) -> Relation:
+    """All of the above, in order; ``by_text``: Spark looks at each distinct text once, at the cost of reading the blocks twice."""
+    if by_text and isinstance(r, SparkRelation):
+        r = r.by_text(typography, linguistics, semantics, hierarchy_level)
+        steps = (fonts, positions, structure, likelihood, levels)
+    else:
+        steps = (fonts, typography, linguistics, positions, semantics, structure, likelihood, levels)
+    for step in steps:
         r = step(r)
     return r

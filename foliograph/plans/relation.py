@@ -8,6 +8,7 @@ engine. Expressions are strings made with ``functions.dialect``, which knows whe
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -56,6 +57,13 @@ class Relation(ABC):
         over = f"PARTITION BY {by} " if by else ""
         return self.add(__n=f"row_number() OVER ({over}ORDER BY {order})").where(f"__n <= {n}").drop("__n")
 
+    def by_text(self, *steps: Callable[[Relation], Relation]) -> Relation:
+        """``steps`` in turn, which add columns made of text and of nothing else."""
+        r = self
+        for step in steps:
+            r = step(r)
+        return r
+
     def drop(self, *names: str) -> Relation:
         return self.pick(*(c for c in self.columns if c not in names))
 
@@ -100,6 +108,15 @@ class SparkRelation(Relation):
         keys = [F.expr(k.removesuffix(" DESC")).desc() if k.endswith(" DESC") else F.expr(k).asc() for k in order.split(", ")]
         return SparkRelation(self.df.orderBy(*keys).limit(n))  # every task keeps n rows; no window over all
 
+    def by_text(self, *steps: Callable[[Relation], Relation]) -> SparkRelation:
+        """Blocks repeat their texts, so the steps take each distinct text once, and rows get its columns by a join."""
+        texts = SparkRelation(self.df.select("text").distinct())
+        found = Relation.by_text(texts, *steps)
+        if any(self.has(c) for c in found.columns if c != "text"):  # a step may read what is there already
+            return Relation.by_text(self, *steps)
+        found = found.df.withColumnRenamed("text", "__key")
+        return SparkRelation(self.df.join(found, F.expr("text <=> __key"), "left").drop("__key"))
+
     def explode(self, name: str, array: str) -> SparkRelation:
         return SparkRelation(self.df.withColumn(name, F.expr(f"explode({array})")))
 

@@ -196,8 +196,8 @@ def g_enhanced_score(t) -> Relation:
     return rounded(filtering.enhanced_score(_unscaled(blocks.star(t))).pick(*KEY, "filter_score", "hard_filter"), "filter_score")
 
 
-def _decided(t) -> Relation:
-    return filtering.decide(filtering.enhanced_score(blocks.star(t)))
+def _decided(t, by_text: bool = True) -> Relation:
+    return filtering.decide(filtering.enhanced_score(blocks.star(t), by_text))
 
 
 def g_decision(t) -> Relation:
@@ -335,7 +335,7 @@ def n_dataset(t) -> Relation:
 
 def _reports(t) -> Relation:
     """Reports of all documents, and one that an older filter made."""
-    rows = filtering.reports(_decided(t))
+    rows = filtering.reports(_decided(t, by_text=False))
     if isinstance(rows, SparkRelation):  # not a union, which would make the rows twice
         older = "__older = 1"
         return rows.explode("__older", "array(0, 1)").add(doc_id=f"CASE WHEN {older} THEN -doc_id ELSE doc_id END", filter_decision=f"CASE WHEN {older} THEN 'filtered_low_score' ELSE filter_decision END").drop("__older")
@@ -351,7 +351,7 @@ def o_feedback_reasons(t) -> Relation:
 
 
 def o_training_rows(t) -> Relation:
-    r = _decided(t).add(filter_decision="CASE WHEN block_id % 11 = 0 THEN 'filtered_low_score' ELSE filter_decision END")
+    r = _decided(t, by_text=False).add(filter_decision="CASE WHEN block_id % 11 = 0 THEN 'filtered_low_score' ELSE filter_decision END")
     return evaluation.training_union(blocks.star(t).where("italic"), blocks.star(t).where("heading_level = 2"), r).pick(*KEY, "is_heading", "data_source")
 
 

@@ -170,3 +170,22 @@ def test_decided_blocks_are_made_once(spark):
 def test_safe_texts_are_not_looked_at_further(spark):
     plan = rules.exclusion(relation(spark, ["1. One"])).df._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN isnull(__safe" in plan
+
+
+def test_rules_take_each_distinct_text_once(spark):
+    """Columns made of text alone come of the distinct texts, with the values that the rules give row by row."""
+    from foliograph.operators import classify, filtering, metadata
+    from foliograph.plans import Relation
+
+    texts = [*NUMBERED, None, None, "Introduction", "Introduction", "the end.", "$ 12"]
+    df = spark.createDataFrame([(i % 2, i, t, 10.0 + i % 9, i % 3 == 0, 1, 1, 0.4, i / 40) for i, t in enumerate(texts)], "doc_id long, block_id long, text string, font_size double, bold boolean, page int, is_heading_pred int, heading_confidence double, line_position_on_page double")
+    r = SparkRelation(df)
+    steps = (numbering.numbering, rules.positive, rules.exclusion, metadata.linguistics)
+    found, plain = r.by_text(*steps).df, Relation.by_text(r, *steps).df
+    assert set(found.columns) == set(plain.columns)
+    assert found.count() == len(texts) and found.select(plain.columns).exceptAll(plain).isEmpty()
+    again = SparkRelation(plain).by_text(rules.rule_filter, rules.exclusion).df
+    assert again.count() == len(texts) and again.columns.count("positive") == 1
+    for step in (classify.rule_headings, filtering.score, filtering.enhanced_score):
+        plan = step(r).df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join LeftOuter" in plan and "Aggregate [text" in plan, step
