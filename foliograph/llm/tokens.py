@@ -12,6 +12,9 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
+
+import numpy as np
 
 #: White space for Python's re is a superset of the tokenizer's, so no cut is made that the tokenizer wouldn't make.
 _cut = re.compile(r" (?=\S)").split
@@ -19,6 +22,9 @@ _cut = re.compile(r" (?=\S)").split
 #: Stretches that a worker keeps, and the longest kept, in characters. Only memory depends on them.
 KEPT, LONGEST = 900_000, 40
 
+#: Stretches that go to the library as one text.
+JOINED = 1024
+
 #: Letters below this code point are letters for Python and for the tokenizer alike, whatever Unicode version they follow.
 OTHER = 0x250
 
@@ -66,6 +72,9 @@ class Encoder:
         if hasattr(self._model, "_resize_cache"):  # what it would keep is kept here
             self._model._resize_cache(0)
         self._marks = {x: self._raw([x])[0] for x in ".,"}
+        tokens = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._begins = np.zeros(max(tokens.values()) + 1, bool)  # by id: whether the token begins with a space
+        self._begins[[i for t, i in tokens.items() if t.startswith(self._space)]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,13 +95,28 @@ class Encoder:
             else:
                 rest.append(x)
         if rest:
-            out |= zip(rest, self._raw([" " + x for x in rest]))
+            out |= zip(rest, self._together(rest))
         return out
 
+    def _together(self, found: list[str]) -> list[bytes]:
+        """Ids of stretches, each after a space: many in one text, cut where a token begins with a space."""
+        single, out = [x for x in found if " " not in x], {}
+        for i in range(0, len(single), JOINED):
+            part = single[i : i + JOINED]
+            ids = np.frombuffer(self._raw([" " + " ".join(part)])[0], np.uint32)
+            starts = np.flatnonzero(self._begins[ids])
+            if len(starts) == len(part) and starts[0] == 0:
+                data, at = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+                out.update(zip(part, (data[a:b] for a, b in zip(at, at[1:]))))
+        other = [x for x in found if x not in out]
+        out |= zip(other, self._raw([" " + x for x in other]))
+        return [out[x] for x in found]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self._known
         if len(known) > self.kept:
-            known.clear()
+            for x in list(islice(known, self.kept // 4, None)):  # what is frequent was seen first
+                del known[x]
         parts = [_cut(t) for t in texts]
         found = [list(map(known.get, p)) for p in parts]
         gaps, new = [], set()

@@ -239,3 +239,15 @@ def test_op7_packing(spark, odd):
     check_packed(packing.pack(odd, PATH).collect(), ROWS)
     assert packing.pack(odd.limit(0), PATH).count() == 0
     assert queries.op7_harmonic_packing(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stretches_are_encoded_together_and_the_first_are_kept():
+    """Stretches in one text give the ids that each gives alone; a full worker forgets the later ones only."""
+    encoder = tokens.Encoder(PATH)
+    odd = ["a1", "1,000", "x\n", "y\n\n\tz", "don't", "'s", "(see", "中文", "éè!", "a b", "end ", "two  ", "<|endoftext|>", "\U0001f600", "Δx", "--", "​", "̀e", "Ġq"] * 2 + [f"{i}%" for i in range(3000)]
+    together = encoder._together(odd)
+    assert together == encoder._raw([" " + x for x in odd])
+    encoder.kept = 40
+    texts = [" ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(50, 150)), "w1 w2 new"]
+    assert [encoder.encode([t])[0] for t in texts] == encoder._raw(texts)
+    assert 0 < len(encoder._known) <= 40
