@@ -217,6 +217,10 @@ class Codec(Encoder):
         encode = self.transducer.encode
         return [array("I", [i for p in self._split(t) for i in encode(p.encode())]).tobytes() for t in texts]
 
+    def _together(self, found: list[str]) -> list[bytes]:
+        """One by one: the transducer gains nothing from longer texts, and other patterns may cut them elsewhere."""
+        return self._raw([" " + x for x in found])
+
     def _word(self, letters: str) -> bytes:
         return array("I", self.transducer.encode(b" " + letters.encode())).tobytes()
 

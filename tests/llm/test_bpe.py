@@ -72,6 +72,11 @@ def test_states_may_be_forgotten(codec, library, monkeypatch):
     assert ids_of(fresh, text) == library.encode_ordinary(text)
 
 
+def test_stretches_that_are_no_plain_words(library):
+    text = "a 1st b-c  d 2,000 (e) f's <g> 9 h. i, ünder_score 日本 j!" * 3
+    assert ids_of(bpe.Codec(PATH, PATTERN), text) == library.encode_ordinary(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=12))
 def test_utf8_machine(data):
