@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import forest as forests
+
 
 @dataclass(frozen=True)
 class ForestSettings:
@@ -26,14 +28,20 @@ class ForestSettings:
 
 
 def train_forest(df: DataFrame, columns: list[str], label: str = "is_heading", settings: ForestSettings = ForestSettings(), texts: list[str] = ()) -> PipelineModel:
-    """A forest over numeric ``columns`` and, indexed once and for all, ``texts``. Rows without a feature are left out."""
+    """A forest over numeric ``columns`` and, indexed once and for all, ``texts``. Rows without a feature are left out.
+
+    Without ``texts`` the forest grows on distinct rows and their counts, if ``forest.DISTINCT`` of them hold the table.
+    """
     weighted = df.dropna(subset=[*columns, label]).withColumn("__weight", F.when(F.col(label) > 0, settings.positive_weight).otherwise(1.0))
     index = [StringIndexer(inputCol=c, outputCol=f"__{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in texts]
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="__features", weightCol="__weight", numTrees=settings.trees, maxDepth=settings.depth, minInstancesPerNode=settings.leaf, subsamplingRate=settings.share,
         featureSubsetStrategy="sqrt", seed=settings.seed,
     )
-    return Pipeline(stages=[*index, VectorAssembler(inputCols=[*columns, *(f"__{c}" for c in texts)], outputCol="__features", handleInvalid="keep"), forest]).fit(weighted)
+    vectors = VectorAssembler(inputCols=[*columns, *(f"__{c}" for c in texts)], outputCol="__features", handleInvalid="keep")
+    if not texts and (model := forests.fit(weighted, columns, label, settings, forest)):
+        return PipelineModel([vectors, model])
+    return Pipeline(stages=[*index, vectors, forest]).fit(weighted)
 
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -188,3 +188,56 @@ def test_tfidf_settings_follow_the_size(spark):
     only = spark.createDataFrame([(1, 0, "the the of"), (1, 1, None)], "doc_id long, block_id long, text string")
     assert {r.term: round(r.weight, 6) for r in api.tfidf(only).collect()} == {"the": round(2 / 5**0.5, 6), "of": round(1 / 5**0.5, 6)}
     assert api.tfidf(spark.createDataFrame([], few.schema)).count() == 0
+
+
+def test_forest_grows_on_distinct_rows(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from foliograph.operators import forest
+
+    df = spark.range(6000).selectExpr("id % 7 AS a", "CAST(id % 40 AS DOUBLE) AS b", "id % 3 = 0 AS c", "CAST(id % 7 > 3 AND id % 40 < 25 OR pmod(hash(id), 10) = 0 AS INT) AS is_heading").repartition(3)
+    own, seen, settings = RandomForestClassifier.fit, [], models.ForestSettings(trees=20, depth=6, positive_weight=3.0)
+
+    def fit(self, rows, *args):
+        seen.append(rows.count())
+        return own(self, rows, *args)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    model = models.train_forest(df, ["a", "b", "c"], settings=settings)
+    assert seen == [2]  # one row a class, for the description
+    again = models.train_forest(df.repartition(5), ["a", "b", "c"], settings=settings)
+    assert again.stages[-1].toDebugString.split("\n", 1)[1] == model.stages[-1].toDebugString.split("\n", 1)[1]
+    tables = {}
+    for most in (forest.DISTINCT, 10):
+        monkeypatch.setattr(forest, "DISTINCT", most)
+        fitted = models.train_forest(df, ["a", "b", "c"], settings=settings)
+        tables[most] = {(r.a, r.b, r.c): r.heading_confidence for r in models.predict(fitted, df.select("a", "b", "c").distinct()).collect()}
+        trees = fitted.stages[-1].trees
+        assert len(trees) == 20 and max(t.depth for t in trees) == 6
+    assert seen[2:] == [2, 6000]  # more distinct rows than that: all of them, row by row
+    by_count, by_row = tables.values()
+    assert max(abs(by_count[k] - by_row[k]) for k in by_row) < 0.2 and abs(np.mean([by_count[k] - by_row[k] for k in by_row])) < 0.02
+
+
+def test_trees_hold_every_copy_of_a_row():
+    import numpy as np
+
+    from foliograph.operators import forest
+
+    rng = np.random.default_rng(3)
+    codes, counts = np.array([(i, j) for i in range(8) for j in range(40)], np.uint8), rng.integers(0, 50, (320, 3))
+    cuts = [forest.thresholds(np.arange(8.0), np.ones(8)), forest.thresholds(np.arange(40.0), np.ones(40))]
+    assert cuts[0].tolist() == [i + 0.5 for i in range(7)] and len(cuts[1]) <= 31
+    codes[:, 1] = np.searchsorted(cuts[1], codes[:, 1])
+    settings = models.ForestSettings(trees=1, depth=9, leaf=4)
+    nodes = forest.grown(codes, counts, np.array([1.0, 2.0, 5.0]), cuts, settings, 0)
+    drawn = np.random.default_rng([settings.seed, 0]).poisson(settings.share * counts)
+    assert nodes[0]["rawCount"] == drawn.sum() and nodes[0]["impurityStats"] == (drawn * [1.0, 2.0, 5.0]).sum(0).tolist()
+    for k, n in enumerate(nodes):
+        assert n["id"] == k and n["rawCount"] >= 4
+        if n["leftChild"] >= 0:
+            a, b = nodes[n["leftChild"]], nodes[n["rightChild"]]
+            assert k < a["id"] < b["id"] and a["rawCount"] + b["rawCount"] == n["rawCount"] and n["gain"] > 0
+            assert np.allclose(np.add(a["impurityStats"], b["impurityStats"]), n["impurityStats"])
+            assert a["leftChild"] >= 0 or b["leftChild"] >= 0 or a["prediction"] != b["prediction"]
