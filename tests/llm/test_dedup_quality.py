@@ -254,3 +254,31 @@ def test_pipeline_stage_drops_near_copies(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(other))], "doc_id long, text string")
     assert simhash.fingerprint(df.first().text) != simhash.fingerprint(" ".join(copy))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [1, 3]
+
+
+def test_balls_of_fingerprints_make_candidates(spark, monkeypatch):
+    """Copies within two bits are found where no stretch of minima is shared; the exact check follows."""
+    own = jaccard._digests
+
+    def apart(text, words):
+        return own(text, words)[0], [hash((text, i)) for i in range(4)]
+
+    monkeypatch.setattr(jaccard, "_digests", apart)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), *(" ".join([*base[:at], "x", *base[at + 1 :]]) for at in range(0, 400, 7))]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    near = next(k for k in range(1, len(texts)) if (prints[0] ^ prints[k]).bit_count() <= 2)
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[near]), (3, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(df, words=5, similarity=0.8).collect()) == [1, 3]
+
+
+def test_a_large_cluster_is_compared_whole_and_not_by_stretch(spark):
+    n = 2600
+    large = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"), F.lit(n).cast("long").alias("n"))
+    labels = spark.range(n // 2).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    stretches = spark.range(n * 16).select((F.col("id") % n).alias("row"), (F.col("id") / n).cast("long").alias("s"))
+    tiles = jaccard.later_tiles(jaccard.later_members(large, labels, stretches))
+    assert tiles.count() <= 5 * n  # by stretch, 16 times the copies of each text
+    got = tiles.groupBy("group", "tile").agg(F.collect_list(F.when(~F.col("second"), F.col("node"))).alias("a"), F.collect_list(F.when(F.col("second"), F.col("node"))).alias("b")).collect()
+    pairs = {(min(x, y), max(x, y)) for t in got for x in t.a for y in [*t.a, *t.b]}
+    assert all((x, y) in pairs for y in range(n // 2, n) for x in range(0, y, 13))
