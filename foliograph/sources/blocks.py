@@ -39,6 +39,13 @@ class SqlTables:
         return self._first.table(name, columns)
 
 
+def dealt(r: Relation, key: str) -> Relation:
+    """Rows dealt to all tasks if Spark reads them from fewer files than it has cores: a file may be one group of rows, one task's work."""
+    if not isinstance(r, SparkRelation) or len(r.df.inputFiles()) >= r.df.sparkSession.sparkContext.defaultParallelism:
+        return r
+    return SparkRelation(r.df.repartition(key))
+
+
 #: A total order of the line items.
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_suppkey, l_tax, l_shipdate"
 
@@ -88,7 +95,7 @@ def page(tables) -> Relation:
 
     Comments, scripts and styles go, and so do the tags of inline elements, whose text stays.
     """
-    r = tables("pages")
+    r = dealt(tables("pages"), "page_id")
     d = r.d
     text = d.replace("html", r"(?s)<!--.*?-->|(?i:<script[\s>].*?</script>|<style[\s>].*?</style>)")
     text = d.replace(d.replace(text, r"(?i)<br\s*/?>", " "), rf"(?i)</?(?:{'|'.join(INLINE)})(?:\s[^>]*)?/?>")
@@ -109,7 +116,7 @@ def page(tables) -> Relation:
 
 def lines(tables) -> Relation:
     """The lines of plain documents."""
-    r = tables("documents").pick("doc_id", text="coalesce(text, '')")
+    r = dealt(tables("documents"), "doc_id").pick("doc_id", text="coalesce(text, '')")
     if isinstance(r, SparkRelation):
         r = SparkRelation(r.df.selectExpr("doc_id", "posexplode(split(text, '\\n')) as (__pos, text)").selectExpr("doc_id", "CAST(__pos AS BIGINT) AS block_id", "text"))
     else:

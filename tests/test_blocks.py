@@ -327,3 +327,20 @@ def test_forest_query_has_the_operators_settings(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         queries.n_forest(spark, "/root/testdata/sf0.001")
     assert seen.value.args[0] == models.ForestSettings()
+
+
+def test_few_files_are_dealt_to_all_tasks(spark, tmp_path):
+    from foliograph.sources import blocks
+
+    spark.range(300).selectExpr("id AS page_id", "'u' AS url", "concat('<p>page ', id, '</p>') AS html").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = blocks.page(blocks.SparkTables(spark, str(tmp_path))).df
+        assert len([x for x in rows.rdd.glom().map(len).collect() if x]) > 1
+        assert sorted((r.doc_id, r.block_id, r.text) for r in rows.collect()) == [(i, 0, f"page {i}") for i in range(300)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    spark.range(300).repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "many"))
+    many = blocks.SparkRelation(spark.read.parquet(str(tmp_path / "many")))
+    assert blocks.dealt(many, "id") is many
