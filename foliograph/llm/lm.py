@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import prepare, texts_of, written
+from .common import filesystem, prepare, scratch, texts_of, written
 
 #: Words whose counts come with the tasks, named words, words that are features, common words for clusters: at most.
 HEAD, NAMED, WORDS, COMMON = 200_000, 4096, 1024, 64
@@ -189,7 +190,7 @@ def classes_of(named: list[bytes], counts: list[int], clusters: np.ndarray) -> C
             votes[word[-1] << 8 | (word[-2] if len(word) > 1 else 0), c] += math.log1p(k)
             votes[word[-1] << 8 :][: 1 << 8, c] += 1e-6 * math.log1p(k)  # where two bytes say nothing, the last one does
     votes += 1e-12 * np.bincount(clusters, minlength=CLUSTERS)
-    return Classes({w: i for i, w in enumerate(named)}, of_named, votes.argmax(axis=1))
+    return Classes({w: i for i, w in enumerate(named)}, of_named, votes.argmax(axis=1).astype(np.int8))
 
 
 def class_totals(counts: DataFrame, classes: Classes) -> np.ndarray:
@@ -419,18 +420,32 @@ def expected(weights: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.n
 
 
 def _summed(table: DataFrame, compute) -> tuple[np.ndarray, float]:
-    """Sums over at most TASKS tasks of an array of the weights' size and a number."""
+    """Sums over at most TASKS tasks of an array of the weights' size and a number.
+
+    Tasks leave the arrays in the shared folder, in files of the attempt's own, and only names pass through the driver's Java,
+    which would hold each array several times over. The files go once they are read.
+    """
+    folder = scratch(table.sparkSession, "sums")
 
     def run(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if parts:
             values, log = compute(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([values.astype("<f4").tobytes()], pa.binary()), pa.array([log])], ["v", "log"])
+            (fs, path), file = filesystem(folder), uuid.uuid4().hex
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{file}", compression=None) as out:
+                out.write(values.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([log])], ["file", "log"])
 
     total, log = np.zeros((ROWS, CLASSES)), 0.0
-    for r in table.select("key", "n").coalesce(TASKS).mapInArrow(run, "v binary, log double").collect():
-        total += np.frombuffer(r.v, "<f4").reshape(ROWS, CLASSES)
-        log += r.log
+    found = table.select("key", "n").coalesce(TASKS).mapInArrow(run, "file string, log double").collect()
+    if found:
+        fs, path = filesystem(folder)
+        for r in found:
+            with fs.open_input_file(f"{path}/{r.file}") as file:
+                total += np.frombuffer(file.read(), "<f4").reshape(ROWS, CLASSES)
+            log += r.log
+        fs.delete_dir(path)
     return total, log
 
 

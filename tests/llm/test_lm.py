@@ -169,6 +169,19 @@ def test_gradient_is_observed_less_expected():
         assert (lm.expected(moved, keys, n)[1] - lm.expected(weights.astype(np.float64), keys, n)[1]) / 1e-4 == pytest.approx(seen[f, k] - want[f, k], abs=1e-2)
 
 
+def test_arrays_of_a_step_do_not_pass_through_the_drivers_java(spark, docs, monkeypatch):
+    classes = lm.fit(docs).classes
+    assert classes.by_ending.nbytes <= 1 << 16
+    frame, moved = type(docs), []
+    for name, size in (("collect", lambda rows: sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray)))), ("toArrow", lambda table: table.nbytes)):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name), size=size: (x := f(self), moved.append(size(x)))[0])
+    table = lm.histories(docs, classes).repartition(12)
+    keys, n = (np.array(x) for x in zip(*table.collect()))
+    seen, log = lm._summed(table, lambda keys, n: (lm.observed(keys, n), float(n.sum())))
+    assert np.array_equal(seen, lm.observed(keys, n)) and log == n.sum() and len(moved) >= 2 and max(moved) < 1 << 16
+    assert lm._summed(table.limit(0), None)[0].any() == False  # noqa: E712
+
+
 def test_numbers_may_be_forgotten(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "FLUSH", 100)
     check(queries.op8_maxent_lm(spark, SF).collect(), brute([tuple(d) for d in docs.collect()]))
