@@ -46,23 +46,31 @@ def context(r: Relation) -> Relation:
 def score(r: Relation) -> Relation:
     """The additive score of a block and its reasons. Needs is_heading_pred and heading_confidence."""
     d = r.d
-    r = context(r.by_text(positive, rule_filter, exclusion))
-    r = r.add(__t=d.strip("coalesce(text, '')"), __q=d.quantiles("font_size", (0.5, 0.9, 0.95, 0.98), DOC))
-    r = r.add(__n=d.words("__t"), **{f"__p{p}": d.item("__q", i) for i, p in enumerate((50, 90, 95, 98), 1)})
+    t, n, q = {"__t": d.strip("coalesce(text, '')")}, {"__n": d.words("__t")}, {"__q": d.quantiles("font_size", (0.5, 0.9, 0.95, 0.98), DOC)}
+    tests = {"short": "__n <= 1 AND length(__t) < 5", "caps": f"{d.upper('__t')} AND length(__t) > 50", "sentence": "__t LIKE '%.' AND __n > 10"}
+    said = {"rule_reject": "concat('rule_reject_', replace(rule_reasons, ';', '; rule_reject_'))", "excluded": "concat('excluded_', exclusion_reason)", "positive": "concat('positive_', positive)"}
+    steps, once = [positive, rule_filter, exclusion], {}
+    if isinstance(r, SparkRelation):  # what is asked and said of the text alone is made once a text, and comes to the rows when the windows are done
+        once = {f"__{k}": v for k, v in (tests | said).items()}
+        near = context(r).add(**q)
+        found = near.by_text(*steps, lambda r: r.add(**t).add(**n).add(**once))
+        r = found.pick(*r.columns, *(c for c in found.columns if c not in near.columns), *(c for c in near.columns if not r.has(c)))
+        tests, said = {k: f"__{k}" for k in tests}, {k: f"__{k}" for k in said}
+    else:
+        r = context(r.by_text(*steps)).add(**t, **q)
+    r = r.add(**({} if once else n), **{f"__p{p}": d.item("__q", i) for i, p in enumerate((50, 90, 95, 98), 1)})
     c = f"coalesce(heading_confidence, {d.num(HIGH)})"
     figure = lambda name: f"concat('{name}_', {d.fixed(c, 3)})"
-    said = lambda name, column: f"concat('{name}_', {column})"
-    own = {k: figure(k) for k in ("high_confidence", "medium_confidence", "low_confidence", "very_low_confidence")}
-    own |= {"rule_reject": f"concat('rule_reject_', replace(rule_reasons, ';', '; rule_reject_'))", "excluded": said("excluded", "exclusion_reason"), "positive": said("positive", "positive")}
+    own = {k: figure(k) for k in ("high_confidence", "medium_confidence", "low_confidence", "very_low_confidence")} | said
     confident = [(f"{c} >= {d.num(HIGH)}", 0.4, "high_confidence"), (f"{c} >= {d.num(MEDIUM)}", 0.2, "medium_confidence"), (f"{c} >= {d.num(LOW)}", 0.0, "low_confidence"), ("TRUE", -0.05, "very_low_confidence")]
-    length = [("__n <= 1 AND length(__t) < 5", -0.2, "very_short"), ("__n > 30", -0.3, "too_long"), ("__n > 20", -0.1, "moderately_long"), ("__n BETWEEN 2 AND 15", 0.15, "good_length")]
+    length = [(tests["short"], -0.2, "very_short"), ("__n > 30", -0.3, "too_long"), ("__n > 20", -0.1, "moderately_long"), ("__n BETWEEN 2 AND 15", 0.15, "good_length")]
     font = [("font_size >= __p98", 0.4, "very_large_font"), ("font_size >= __p95", 0.3, "large_font"), ("font_size >= __p90", 0.2, "above_avg_font"), ("font_size >= __p50", 0.1, "normal_font")]
     around = [("font_size_context = 'larger'", 0.15, "larger_than_context"), ("font_size_context = 'smaller'", -0.15, "smaller_than_context")]
     place = [("position_context = 'top'", 0.2, "top_position"), ("position_context = 'bottom'", -0.15, "bottom_position")]
     density = [(f"heading_density > {d.num(0.5)}", -0.2, "high_heading_density"), ("heading_density = 0", 0.1, "isolated_heading")]
     high = [("line_position_on_page <= 2", 0.2, "page_top"), ("line_position_on_page <= 5", 0.1, "near_top")]
     alone = [[("rule_reject", -0.2, "rule_reject")], confident, [("excluded", -0.2, "excluded")], [("positive IS NOT NULL", 0.5, "positive")], length, font, around, place, density]
-    alone += [[(f"{d.upper('__t')} AND length(__t) > 50", -0.3, "long_all_caps")], [("__t LIKE '%.' AND __n > 10", -0.4, "long_sentence")]]
+    alone += [[(tests["caps"], -0.3, "long_all_caps")], [(tests["sentence"], -0.4, "long_sentence")]]
     alone += [[(f"coalesce({c}, FALSE)", p, f"{c}_text")] for c, p in (("bold", 0.15), ("italic", 0.1)) if r.has(c)] + [high]
     if r.has("num_nouns") and r.has("num_verbs"):
         alone.append([(f"__n > 0 AND {d.ratio('num_nouns', '__n')} > {d.num(0.4)} AND {d.ratio('num_verbs', '__n')} < {d.num(0.2)}", 0.1, "good_pos_ratio")])
@@ -72,7 +80,7 @@ def score(r: Relation) -> Relation:
         alone.append([(f"num_propn > 0 AND NOT ({person})", 0.05, "contains_proper_nouns")])
     total = " + ".join(d.cases(*((cond, d.num(p)) for cond, p, _ in part), otherwise=d.num(0.0)) for part in alone)
     why = ", ".join(d.cases(*((cond, own.get(n, f"'{n}'")) for cond, _, n in part)) for part in alone)
-    return r.add(filter_score=f"{d.num(0.5)} + {total}", filter_reasons=f"concat_ws('; ', {why})").drop("__t", "__n", "__q", "__p50", "__p90", "__p95", "__p98")
+    return r.add(filter_score=f"{d.num(0.5)} + {total}", filter_reasons=f"concat_ws('; ', {why})").drop("__t", "__n", "__q", "__p50", "__p90", "__p95", "__p98", *once)
 
 
 def enhanced_score(r: Relation, by_text: bool = True) -> Relation:

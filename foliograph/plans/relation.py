@@ -109,18 +109,39 @@ class SparkRelation(Relation):
         return SparkRelation(self.df.orderBy(*keys).limit(n))  # every task keeps n rows; no window over all
 
     def by_text(self, *steps: Callable[[Relation], Relation]) -> SparkRelation:
-        """Blocks repeat their texts, so the steps take each distinct text once, and rows get its columns by a join."""
-        texts = SparkRelation(self.df.select("text").distinct())
-        found = Relation.by_text(texts, *steps)
+        """Blocks repeat their texts, so the steps take each distinct text once, and rows get its columns by a join.
+
+        Where the distinct texts are few, which a job of its own finds out, they go to the rows, which stay where they are.
+        """
+        texts = self.df.select("text").distinct()
+        found = Relation.by_text(SparkRelation(texts), *steps)
         if any(self.has(c) for c in found.columns if c != "text"):  # a step may read what is there already
             return Relation.by_text(self, *steps)
+        few = None if self.df.isStreaming else _few(texts)
+        if few is not None:
+            found = Relation.by_text(SparkRelation(few), *steps)
         found = found.df.withColumnRenamed("text", "__key")
+        found = found if few is None else F.broadcast(found)
         return SparkRelation(self.df.join(found, F.expr("text <=> __key"), "left").drop("__key"))
 
     def explode(self, name: str, array: str) -> SparkRelation:
         return SparkRelation(self.df.withColumn(name, F.expr(f"explode({array})")))
 
 
+#: Distinct texts, and characters of each, up to which they pass through the driver and go to every task.
+FEW, SHORT = 1 << 15, 500
+
+
+def _few(texts: DataFrame) -> DataFrame | None:
+    """All of ``texts``, one column, as a table that reads nothing; None if they are many or long."""
+    found = texts.select(F.substring("text", 1, SHORT).alias("text"), (F.length("text") > SHORT).alias("long")).limit(FEW + 1).toArrow()
+    if found.num_rows > FEW or True in found["long"].to_pylist():
+        return None
+    spark = texts.sparkSession
+    # the optimizer runs what stands on a local table by itself, in the driver, but nothing beyond an aggregate; dealt to all tasks
+    return spark.createDataFrame(found.select(["text"]), texts.schema).distinct().repartition(spark.sparkContext.defaultParallelism)
+
+
 class SqlRelation(Relation):
     d = DUCK
 

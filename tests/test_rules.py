@@ -172,6 +172,21 @@ def test_safe_texts_are_not_looked_at_further(spark):
     assert "CASE WHEN isnull(__safe" in plan
 
 
+def test_rows_stay_where_they_are_if_their_distinct_texts_are_few(spark, monkeypatch):
+    """The rules' columns come to the rows of a document, which are not sent to the texts and back; many or long texts go by a join."""
+    from foliograph import queries
+    from foliograph.plans import relation as plans
+
+    found, plans_of = {}, lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name, few, short in (("few", plans.FEW, plans.SHORT), ("many", 50, plans.SHORT), ("long", plans.FEW, 10)):
+        monkeypatch.setattr(plans, "FEW", few)
+        monkeypatch.setattr(plans, "SHORT", short)
+        found[name] = queries.spark_queries()["g_score"](spark, "/root/testdata/sf0.001")
+        plan = plans_of(found[name])
+        assert (plan.count("hashpartitioning(doc_id") == 1 and "coalesce(text" in plan.split("BroadcastHashJoin")[1]) if name == "few" else "LocalTableScan" not in plan, name
+    assert all(found["few"].exceptAll(found[k]).isEmpty() and found[k].exceptAll(found["few"]).isEmpty() for k in ("many", "long"))
+
+
 def test_rules_take_each_distinct_text_once(spark):
     """Columns made of text alone come of the distinct texts, with the values that the rules give row by row."""
     from foliograph.operators import classify, filtering, metadata
