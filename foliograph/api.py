@@ -34,13 +34,20 @@ def outlines(blocks: DataFrame, personal: Personal = ()) -> DataFrame:
     return outline.valid_outline(outline.nested(SparkRelation(merge_outline(entries.df)), r, [p for _, p in personal])).df
 
 
-def filter_predictions(blocks: DataFrame) -> DataFrame:
-    """Predicted blocks with decisions, titles and merged fragments; all columns are carried through."""
+def filter_predictions(blocks: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Predicted blocks with decisions, titles and merged fragments; all columns are carried through.
+
+    ``columns``: those to return alone. What they don't need is then neither computed nor carried to the last merge, which no plan sees through.
+    """
     from .operators import merging
 
-    r = filtering.decide(filtering.enhanced_score(SparkRelation(conform(blocks))))
-    r = merging.merge_prefixes(merging.document_title(r))
-    return merge_broken(r.add(text="merged_text").drop("merged_text").df)
+    r = filtering.decide(filtering.enhanced_score(SparkRelation(conform(blocks)), more=(merging.of_text,)))
+    r = merging.titles_and_prefixes(r)
+    r = r.add(text="merged_text").drop("merged_text")
+    if columns is None:
+        return merge_broken(r.df)
+    needed = {*columns, "doc_id", "block_id", "page", "line_position_on_page", "text", "is_heading_pred"}
+    return merge_broken(r.pick(*(c for c in r.columns if c in needed)).df).select(*columns)
 
 
 def merge_outline(entries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Window
 
 from ..functions import patterns as P
@@ -83,13 +85,18 @@ def score(r: Relation) -> Relation:
     return r.add(filter_score=f"{d.num(0.5)} + {total}", filter_reasons=f"concat_ws('; ', {why})").drop("__t", "__n", "__q", "__p50", "__p90", "__p95", "__p98", *once)
 
 
-def enhanced_score(r: Relation, by_text: bool = True) -> Relation:
+def _hard(d) -> str:
+    return f"(__t LIKE '%,' OR {d.rx('__t', '^(the|this|that|these|it) ')} OR {d.words('__t')} > 15 OR lower(__t) IN ('initially,', 'bcrypt.js', 'dockerfile', 'docker-based'))"
+
+
+def enhanced_score(r: Relation, by_text: bool = True, more: tuple[Callable[[Relation], Relation], ...] = ()) -> Relation:
     """The score from the metadata of comprehensive(), within 0 and 1: filter_score, hard_filter, and why, as filter_reasons."""
     d = r.d
+    stripped = {"__t": d.strip("coalesce(text, '')")}
     if not r.has("heading_likelihood"):
-        r = comprehensive(r, by_text)
-    r = r.add(__t=d.strip("coalesce(text, '')"), __c=f"coalesce(heading_confidence, {d.num(HIGH)})")
-    hard = f"(__t LIKE '%,' OR {d.rx('__t', '^(the|this|that|these|it) ')} OR {d.words('__t')} > 15 OR lower(__t) IN ('initially,', 'bcrypt.js', 'dockerfile', 'docker-based'))"
+        r = comprehensive(r, by_text, (lambda r: r.add(**stripped).add(__hard=_hard(d)).drop("__t"), *more))
+    r = r.add(**({} if r.has("__hard") else stripped), __c=f"coalesce(heading_confidence, {d.num(HIGH)})")
+    hard = "__hard" if r.has("__hard") else _hard(d)
     parts = [
         d.cases((f"__c >= {d.num(HIGH)}", d.num(0.2)), (f"__c >= {d.num(MEDIUM)}", d.num(0.1)), otherwise=d.num(-0.1)),
         f"- {d.num(0.15)} * syntax_violations",
@@ -107,7 +114,7 @@ def enhanced_score(r: Relation, by_text: bool = True) -> Relation:
         f"CASE WHEN {hard} THEN 'hard_filter_applied' END",
     ]
     r = r.add(filter_reasons=f"concat_ws('; ', {', '.join(why)})", __s="heading_likelihood + " + " + ".join(parts).replace("+ - ", "- "))
-    return r.add(filter_score=f"greatest({d.num(0.0)}, least({d.num(1.0)}, CASE WHEN {hard} THEN least(__s, {d.num(0.2)}) ELSE __s END))", hard_filter=hard).drop("__t", "__c", "__s")
+    return r.add(filter_score=f"greatest({d.num(0.0)}, least({d.num(1.0)}, CASE WHEN {hard} THEN least(__s, {d.num(0.2)}) ELSE __s END))", hard_filter=hard).drop("__t", "__c", "__s", "__hard")
 
 
 def decide(r: Relation) -> Relation:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..functions.patterns import portable
-from ..plans import Relation
-from .metadata import ORDERED
+from ..plans import Relation, SparkRelation
+from .metadata import ORDERED, WHOLE
 from .rules import named
 
 _NAMES = {n: (portable(p), f) for n, p, f in P.EXCLUSIONS}
@@ -20,12 +20,24 @@ def document_title(r: Relation, first: int = 100, near: int = 15, within: int =
     d = r.d
     r = r.add(__pos=f"row_number() OVER (PARTITION BY doc_id ORDER BY {_order(r)}) - 1", __t=d.strip("coalesce(text, '')"))
     r = r.add(__n=d.words("__t"))
+    title, sub = _titles(d, first, near, within)
+    r = r.add(__title=f"min({title}) OVER (PARTITION BY doc_id)")
+    r = r.add(__sub=f"min({sub}) OVER (PARTITION BY doc_id)")
+    return r.add(title_role=_ROLE).drop("__pos", "__t", "__n", "__title", "__sub")
+
+
+_ROLE = "CASE WHEN __pos = __title THEN 'document_title' WHEN __pos = __sub THEN 'document_subtitle' END"
+
+
+def _titles(d, first: int, near: int, within: int) -> tuple[str, str]:
+    """The place of a block that may be its document's title, and of one that may be the subtitle; needs __pos, __t, __n, and __title for the second."""
     technical = " OR ".join(d.rx("__t", *_NAMES[k]) for k in ("technical_terms", "technical_fragments", "programming_terms", "file_paths"))
     unfit = f"__n = 1 AND length(__t) < 4 OR lower(__t) IN ('the', 'a', 'an') OR {technical} OR __t LIKE '%.' AND __n > 10"
-    r = r.add(__title=f"min(CASE WHEN is_heading_pred = 1 AND __pos < {first} AND NOT ({unfit}) THEN __pos END) OVER (PARTITION BY doc_id)")
     clean = named(d, "__t", P.EXCLUSIONS) + " IS NULL"
-    r = r.add(__sub=f"min(CASE WHEN is_heading_pred = 1 AND __pos > __title AND __pos <= __title + {near} AND __pos < {within} AND __n BETWEEN 2 AND 15 AND ({clean}) THEN __pos END) OVER (PARTITION BY doc_id)")
-    return r.add(title_role="CASE WHEN __pos = __title THEN 'document_title' WHEN __pos = __sub THEN 'document_subtitle' END").drop("__pos", "__t", "__n", "__title", "__sub")
+    return (
+        f"CASE WHEN is_heading_pred = 1 AND __pos < {first} AND NOT ({unfit}) THEN __pos END",
+        f"CASE WHEN is_heading_pred = 1 AND __pos > __title AND __pos <= __title + {near} AND __pos < {within} AND __n BETWEEN 2 AND 15 AND ({clean}) THEN __pos END",
+    )
 
 
 def merge_prefixes(r: Relation) -> Relation:
@@ -34,8 +46,7 @@ def merge_prefixes(r: Relation) -> Relation:
     r = r.add(__t=d.strip("coalesce(text, '')"))
     over = f"OVER (PARTITION BY doc_id ORDER BY {_order(r)})"
     r = r.add(__kind=named(d, "__t", P.PREFIXES), __next=f"lead(__t) {over}", __nexth=f"lead(is_heading_pred) {over}", __nextp=f"lead(page) {over}", __prev=f"lag(__t) {over}")
-    word = d.rx("lower(__next)", portable(rf"(^|\s)({'|'.join(P.HEADING_WORDS)})($|\s)"))
-    r = r.add(__gives=f"coalesce(__kind IS NOT NULL AND is_heading_pred = 1 AND __nexth = 1 AND __nextp = page AND ({d.upper_first('__next')} OR {word}), FALSE)")
+    r = r.add(__gives=f"coalesce(__kind IS NOT NULL AND is_heading_pred = 1 AND __nexth = 1 AND __nextp = page AND {_begins(d, '__next')}, FALSE)")
     r = r.add(__takes=f"coalesce(lag(__gives) {over}, FALSE)")
     return r.add(
         merged_text="CASE WHEN __takes THEN concat(__prev, ' ', __t) ELSE text END",
@@ -44,6 +55,45 @@ def merge_prefixes(r: Relation) -> Relation:
     ).drop("__t", "__kind", "__next", "__nexth", "__nextp", "__prev", "__gives", "__takes")
 
 
+def _begins(d, text: str) -> str:
+    """Whether a text can go on after a bare number or letter."""
+    word = d.rx(f"lower({text})", portable(rf"(^|\s)({'|'.join(P.HEADING_WORDS)})($|\s)"))
+    return f"({d.upper_first(text)} OR {word})"
+
+
+def of_text(r: Relation) -> Relation:
+    """What titles_and_prefixes() asks of the text alone: __bare, __begins."""
+    d = r.d
+    return r.add(__t=d.strip("coalesce(text, '')")).add(__bare=f"{named(d, '__t', P.PREFIXES)} IS NOT NULL", __begins=_begins(d, "__t")).drop("__t")
+
+
+def titles_and_prefixes(r: SparkRelation, first: int = 100, near: int = 15, within: int = 120) -> SparkRelation:
+    """document_title() and merge_prefixes() in three windows of one order, not five of two; texts are stripped only where they are asked or joined.
+
+    Takes the columns of of_text(), which it adds if they aren't there.
+    """
+    d = r.d
+    r = r if r.has("__bare") else of_text(r)
+    over = f"PARTITION BY doc_id ORDER BY {_order(r)}"
+    r = r.add(
+        __pos=f"row_number() OVER ({over}) - 1", __next=f"lead(__begins) OVER ({over})", __nexth=f"lead(is_heading_pred) OVER ({over})", __nextp=f"lead(page) OVER ({over})",
+        __prev=f"lag(text) OVER ({over})",
+    )
+    r = r.add(
+        __gives="coalesce(__bare AND is_heading_pred = 1 AND __nexth = 1 AND __nextp = page AND __next, FALSE)",
+        __t=f"CASE WHEN is_heading_pred = 1 AND __pos < {max(first, within)} THEN {d.strip("coalesce(text, '')")} END",
+    ).add(__n=d.words("__t"))
+    title, sub = _titles(d, first, near, within)
+    r = r.add(__title=f"min({title}) OVER ({over} {WHOLE})", __takes=f"coalesce(lag(__gives) OVER ({over}), FALSE)")
+    r = r.add(__sub=f"min({sub}) OVER ({over} {WHOLE})")
+    return r.add(
+        title_role=_ROLE,
+        merged_text=f"CASE WHEN __takes THEN concat({d.strip("coalesce(__prev, '')")}, ' ', {d.strip("coalesce(text, '')")}) ELSE text END",
+        merge_decision="CASE WHEN __gives THEN 'merged_into_next' WHEN __takes THEN 'merged_consecutive' END",
+        is_heading_pred="CASE WHEN __gives THEN 0 ELSE is_heading_pred END",
+    ).drop("__bare", "__begins", "__pos", "__next", "__nexth", "__nextp", "__prev", "__gives", "__takes", "__t", "__n", "__title", "__sub")
+
+
 def distance(r: Relation, before: str = "NULL") -> Relation:
     """Add distance_to_previous_heading: rows since the last heading; ``before`` where there was none."""
     d = r.d

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ..functions import patterns as P
 from ..functions.patterns import portable
 from ..plans import Relation, SparkRelation
 
 DOC = "PARTITION BY doc_id"
 ORDERED = "PARTITION BY doc_id ORDER BY page, block_id"
+#: All rows of a window that has an order: Spark runs windows of one order together, and each window copies all rows.
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 SCORES = {"typography_score": 0.25, "linguistic_score": 0.20, "position_score": 0.15, "semantic_score": 0.20, "structure_score": 0.20}
 
 
@@ -16,14 +20,15 @@ def fonts(r: Relation) -> Relation:
     if not r.has("font_size"):
         return r.add(font_size_percentile_rank="CAST(50 AS DOUBLE)", font_category="'medium'", font_size_relative="CAST(1 AS DOUBLE)", font_size_jump="FALSE")
     d = r.d
+    doc = f"{ORDERED} {WHOLE}" if isinstance(r, SparkRelation) else DOC
     r = r.add(
-        font_size_mean=f"avg(font_size) OVER ({DOC})",
-        font_size_std=f"stddev_samp(font_size) OVER ({DOC})",
+        font_size_mean=f"avg(font_size) OVER ({doc})",
+        font_size_std=f"stddev_samp(font_size) OVER ({doc})",
         __rank=f"rank() OVER ({DOC} ORDER BY CASE WHEN font_size IS NULL THEN 1 ELSE 0 END, font_size)",
-        __known=f"count(font_size) OVER ({DOC})",
-        __q75=d.quantile("font_size", 0.75, DOC),
-        __q90=d.quantile("font_size", 0.9, DOC),
-        __q95=d.quantile("font_size", 0.95, DOC),
+        __known=f"count(font_size) OVER ({doc})",
+        __q75=d.quantile("font_size", 0.75, doc),
+        __q90=d.quantile("font_size", 0.9, doc),
+        __q95=d.quantile("font_size", 0.95, doc),
         __before=f"lag(font_size) OVER ({ORDERED})",
     )
     r = r.add(__ties="count(*) OVER (PARTITION BY doc_id, font_size)")
@@ -100,7 +105,8 @@ def positions(r: Relation) -> Relation:
     if not r.has("line_position_on_page"):
         r = r.add(line_position_on_page="CAST(NULL AS DOUBLE)")
     page = "PARTITION BY doc_id, page"
-    r = r.add(__n=d.words("coalesce(text, '')"), __most=f"max(line_position_on_page) OVER ({page})")
+    all_of_it = f"{page} ORDER BY {down} {WHOLE}" if isinstance(r, SparkRelation) else page
+    r = r.add(__n="__words" if r.has("__words") else d.words("coalesce(text, '')"), __most=f"max(line_position_on_page) OVER ({all_of_it})")
     r = r.add(__up=f"coalesce(lag(__n) OVER ({page} ORDER BY {down}), 0)", __next=f"coalesce(lead(__n) OVER ({page} ORDER BY {down}), 0)")
     r = r.add(
         __place=d.cases(
@@ -170,10 +176,14 @@ def likelihood(r: Relation) -> Relation:
     return r.drop(*(f"__{side}_{c}" for c in SCORES for side in ("min", "max")))
 
 
+def _loud(d) -> str:
+    return d.has_any("upper(coalesce(text, ''))", ["CHAPTER", "SECTION"])
+
+
 def levels(r: Relation) -> Relation:
     """H1 to H3 for likely headings; where no H1 came before, a document's first H2 is one."""
     d = r.d
-    loud = d.has_any("upper(coalesce(text, ''))", ["CHAPTER", "SECTION"])
+    loud = "__loud" if r.has("__loud") else _loud(d)
     one = f"(hierarchy_level = 1 OR coalesce(font_size_percentile_rank, {d.num(50.0)}) >= 95 OR {loud})"
     two = "(hierarchy_level = 2 OR font_category IN ('large', 'medium') AND typography_score >= 1 AND semantic_score >= 0)"
     r = r.add(__level=d.cases((f"heading_likelihood < {d.num(0.3)}", "NULL"), (one, "'H1'"), (two, "'H2'"), otherwise="'H3'"))
@@ -186,13 +196,16 @@ def levels(r: Relation) -> Relation:
     ).drop("__level", "__nth", "__up")
 
 
-def comprehensive(r: Relation, by_text: bool = True) -> Relation:
-    """All of the above, in order; ``by_text``: Spark looks at each distinct text once, at the cost of reading the blocks twice."""
+def comprehensive(r: Relation, by_text: bool = True, more: tuple[Callable[[Relation], Relation], ...] = ()) -> Relation:
+    """All of the above, in order; ``by_text``: Spark looks at each distinct text once, at the cost of reading the blocks twice.
+
+    ``more``: steps of the text alone that are taken with it then, and whose columns stay.
+    """
     if by_text and isinstance(r, SparkRelation):
-        r = r.by_text(typography, linguistics, semantics, hierarchy_level)
+        r = r.by_text(typography, linguistics, semantics, hierarchy_level, lambda r: r.add(__words=r.d.words("coalesce(text, '')"), __loud=_loud(r.d)), *more)
         steps = (fonts, positions, structure, likelihood, levels)
     else:
         steps = (fonts, typography, linguistics, positions, semantics, structure, likelihood, levels)
     for step in steps:
         r = step(r)
-    return r
+    return r.drop("__words", "__loud") if r.has("__words") else r

@@ -7,10 +7,12 @@ that a merge reads leave Arrow; the others pass through as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.patterns import PREFIXES
@@ -56,12 +58,14 @@ def per_document(df: DataFrame, order: list[str], schema, run: Callable[[Iterato
 AHEAD = 3  # rows after a block that a merge of broken headings may read
 
 
-def broken_headings(texts: list, heads: list, pages: list, docs: list, done: list, upto: int) -> None:
-    """Join single capitalised words that follow one another as headings on a page, for the first ``upto`` rows, in place.
+def broken_headings(texts: list, heads: list, pages: list, docs: list, done: list, rows: Iterable[int]) -> tuple[list[int], list[int]]:
+    """Join single capitalised words that follow one another as headings on a page, beginning at ``rows`` in turn, in place.
 
     The first of them takes the text; ``done`` gets the decisions. A block needs two more of its document after it.
+    Returns the rows that took a text and those that gave theirs.
     """
-    for i in range(upto):
+    took, gave = [], []
+    for i in rows:
         last = i + 1
         while last < len(docs) and last <= i + AHEAD and docs[last] == docs[i]:
             last += 1
@@ -85,8 +89,11 @@ def broken_headings(texts: list, heads: list, pages: list, docs: list, done: lis
         merged = " ".join(found)
         if len(own) > 1 and len(merged) >= 5 and len(merged.split()) <= 6 and not any(t.lower() in STOP for t in found):
             texts[i], done[i] = merged, "merged_broken_heading"
+            took.append(i)
             for k in own[1:]:
                 heads[k], done[k] = 0, "merged_into_broken_heading"
+                gave.append(k)
+    return took, gave
 
 
 def merge_broken(df: DataFrame, order: list[str], schema) -> DataFrame:
@@ -94,11 +101,33 @@ def merge_broken(df: DataFrame, order: list[str], schema) -> DataFrame:
     places = [df.columns.index(c) for c in ("text", "is_heading_pred", "page", "doc_id")]
     decision = len(df.columns)
 
+    def codes(column: pa.Array) -> tuple[list, np.ndarray]:
+        """An array's values, each once, and the place of each row's value among them."""
+        found = column.dictionary_encode("encode")
+        return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+
     def applied(table: pa.Table, upto: int) -> pa.Table:
-        columns = [table.column(k).to_pylist() for k in (*places, decision)]
-        broken_headings(*columns, upto)
-        for k, values in ((places[0], columns[0]), (places[1], columns[1]), (decision, columns[4])):
-            table = table.set_column(k, table.schema.field(k), pa.array(values, table.schema.field(k).type))
+        if not upto:
+            return table
+        text, pred, page, doc, done = (pa.concat_arrays(table.column(k).chunks) for k in (*places, decision))
+        values, at = codes(text)
+        single = np.array([_single((v or "").strip()) for v in values])[at]
+        heads = pc.fill_null(pc.equal(pred, 1), False).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(heads[:upto] & single[:upto]).tolist()  # others begin nothing
+        texts, decisions = [values[c] for c in at.tolist()], [None] * len(done) if done.null_count == len(done) else done.to_pylist()
+        took, gave = broken_headings(texts, heads.tolist(), codes(page)[1].tolist(), codes(doc)[1].tolist(), decisions, rows)
+        if not took:
+            return table
+
+        def changed(column: pa.Array, own: list[int], by: list) -> pa.Array:
+            mask = np.zeros(len(column), bool)
+            mask[own] = True
+            return pc.replace_with_mask(column, pa.array(mask), pa.array([by[i] for i in own], column.type))
+
+        both = sorted(took + gave)
+        new = {places[0]: changed(text, took, texts), places[1]: changed(pred, sorted(gave), [0] * len(texts)), decision: changed(done, both, decisions)}
+        for k, column in new.items():
+            table = table.set_column(k, table.schema.field(k), column)
         return table
 
     def batches(found):

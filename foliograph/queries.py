@@ -491,8 +491,8 @@ def q_outline_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def g_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The whole filter: decisions, titles and merges; no SQL, since the last merge is greedy."""
-    rows = api.filter_predictions(blocks.star(SparkTables(spark, folder)).df)
-    return rows.select(*KEY, "text", "is_heading_pred", "filter_decision", "title_role", "merge_decision", "broken_decision")
+    columns = [*KEY, "text", "is_heading_pred", "filter_decision", "title_role", "merge_decision", "broken_decision"]
+    return api.filter_predictions(blocks.star(SparkTables(spark, folder)).df, columns)
 
 
 def g_full_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from foliograph import api, queries
 from foliograph.operators import assembly, evaluation, features, filtering, merging, metadata, sequential
 from foliograph.plans import SparkRelation
+from foliograph.schema import conform
 
 COLUMNS = "doc_id long, block_id long, page int, text string, font_size double, line_position_on_page double, is_heading int, heading_level int, is_heading_pred int, heading_confidence double"
 
@@ -276,6 +277,38 @@ def test_filter_predictions_carries_columns(spark):
     assert out.where("text = '1. Overview'").count() == 1
 
 
+def test_filter_predictions_of_some_columns(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = ["1.", "IV.", "A", "Overview", "Alpha", "Beta", "Plan of Work", "the plan", " 2 ", "Chapter", None, "some blue words, and more", "x"]
+    rows = [block(i, rng.choice(pool), page=1 + i // 7, size=rng.choice([8.0, 12.0, 20.0]), pred=rng.choice([0, 1, 1, None]), conf=rng.random(), doc=d) for d, n in enumerate([1, 3, 40, 150]) for i in range(n)]
+    df = frame(spark, rows).df
+    keep = ["block_id", "doc_id", "text", "is_heading_pred", "filter_decision", "title_role", "merge_decision", "broken_decision"]
+    old = merging.merge_prefixes(merging.document_title(filtering.decide(filtering.enhanced_score(SparkRelation(conform(df)), by_text=False))))
+    old = api.merge_broken(old.add(text="merged_text").drop("merged_text").df).select(*keep)
+    new = api.filter_predictions(df, keep)
+    found = sorted(map(str, new.collect()))
+    assert new.columns == keep and found == sorted(map(str, old.collect())) == sorted(map(str, api.filter_predictions(df).select(*keep).collect()))
+    assert all(x in str(found) for x in ("document_title", "merged_into_next", "merged_consecutive", "merged_into_broken_heading"))
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(new) <= 7 < windows(api.filter_predictions(df))
+
+
+def test_broken_headings_begin_at_single_words(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = ["Alpha", " Beta ", "the", "Gamma ray", "Delta", "x", "And", None, "Ab"]
+    rows = [block(i, rng.choice(pool), page=1 + i // 9, pred=rng.choice([0, 1, 1, 1, None]), doc=d) for d, n in enumerate([2, 30, 90]) for i in range(n)]
+    got = sorted(api.merge_broken(frame(spark, rows).df).collect(), key=lambda r: (r.doc_id, r.block_id))
+    was = sorted(frame(spark, rows).df.collect(), key=lambda r: (r.doc_id, r.block_id))
+    texts, heads, pages, docs = ([r[c] for r in was] for c in ("text", "is_heading_pred", "page", "doc_id"))
+    done = [None] * len(was)
+    took, gave = sequential.broken_headings(texts, heads, pages, docs, done, range(len(was)))
+    assert [(r.text, r.is_heading_pred, r.broken_decision) for r in got] == list(zip(texts, heads, done)) and took and gave
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert metadata.comprehensive(empty).df.count() == 0 and api.outlines(empty.df).count() == 0 and filtering.score(empty).df.count() == 0
